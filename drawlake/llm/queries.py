@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drawlake.llm import bpe, chat_format, line_dedup, near_duplicates, secret_scan
+from drawlake.llm import bpe, chat_format, line_dedup, near_duplicates, secret_scan, toxicity
 from drawlake.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -38,6 +42,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe, op3_near_duplicates, op7_line_dedup, op8_chat_format, op10_secret_scan)
+    f.__name__: f for f in (op2_bpe, op3_near_duplicates, op4_toxicity, op7_line_dedup, op8_chat_format, op10_secret_scan)
 }
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.sql(), "op8_chat_format": chat_format.sql()}
