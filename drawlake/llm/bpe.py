@@ -30,7 +30,7 @@ _SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 PRETOKENS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 WIDEST = 64  # bytes of a pretoken that still runs in the matrix
-CACHED = 300_000  # pretokens whose ids a worker remembers; a matter of speed only
+CACHED = 400_000  # pretokens whose ids a worker remembers; a matter of speed only
 NONE = np.iinfo(np.int64).max
 
 
@@ -83,8 +83,9 @@ class Vocabulary:
         return np.where(self.pairs[at] == key, self.ranks[at], NONE)
 
 
-def merge_rows(words: list[bytes], width: int, voc: Vocabulary) -> list[tuple[int, ...]]:
-    """Ids of each word, all of 1 to `width` bytes, `width` a power of two: one segment tree per row of a matrix."""
+def merge_rows(words: list[bytes], width: int, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words one after the other, and how many each has. All words have 1 to `width` bytes, `width` a power of
+    two: one segment tree per row of a matrix."""
     n, shift = len(words), width.bit_length() - 1
     sizes = np.fromiter(map(len, words), np.int64, n)
     place = np.arange(width)
@@ -129,12 +130,7 @@ def merge_rows(words: list[bytes], width: int, voc: Vocabulary) -> list[tuple[in
         has = left >= 0
         put(rows[has], left[has], key_at(rows[has], left[has], at[has]))
         rows = rows[tree[rows, 1] != NONE]
-    flat, counts = token[:, :width][alive].tolist(), alive.sum(1).tolist()
-    out, i = [], 0
-    for c in counts:
-        out.append(tuple(flat[i : i + c]))
-        i += c
-    return out
+    return token[:, :width][alive], alive.sum(1)
 
 
 def merge_one(word: bytes, voc: Vocabulary, ranks: dict[int, int]) -> tuple[int, ...]:
@@ -184,6 +180,24 @@ def merge_one(word: bytes, voc: Vocabulary, ranks: dict[int, int]) -> tuple[int,
     return tuple(t for t in token if t >= 0)
 
 
+def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... count[0] of them, then the same for each further entry."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+class _Numbers(dict):
+    """Pretoken -> its number, given at first sight."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+
 class Encoder:
     """Text to ids, in one process. Remembers the ids of pretokens it has met."""
 
@@ -192,8 +206,13 @@ class Encoder:
         self.split = regex.compile(PRETOKENS)
         names = sorted(voc.special, key=lambda s: (-len(s), s))
         self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
-        self.known: dict[str, tuple[int, ...]] = {}
         self.ranks: dict[int, int] | None = None
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = _Numbers()
+        self.begin, self.count, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
+        self.used = 0
 
     def pretokens(self, text: str) -> list[str]:
         """Special tokens as they stand; what lies between them split as PRETOKENS says."""
@@ -206,38 +225,73 @@ class Encoder:
             i = m.end()
         return out + self.split.findall(text[i:])
 
-    def learn(self, words: Iterable[str]) -> None:
-        by_width: dict[int, list[str]] = {}
-        for w in words:
-            if w in self.voc.special:
-                self.known[w] = (self.voc.special[w],)
+    def _store(self, numbers: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.begin[numbers] = self.used + np.cumsum(counts) - counts
+        self.count[numbers] = counts
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _learn(self, words: list[str], first: int) -> None:
+        """Store the ids of the words numbered from `first` on."""
+        while first + len(words) > len(self.begin):
+            self.begin, self.count = np.concatenate([self.begin, self.begin]), np.concatenate([self.count, self.count])
+        raw = [w.encode() for w in words]
+        special = self.voc.special
+        by_width: dict[int, list[int]] = {}
+        for i, b in enumerate(raw):
+            width = -1 if words[i] in special else 0 if len(b) > WIDEST else max(2, 1 << (len(b) - 1).bit_length())
+            by_width.setdefault(width, []).append(i)
+        for width, at in by_width.items():
+            if width > 0:
+                for a in range(0, len(at), 1 << 14):
+                    part = at[a : a + (1 << 14)]
+                    self._store(first + np.array(part), *merge_rows([raw[i] for i in part], width, self.voc))
                 continue
-            b = len(w.encode())
-            by_width.setdefault(max(2, 1 << (b - 1).bit_length()) if b <= WIDEST else 0, []).append(w)
-        for width, group in by_width.items():
-            if width:
-                for i in range(0, len(group), 1 << 14):
-                    part = group[i : i + (1 << 14)]
-                    self.known.update(zip(part, merge_rows([w.encode() for w in part], width, self.voc), strict=True))
-            else:
-                if self.ranks is None:
-                    self.ranks = dict(zip(self.voc.pairs.tolist(), self.voc.ranks.tolist(), strict=True))
-                for w in group:
-                    self.known[w] = merge_one(w.encode(), self.voc, self.ranks)
+            for i in at:
+                if width < 0:
+                    ids: tuple[int, ...] = (special[words[i]],)
+                else:
+                    if self.ranks is None:
+                        self.ranks = dict(zip(self.voc.pairs.tolist(), self.voc.ranks.tolist(), strict=True))
+                    ids = merge_one(raw[i], self.voc, self.ranks)
+                self._store(np.array([first + i]), np.array(ids, np.int32), np.array([len(ids)]))
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin."""
+        if len(self.numbers) > CACHED:
+            self.forget()
+        split = [self.pretokens(t or "") for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        first = len(self.numbers)
+        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        self._learn(self.numbers.fresh, first)
+        self.numbers.fresh.clear()
+        count = self.count[at]
+        ends = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return self.ids[spread(self.begin[at], count)], ends
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
-        if len(self.known) > CACHED:
-            self.known = {}
-        split = [self.pretokens(t or "") for t in texts]
-        self.learn(set(chain.from_iterable(split)) - self.known.keys())
-        of = self.known.__getitem__
-        return [list(chain.from_iterable(map(of, words))) for words in split]
+        ids, ends = self.encode_flat(texts)
+        return [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+class Decoder:
+    """Ids to text, in one process. Special tokens stay; bytes that are no UTF-8 become U+FFFD; ids outside the vocabulary vanish."""
 
+    def __init__(self, token_bytes: list[bytes]):
+        self.size = len(token_bytes)
+        self.count = np.array([*map(len, token_bytes), 0], np.int64)
+        self.begin = np.cumsum(self.count) - self.count
+        self.bytes = np.frombuffer(b"".join(token_bytes), np.uint8)
 
-def decode_ids(ids: Iterable[int], token_bytes: list[bytes]) -> str:
-    """Special tokens stay; bytes that are no UTF-8 become U+FFFD; ids outside the vocabulary vanish."""
-    n = len(token_bytes)
-    return b"".join([token_bytes[i] for i in ids if 0 <= i < n]).decode("utf-8", "replace")
+    def decode_flat(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        known = np.where((ids >= 0) & (ids < self.size), ids, self.size)
+        count = self.count[known]
+        raw = self.bytes[spread(self.begin[known], count)].tobytes()
+        cuts = np.concatenate([[0], np.cumsum(count)])[ends]
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -284,12 +338,9 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
         for batch in batches:
             column = batch.column(len(rest))
             texts = column.to_pylist()
-            for a, b in _slices((len(t or "") for t in texts), 1 << 20):
-                out = encoder.encode_batch(texts[a:b])
-                offsets = np.zeros(len(out) + 1, np.int32)
-                np.cumsum([len(x) for x in out], out=offsets[1:])
-                flat = np.fromiter(chain.from_iterable(out), np.int32, int(offsets[-1]))
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            for a, b in _slices((len(t or "") for t in texts), 1 << 21):
+                flat, ends = encoder.encode_flat(texts[a:b])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(len(rest))], lists], names=[*rest, ids])
 
     return source.mapInArrow(run, schema)
@@ -306,13 +357,15 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
     schema = T.StructType([*source.schema.fields, T.StructField(text, T.StringType(), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token_bytes = shared.value
+        decoder = Decoder(shared.value)
         for batch in batches:
             lists = batch.column(at)
             sizes = (s or 0 for s in lists.value_lengths().to_pylist())
             for a, b in _slices(sizes, 1 << 19):
                 part = batch.slice(a, b - a)
-                out = [decode_ids(x or (), token_bytes) for x in part.column(at).to_pylist()]
+                own = part.column(at)
+                ends = np.concatenate([[0], np.cumsum(own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+                out = decoder.decode_flat(own.flatten().to_numpy(zero_copy_only=False), ends)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*names, text])
 
     return source.mapInArrow(run, schema)
