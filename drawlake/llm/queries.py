@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drawlake.llm import bpe, chat_format, line_dedup, near_duplicates, secret_scan, toxicity
+from drawlake.llm import bpe, chat_format, decontaminate, line_dedup, near_duplicates, secret_scan, toxicity, wrappers
 from drawlake.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -37,11 +41,15 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe, op3_near_duplicates, op4_toxicity, op7_line_dedup, op8_chat_format, op10_secret_scan)
+    f.__name__: f for f in (op2_bpe, op3_near_duplicates, op4_toxicity, op5_html_extraction, op7_line_dedup, op8_chat_format, op9_decontamination, op10_secret_scan)
 }
 ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.sql(), "op8_chat_format": chat_format.sql()}
