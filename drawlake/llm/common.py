@@ -35,13 +35,12 @@ def ship(spark: SparkSession) -> None:
     sc._drawlake_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that lost executors cost no recomputation of what came before.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    The folder is spark.checkpoint.dir of the session. Only a local master, where driver and executors are one process,
-    gets a temporary folder when the setting is absent; a cluster without it is an error.
+    Only a local master, where driver and executors are one process, gets a temporary folder when the setting is absent; a
+    cluster without it is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -50,6 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="drawlake-checkpoint")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder, so that lost executors cost no recomputation of what came before."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

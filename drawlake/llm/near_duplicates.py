@@ -335,5 +335,6 @@ def keep_one(df: DataFrame, **options) -> DataFrame:
     """
     gone = near_duplicates(df, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
     left = df.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    named = left.where(F.col("doc_id").isNotNull()).withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
-    return named.unionByName(left.where(F.col("doc_id").isNull()))
+    # A repeated row shares doc_id and text; a null doc_id names no document, so such rows each have a key of their own.
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    return left.withColumn("__hash", F.xxhash64("text")).withColumn("__own", own).dropDuplicates(["doc_id", "__hash", "__own"]).drop("__hash", "__own")

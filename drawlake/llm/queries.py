@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from drawlake.llm import bpe, chat_format, decontaminate, line_dedup, near_duplicates, secret_scan, toxicity, wrappers
+from drawlake.llm import ann, bpe, chat_format, decontaminate, line_dedup, near_duplicates, secret_scan, token_scan, toxicity, wrappers
 from drawlake.llm.common import table
 
 
@@ -16,6 +17,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -32,6 +37,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.document_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -50,6 +59,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe, op3_near_duplicates, op4_toxicity, op5_html_extraction, op7_line_dedup, op8_chat_format, op9_decontamination, op10_secret_scan)
+    f.__name__: f
+    for f in (
+        op1_ann,
+        op2_bpe,
+        op3_near_duplicates,
+        op4_toxicity,
+        op5_html_extraction,
+        op6_token_counts,
+        op7_line_dedup,
+        op8_chat_format,
+        op9_decontamination,
+        op10_secret_scan,
+    )
 }
-ORACLE_SQL: dict[str, str] = {"op7_line_dedup": line_dedup.sql(), "op8_chat_format": chat_format.sql()}
+ORACLE_SQL: dict[str, str] = {"op6_token_counts": token_scan.SQL, "op7_line_dedup": line_dedup.sql(), "op8_chat_format": chat_format.sql()}
