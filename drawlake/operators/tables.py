@@ -42,7 +42,7 @@ def vote(reads: DataFrame, order: str = "reader_no") -> DataFrame:
     grouped = reads.groupBy("page", "table_index").agg(F.array_sort(F.collect_list(fields)).alias("reads"))
     at = lambda i: F.get("reads", F.lit(i))
     rotate = (F.size("reads") == 3) & ~same_shape(at(0), at(1)) & same_shape(at(1), at(2))
-    led = grouped.withColumn("reads", F.when(rotate, F.concat(F.slice("reads", 2, 2), F.slice("reads", 1, 1))).otherwise(F.col("reads"))).withColumn("base", at(0))
+    led = grouped.withColumn("rotated", rotate).withColumn("reads", F.when(F.col("rotated"), F.concat(F.slice("reads", 2, 2), F.slice("reads", 1, 1))).otherwise(F.col("reads"))).withColumn("base", at(0))
     rest = F.slice("reads", 2, F.greatest(F.size("reads") - 1, F.lit(1)))
     led = led.withColumn("peers", F.filter(rest, lambda r: same_shape(r, F.col("base")))).withColumn("odd", F.filter(rest, lambda r: ~same_shape(r, F.col("base"))))
     cells = F.transform(
@@ -60,7 +60,7 @@ def vote(reads: DataFrame, order: str = "reader_no") -> DataFrame:
         F.transform(listed, lambda z: z.dropFields("d")).alias("disputed"),
         F.concat(F.array("base.reader"), F.col("peers.reader")).alias("readers"),
         F.try_divide(F.size(F.filter(flat, lambda c: c["unanimous"])), F.size(flat)).alias("cell_agreement"),
-        F.col("odd.reader").alias("shape_mismatch"), rotate.alias("rotated"),
+        F.col("odd.reader").alias("shape_mismatch"), "rotated",
     )
 
 

@@ -54,8 +54,10 @@ from ({{all}}) a where twin = 0 and sk % 6 <> 0
 """,
     "pages_": "select distinct cast(l_orderkey {div} 200 as int) page, cast(900 + (l_orderkey {div} 200 * 137) % 6000 as int) width, cast(700 + (l_orderkey {div} 200 * 211) % 4000 as int) height from lineitem",
     "zones": """
-select p.page, z.no, z.kind, z.zx0, z.zy0, z.zx1, z.zy1 from (select distinct cast(l_orderkey {div} 200 as int) page from lineitem) p cross join (
-  select 0 no, 'notes' kind, 0 zx0, 0 zy0, 700 zx1, 500 zy1 union all select 1, 'legend', 4000, 2500, 4900, 3200 union all select 2, 'other', 2000, 1500, 2300, 1800) z
+with p as (select distinct cast(l_orderkey {div} 200 as int) page from lineitem)
+select page, 0 no, 'notes' kind, 0 zx0, 0 zy0, 700 zx1, 500 zy1 from p
+union all select page, 1, 'legend', 4000, 2500, 4900, 3200 from p
+union all select page, 2, 'other', 2000, 1500, 2300, 1800 from p
 """,
     "calls": """
 select event_id, event_type layer, cast(null as {text}) role, concat('m', cast(event_id % 7 as {text})) model, case when event_id % 11 = 0 then 'error' else 'ok' end status,

@@ -165,12 +165,16 @@ def observe(tiles: DataFrame, reader: ReaderSpec) -> DataFrame:
     schema = "page int, tile_id string, text string, kind string, symbol string, attached_to string, line_color string, x0 double, y0 double, x1 double, y1 double, confidence double, error string"
     read, who = reader.read, reader.name
 
+    def shaped(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.reindex(columns=names).astype(object)
+        return df.where(df.notna(), None)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
-                yield read(batch).reindex(columns=names)
+                yield shaped(read(batch))
             except Exception as e:  # a reader's failure is a row, so that the other tiles go on
-                yield pd.DataFrame({"page": batch["page"], "tile_id": batch["tile_id"], "error": f"{type(e).__name__}: {e}"[:200]}).reindex(columns=names)
+                yield shaped(pd.DataFrame({"page": batch["page"], "tile_id": batch["tile_id"], "error": f"{type(e).__name__}: {e}"[:200]}))
 
     found = tiles.mapInPandas(run, schema).join(tiles.select("page", "tile_id", F.col("box").alias("tile")), ["page", "tile_id"])
     sx = reader_scale(F.lit(reader.thousandths), F.col("tile.x1") - F.col("tile.x0"))
