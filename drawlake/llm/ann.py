@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import cut, ship
+from drawlake.llm.common import cut, ship, tidy
 
 SAMPLE = 20_000  # vectors that centroids and codebooks are fitted on, at most: those whose id hashes lowest
 MOST_LISTS = 4096
@@ -152,7 +152,7 @@ def search(
             at, codes = encode(shared.value, _vectors(batch.column(1), d))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["entry", "embedding", "list", "code"])
 
-    listed = cut(entries.select("entry", "embedding").mapInArrow(place, "entry long, embedding array<float>, list int, code binary"))
+    listed = cut(entries.select("entry", "embedding").mapInArrow(tidy(place), "entry long, embedding array<float>, list int, code binary"))
     sizes = dict(listed.groupBy("list").count().collect())  # at most MOST_LISTS rows
     parts = spark.sparkContext.broadcast({c: -(-m // block) for c, m in sizes.items()})
 
@@ -177,7 +177,7 @@ def search(
     part_of = F.lit(0) if split_by is None else F.pmod(F.xxhash64("entry"), F.coalesce(F.try_element_at(split_by, F.col("list")), F.lit(1))).cast("int")
     candidates = listed.select("list", part_of.alias("part"), F.lit(0).alias("kind"), "entry", "embedding", "code")
     wanted = entries.join(owners.select(F.col("owner").alias("entry")).distinct(), "entry", "left_semi").select("entry", "embedding")
-    probed = wanted.mapInArrow(probe, "entry long, embedding array<float>, list int, part int").select(
+    probed = wanted.mapInArrow(tidy(probe), "entry long, embedding array<float>, list int, part int").select(
         "list", "part", F.lit(1).alias("kind"), "entry", "embedding", F.lit(None).cast("binary").alias("code")
     )
     work = candidates.unionByName(probed).repartition("list", "part").sortWithinPartitions("list", "part", "kind", "entry")
@@ -210,7 +210,7 @@ def search(
                     [pa.array(np.repeat(part.column(3).to_numpy(), count)), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))], names=["owner", "entry", "score"]
                 )
 
-    near = work.mapInArrow(rank, "owner long, entry long, score double")
+    near = work.mapInArrow(tidy(rank), "owner long, entry long, score double")
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("owner").orderBy("score", "entry"))).where(F.col("r") <= k + 1)
     with_ids = best.select("owner", "entry", "score").join(entries.select("entry", "ids"), "entry").select("owner", "score", F.explode("ids").alias("vec_id"))
     lists = cut(

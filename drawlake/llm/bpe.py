@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drawlake.llm.common import drop_if_there, ship
+from drawlake.llm.common import drop_if_there, ship, tidy
 
 # The split of byte-level BPE into pretokens. Spaces are those with the White_Space property.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 PRETOKENS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 WIDEST = 64  # bytes of a pretoken that still runs in the matrix
-CACHED = 400_000  # pretokens whose ids a worker remembers; a matter of speed only
+CACHED = 200_000  # pretokens whose ids a task remembers; a matter of speed only
 NONE = np.iinfo(np.int64).max
 
 
@@ -294,20 +294,6 @@ class Decoder:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def _encoder(shared) -> Encoder:
-    """One encoder per worker and broadcast, so that its memory of pretokens outlives a task."""
-    if shared.value is None:
-        raise ValueError("no vocabulary")
-    key = id(shared.value)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shared.value)
-    return _ENCODERS[key]
-
-
 def _slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about `most` characters or more only as a single row."""
     start, held, i = 0, 0, 0
@@ -334,7 +320,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     schema = T.StructType([*[source.schema[i] for i in range(len(rest))], T.StructField(ids, T.ArrayType(T.IntegerType(), False), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = Encoder(shared.value)
         for batch in batches:
             column = batch.column(len(rest))
             texts = column.to_pylist()
@@ -343,7 +329,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(len(rest))], lists], names=[*rest, ids])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -368,7 +354,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
                 out = decoder.decode_flat(own.flatten().to_numpy(zero_copy_only=False), ends)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*names, text])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def digests(df: DataFrame, vocabulary: str) -> DataFrame:

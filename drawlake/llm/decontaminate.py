@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drawlake.llm import words as W
-from drawlake.llm.common import ship
+from drawlake.llm.common import ship, tidy
 
 GRAM = 3  # words of a seed
 SHARE, LEAST = 0.5, 12  # of an item's n-grams, the rarest share are seeds, and no fewer than LEAST
@@ -106,7 +106,7 @@ def document_frequency(docs: DataFrame, keys: np.ndarray, short: bool, text: str
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count[own])], names=["key", "n"])
 
     out = np.zeros(len(keys), np.int64)
-    for key, n in docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n")).collect():
+    for key, n in docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n")).collect():
         out[key] = n
     return out
 
@@ -201,7 +201,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold:
                         names=["doc_id", "item_id", "score", "start", "stop", "seeds"],
                     )
 
-        part = docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+        part = docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -225,5 +225,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", thresh
                     clean += [not leaks_of(found[i:j], seeds, short, threshold) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(tidy(run), schema)
     return out

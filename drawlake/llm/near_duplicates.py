@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drawlake.llm import words as W
-from drawlake.llm.common import cut, ship
+from drawlake.llm.common import cut, ship, tidy
 from drawlake.llm.components import components
 
 SIMILARITY = 0.8
@@ -86,7 +86,7 @@ def sketch(df: DataFrame, text: str = "text", shingle: int = SHINGLE, trees: int
                     [batch.column(0), pa.array(node, mask=sizes == 0), pa.array(sizes), _long_list(keys)], names=["doc_id", "node", "n", "keys"]
                 )
 
-    return df.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, n int, keys array<long>")
+    return df.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, node long, n int, keys array<long>")
 
 
 def dealt(rows: DataFrame, group: list[str], blocks: str) -> DataFrame:
@@ -218,7 +218,7 @@ def candidate_links(classes: DataFrame, similarity: float, trees: int, depth: in
                 own = nodes != roots
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(roots[own])], names=["a", "b"])
 
-    return work.mapInArrow(run, "a long, b long")
+    return work.mapInArrow(tidy(run), "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -291,7 +291,7 @@ def verified_links(docs: DataFrame, members: DataFrame, similarity: float, shing
                     at = np.searchsorted(node, nodes)
                     yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots), pa.array(links[at])], names=["node", "root", "links"])
 
-    return work.mapInArrow(run, "node long, root long, links long")
+    return work.mapInArrow(tidy(run), "node long, root long, links long")
 
 
 def near_duplicates(

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from drawlake.llm import words as W
-from drawlake.llm.common import cut, ship
+from drawlake.llm.common import cut, ship, tidy
 
 DTYPE = "<u2"
 END = 65_535  # id of the end of a document
@@ -38,7 +38,7 @@ def read_files(spark: SparkSession, path: str, dtype: str = DTYPE, block_tokens:
                 for i, a in enumerate(range(0, max(len(view), 1), step)):
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int64()), pa.array([bytes(view[a : a + step])], pa.binary())], names=["file", "block", "data"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(tidy(run), "file string, block long, data binary")
 
 
 def separators(blocks: DataFrame, end: int = END, dtype: str = DTYPE) -> DataFrame:
@@ -60,7 +60,7 @@ def separators(blocks: DataFrame, end: int = END, dtype: str = DTYPE) -> DataFra
             )
 
     return blocks.select(F.col("file").cast("string"), F.col("block").cast("long"), "data").mapInArrow(
-        run, "file string, block long, size long, ends long, head long, last long, inner array<long>"
+        tidy(run), "file string, block long, size long, ends long, head long, last long, inner array<long>"
     )
 
 
@@ -140,7 +140,7 @@ def flat_stream(docs: DataFrame, text: str = "text", block_tokens: int = BLOCK_T
         if len(left):
             yield written([left])
 
-    both = cut(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).mapInArrow(run, "file string, number long, data binary, doc_id long"))
+    both = cut(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "file string, number long, data binary, doc_id long"))
     blocks = both.where(F.col("data").isNotNull()).select("file", F.col("number").alias("block"), "data")
     return blocks, both.where(F.col("data").isNull()).select("file", F.col("number").alias("ordinal"), "doc_id")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drawlake.llm.common import drop_if_there, ship
+from drawlake.llm.common import drop_if_there, ship, tidy
 
 SAMPLE = 20_000  # labelled rows that the model is fitted on, at most: those whose doc_id hashes lowest
 ENTRIES = 20_000  # candidate entries of the lexicon, at most
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     totals = dict(rows.groupBy("label").count().collect())
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     base = (n1 + 1) / (n0 + n1 + 2)
-    by_entry = rows.mapInArrow(counts, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    by_entry = rows.mapInArrow(tidy(counts), "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     ratio = F.col("toxic") * F.log(share / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - base))).otherwise(0.0)
     found = (
@@ -250,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
             held = [[number[w] for w in words_of(t) if w in number] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"held": pa.array(held, pa.list_(pa.int32()))})
 
-    texts = [r["held"] for r in rows.where("label = 1").select("text").mapInArrow(incidence, "held array<int>").collect()]
+    texts = [r["held"] for r in rows.where("label = 1").select("text").mapInArrow(tidy(incidence), "held array<int>").collect()]
     lexicon = {}
     for w in {*_cover(texts, candidates, stats), *INSULTS}:
         clean, toxic = stats.get(w, (0, 0))
@@ -264,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
             x = [scanner.emitted(t).tolist() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
-    points = rows.mapInArrow(measured, "x array<double>, label int").groupBy("x", "label").count().collect()
+    points = rows.mapInArrow(tidy(measured), "x array<double>, label int").groupBy("x", "label").count().collect()
     rows.unpersist()
     return Model(lexicon, _logistic(points))
 
@@ -333,7 +333,7 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = TH
             p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)
 
 
 def held_out():

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import cut, own_name, ship
+from drawlake.llm.common import cut, own_name, ship, tidy
 
 PARTS = 64  # parts of a host that are folded apart before the whole
 BROADCAST_BYTES = 8 << 20
@@ -311,10 +311,10 @@ def infer(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
                 folder.add_wrapper(host, text)
         yield from emit(folder)
 
-    parts = rows.mapInArrow(over_pages, "host string, wrapper string")
+    parts = rows.mapInArrow(tidy(over_pages), "host string, wrapper string")
     salted = parts.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)))
-    some = salted.repartition("host", "part").sortWithinPartitions("host", "part", "wrapper").select("host", "wrapper").mapInArrow(over_wrappers, "host string, wrapper string")
-    return some.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(over_wrappers, "host string, wrapper string")
+    some = salted.repartition("host", "part").sortWithinPartitions("host", "part", "wrapper").select("host", "wrapper").mapInArrow(tidy(over_wrappers), "host string, wrapper string")
+    return some.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(tidy(over_wrappers), "host string, wrapper string")
 
 
 @lru_cache(2048)
@@ -369,7 +369,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", text: str =
             out = [article_text(p, w) for p, w in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(out, pa.string())], names=[*rest, text])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
