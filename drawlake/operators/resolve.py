@@ -11,6 +11,7 @@ from drawlake.functions import text as X
 from drawlake.functions.geometry import iou
 from drawlake.operators.rules import RuleSet, applied
 from drawlake.operators.spatial import in_any_zone
+from drawlake.sources.scratch import cut
 
 SEAM_IOU = 0.25
 NOT_EQUIPMENT = ["annotation", "line_label", "other"]
@@ -59,8 +60,9 @@ def verdict_maps(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("page", F.substring_index("tag_key", "|", -1).alias("tag")).agg(F.map_from_entries(F.array_distinct(F.collect_list(pair))).alias("verdicts"))
 
 
-def resolve(observations: DataFrame, contexts: DataFrame, ruleset: RuleSet, verdicts: DataFrame | None = None) -> Resolved:
-    """The whole plan. observations and contexts as in schemas; verdicts only of the questions that the rules ask now."""
+def resolve(observations: DataFrame, contexts: DataFrame, ruleset: RuleSet, verdicts: DataFrame | None = None, keep: bool = False) -> Resolved:
+    """The whole plan. observations and contexts as in schemas; verdicts only of the questions that the rules ask now. keep
+    materialises the deduped readings, for callers that use several results."""
     tagged = flagged(observations, contexts, ruleset)
     kept = tagged.where(~F.col("low") & ~F.col("suppressed")).drop("low", "suppressed")
     unique = drop_seam_copies(kept, ruleset.norm(F.col("text")))
@@ -70,6 +72,8 @@ def resolve(observations: DataFrame, contexts: DataFrame, ruleset: RuleSet, verd
         unique = unique.join(maps, (F.col("page") == F.col("v_page")) & (X.key(F.col("text")) == F.col("tag")), "left").drop("v_page", "tag")
         checks = F.col("verdicts")
     unique = unique.withColumn("applied", applied(ruleset, F.col("codes"), checks))
+    if keep:
+        unique = cut(unique)
     values = unique.select("*", F.explode("applied").alias("a")).select("*", "a.rule", "a.category", F.explode("a.values").alias("value"))
     first = F.struct(
         F.col("rule"), (-F.coalesce(F.col("confidence"), F.lit(0.0))).alias("o1"), F.col("ord"), F.col("bbox"), F.col("text"), F.col("symbol"), F.col("confidence"), F.col("tile_id")

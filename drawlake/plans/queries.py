@@ -14,6 +14,7 @@ from drawlake.operators import assistant, benchmarks, cascade, review, scoring,
 from drawlake.operators.resolve import Resolved, flagged, resolve, unclaimed_sample, unclassified
 from drawlake.operators.rules import applied
 from drawlake.plans.proxies import contexts, frame, observations, rules, table_reads, with_relations
+from drawlake.sources.scratch import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,8 +85,8 @@ hits as (
 emitted as (select *, {norm("raw")} as value from hits where trim(raw) <> '')"""
 
 
-def resolved(spark: SparkSession, sf_dir: str) -> Resolved:
-    return resolve(observations(spark, sf_dir), contexts(spark, sf_dir), rules())
+def resolved(spark: SparkSession, sf_dir: str, keep: bool = False) -> Resolved:
+    return resolve(observations(spark, sf_dir), contexts(spark, sf_dir), rules(), keep=keep)
 
 
 # Geometry and filters -------------------------------------------------------------------------------------------------------
@@ -316,10 +317,10 @@ scored as (select page, category, e.expected is not null in_key, coalesce(e.expe
   coalesce(e.found - e.exact, 0) cleanup_only, cast(e.found as double) / e.expected recall from e full join g using (page, category))"""
 
 
-def _scored(spark, sf_dir):
+def _scored(spark, sf_dir, answers=None):
     key = frame(spark, sf_dir, "answer_key").select("document_id", "category", "value")
     pages = scoring.documents_of_sheets(contexts(spark, sf_dir), key)
-    return scoring.score_categories(resolved(spark, sf_dir).answers, key, pages)
+    return scoring.score_categories(resolved(spark, sf_dir).answers if answers is None else answers, key, pages)
 
 
 @query("obs zones answer_key", SCORED + " select * from scored")
@@ -342,18 +343,18 @@ def extra_values(spark, sf_dir):
 # Review ---------------------------------------------------------------------------------------------------------------------
 
 
-def _queue(spark, sf_dir, decisions=None):
-    r, o = resolved(spark, sf_dir), observations(spark, sf_dir)
+def _queue(spark, sf_dir, r: Resolved):
+    o = observations(spark, sf_dir)
     null = F.lit(None).cast("string")
     # Some readings carry a ruling, as a merged reading of two would.
     source = F.when(F.col("pk") % 6 == 0, "adjudicated").otherwise("agreed")
     o = o.withColumns({"source": source, "dispute": F.when(F.col("pk") % 12 == 0, "conflict").otherwise("solo_a"), "claim_a": F.when(F.col("sk") % 2 == 0, F.col("text")), "claim_b": null})
-    return review.queue(r.provenance, o, frame(spark, sf_dir, "regions"), contexts(spark, sf_dir), scoring.extra_values(_scored(spark, sf_dir)), decisions)
+    return review.queue(r.provenance, o, frame(spark, sf_dir, "regions"), contexts(spark, sf_dir), scoring.extra_values(_scored(spark, sf_dir, r.answers)))
 
 
 @query()
 def review_queue(spark, sf_dir):
-    return _queue(spark, sf_dir).select("page", "id", "kind", "category", "value", "priority", "zone", "tile_id", "rule", "claim_a", "seen_by", "det_score", "expected_n")
+    return _queue(spark, sf_dir, resolved(spark, sf_dir, keep=True)).select("page", "id", "kind", "category", "value", "priority", "zone", "tile_id", "rule", "claim_a", "seen_by", "det_score", "expected_n")
 
 
 @query("obs", f"""select page, ord, substr(sha1(case when {KEY.format('text')} <> '' and pk % 4 <> 0 then concat(cast(page as varchar), '|', kind, '|', symbol, '|', {KEY.format('text')})
@@ -378,15 +379,20 @@ def _decisions(items):
     )
 
 
+def _decided(spark, sf_dir, r: Resolved):
+    items = cut(_queue(spark, sf_dir, r).drop("decision"))
+    return items.join(review.latest(_decisions(items)), ["page", "id"], "left")
+
+
 @query()
 def review_summary(spark, sf_dir):
-    return review.summary(_queue(spark, sf_dir, _decisions(_queue(spark, sf_dir))))
+    return review.summary(_decided(spark, sf_dir, resolved(spark, sf_dir, keep=True)))
 
 
 @query()
 def apply_decisions(spark, sf_dir):
-    items = _queue(spark, sf_dir, _decisions(_queue(spark, sf_dir)))
-    return review.decided_answers(resolved(spark, sf_dir).answers, items)
+    r = resolved(spark, sf_dir, keep=True)
+    return review.decided_answers(r.answers, _decided(spark, sf_dir, r))
 
 
 # Verify ---------------------------------------------------------------------------------------------------------------------
