@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drawlake.llm.common import drop_if_there, ship, tidy
+from drawlake.llm.common import drop_if_there, own_name, ship, tidy
 
 # The split of byte-level BPE into pretokens. Spaces are those with the White_Space property.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -316,7 +316,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     ship(spark)
     shared = spark.sparkContext.broadcast(Vocabulary.load(vocabulary))
     rest = [c for c in (df.columns if keep is None else keep) if c.lower() != ids.lower()]
-    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias("__text"))
+    source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias(own_name(df, "__text")))
     schema = T.StructType([*[source.schema[i] for i in range(len(rest))], T.StructField(ids, T.ArrayType(T.IntegerType(), False), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

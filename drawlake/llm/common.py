@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drawlake.sources.scratch import cut, shared_folder  # noqa: F401
+
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _PACKAGE = Path(__file__).resolve().parents[1]
 
@@ -37,29 +39,6 @@ def ship(spark: SparkSession) -> None:
     sc._drawlake_shipped = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only a local master, where driver and executors are one process, gets a temporary folder when the setting is absent; a
-    cluster without it is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="drawlake-checkpoint")
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder, so that lost executors cost no recomputation of what came before."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """f for mapInArrow; when a task is over, the memory it freed goes back to the system. Workers outlive tasks, and several
     idle ones share an executor's memory with the one that runs."""

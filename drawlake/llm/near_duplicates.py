@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drawlake.llm import words as W
-from drawlake.llm.common import cut, ship, tidy
+from drawlake.llm.common import cut, own_name, ship, tidy
 from drawlake.llm.components import components
 
 SIMILARITY = 0.8
@@ -333,8 +333,9 @@ def keep_one(df: DataFrame, **options) -> DataFrame:
 
     Documents of null doc_id or without words all stay. Columns are those of df.
     """
-    gone = near_duplicates(df, **options).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = df.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    lost, mark, own = own_name(df, "__gone"), own_name(df, "__hash"), own_name(df, "__own")
+    gone = near_duplicates(df, **options).where("doc_id <> class_id").select(F.col("doc_id").alias(lost)).distinct()
+    left = df.join(gone, F.col("doc_id").cast("long") == F.col(lost), "left_anti")
     # A repeated row shares doc_id and text; a null doc_id names no document, so such rows each have a key of their own.
-    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
-    return left.withColumn("__hash", F.xxhash64("text")).withColumn("__own", own).dropDuplicates(["doc_id", "__hash", "__own"]).drop("__hash", "__own")
+    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    return left.withColumn(mark, F.xxhash64("text")).withColumn(own, alone).dropDuplicates(["doc_id", mark, own]).drop(mark, own)

@@ -17,6 +17,7 @@ from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass
+from statistics import median
 
 import ahocorasick
 import numpy as np
@@ -25,15 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drawlake.llm.common import drop_if_there, ship, tidy
+from drawlake.llm.common import drop_if_there, own_name, ship, tidy
 
 SAMPLE = 20_000  # labelled rows that the model is fitted on, at most: those whose doc_id hashes lowest
 ENTRIES = 20_000  # candidate entries of the lexicon, at most
 STEMS = (4, 5, 6)  # lengths of stems
 PRECISION = 0.9  # least share of toxic texts among the labelled texts that hold an entry
 EVIDENCE = 9.0  # least log-likelihood ratio of an entry against the base rate
+FORMS = 3.0  # words of a stem in a text that add to its evidence, at most
 COVER = 2  # entries that each toxic text is to be explained by, if there are any
 GAIN = 3  # toxic texts that an entry must newly explain
+LEAST_ODDS = 0.5  # log odds below which an entry is left out
+UNSEEN = 4.0  # log odds of the known insults where nothing was learned
 THRESHOLD = 0.3
 
 # The grammar's closed word classes, and insults known before any label is seen.
@@ -212,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     """
     ship(docs.sparkSession)
     chosen = F.broadcast(sample_labels(labels, label, most).select(F.col("doc_id").alias("__id"), F.col(label).alias("__label")))
-    joined = docs.join(chosen, F.col("doc_id") == F.col("__id")).select(F.col(text).alias("text"), F.col("__label").alias("label"))
+    joined = docs.select("doc_id", F.col(text).alias(text)).join(chosen, F.col("doc_id") == F.col("__id")).select(F.col(text).alias("text"), F.col("__label").alias("label"))
     # A materialised sample: three passes read it, and it is bounded.
     rows = _kept_rows(joined, "text", "label", most).persist()
 
@@ -220,21 +224,26 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
         return features_of(set(re.findall(r"\w+", t.lower())))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+        clean, toxic, forms = Counter(), Counter(), Counter()
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y].update(words_of(t))
-        names = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_pydict(
-            {"entry": pa.array(names, pa.string()), "clean": pa.array([seen[0][w] for w in names], pa.int64()), "toxic": pa.array([seen[1][w] for w in names], pa.int64())}
-        )
+                words = set(re.findall(r"\w+", t.lower()))
+                held = features_of(words)
+                (toxic if y else clean).update(held)
+                if y:
+                    forms.update([w[:k] + "*" for k in STEMS for w in words if len(w) > k])
+        names = list(clean.keys() | toxic.keys())
+        columns = [pa.array(names, pa.string()), *[pa.array([c[w] for w in names], pa.int64()) for c in (clean, toxic, forms)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["entry", "clean", "toxic", "forms"])
 
     totals = dict(rows.groupBy("label").count().collect())
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     base = (n1 + 1) / (n0 + n1 + 2)
-    by_entry = rows.mapInArrow(tidy(counts), "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    by_entry = rows.mapInArrow(tidy(counts), "entry string, clean long, toxic long, forms long").groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "forms")])
     share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     ratio = F.col("toxic") * F.log(share / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    # A stem that opens several words of a text is better attested than one that opens a single word by chance.
+    ratio = ratio * F.greatest(F.lit(1.0), F.least(F.lit(FORMS), F.col("forms") / F.col("toxic")))
     found = (
         by_entry.where((F.col("toxic") >= GAIN) & (share >= PRECISION) & (ratio >= EVIDENCE) | F.col("entry").isin(INSULTS))
         .orderBy(F.col("entry").isin(INSULTS).desc(), ratio.desc(), "entry")
@@ -251,12 +260,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
             yield pa.RecordBatch.from_pydict({"held": pa.array(held, pa.list_(pa.int32()))})
 
     texts = [r["held"] for r in rows.where("label = 1").select("text").mapInArrow(tidy(incidence), "held array<int>").collect()]
-    lexicon = {}
-    for w in {*_cover(texts, candidates, stats), *INSULTS}:
-        clean, toxic = stats.get(w, (0, 0))
-        weight = math.log((toxic + 1.5) / (clean + 0.5)) - math.log((n1 + 1.5) / (n0 + 0.5)) if toxic + clean else 2.0
-        if weight > 0.5:
-            lexicon[w] = round(weight, 6)
+    odds = {w: math.log((t + 1.5) / (c + 0.5)) - math.log((n1 + 1.5) / (n0 + 0.5)) for w in {*_cover(texts, candidates, stats), *stats.keys() & set(INSULTS)} for c, t in [stats[w]]}
+    lexicon = {w: round(v, 6) for w, v in odds.items() if v > LEAST_ODDS}
+    usual = round(median(lexicon.values()), 6) if lexicon else UNSEEN
+    lexicon |= {w: usual for w in INSULTS if w not in stats}  # an insult that no label tells of weighs what others do
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(lexicon)
@@ -354,5 +361,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """The documents whose score stays below the threshold, with the columns they came with."""
     model = fit_on_folds(docs if corpus is None else corpus, labels)
-    mark = "__toxic_text"
-    return score(docs.withColumn(mark, F.col("text").cast("string")), model, mark).where("predicted = 0").select(*[f"`{c}`" for c in docs.columns])
+    names = [own_name(docs, f"__c{i}") for i in range(len(docs.columns))]  # so that no column is taken for a score
+    renamed = docs.toDF(*names)
+    text = names[docs.columns.index("text")]
+    return score(renamed, model, text).where("predicted = 0").select(*names).toDF(*docs.columns)

@@ -355,12 +355,12 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", text: str =
     spark = pages.sparkSession
     ship(spark)
     found = cut(infer(pages, url, page))
-    host, wrapper, body = own_name(pages, "__host"), own_name(pages, "__wrapper"), own_name(pages, "__page")
+    host, wrapper, body, key = (own_name(pages, n) for n in ("__host", "__wrapper", "__page", "__key"))
     size = found.agg(F.sum(F.length("wrapper") * 2 + 100)).first()[0] or 0
     side = found.select(F.col("host").alias(host), F.col("wrapper").alias(wrapper))
     rest = [c for c in pages.columns if c.lower() not in (page.lower(), text.lower())]
-    rows = pages.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(page).cast("string"), F.lit("")).alias(body), host_of(F.col(url)).alias("__key"))
-    joined = rows.join(F.broadcast(side) if size <= broadcast_bytes else side, rows["__key"] == side[host], "left").select(*[f"`{c}`" for c in rest], body, wrapper)
+    rows = pages.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(page).cast("string"), F.lit("")).alias(body), host_of(F.col(url)).alias(key))
+    joined = rows.join(F.broadcast(side) if size <= broadcast_bytes else side, rows[key] == side[host], "left").select(*[f"`{c}`" for c in rest], body, wrapper)
     schema = joined.select(*[f"`{c}`" for c in rest], F.col(body).alias(text)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
