@@ -19,11 +19,11 @@ from drawlake.llm import words as W
 from drawlake.llm.common import ship, tidy
 
 GRAM = 3  # words of a seed
-SHARE, LEAST = 0.5, 12  # of an item's n-grams, the rarest share are seeds, and no fewer than LEAST
+SHARE, LEAST = 0.75, 12  # of an item's n-grams, the rarest share are seeds, and no fewer than LEAST
 HITS = 2  # seeds that a passage must hold, or all that an item has
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 THRESHOLD = 0.5  # of the score that the whole item would reach
-BLOCK_WORDS = 1_000_000  # benchmark words that one pass broadcasts
+BLOCK_WORDS = 250_000  # benchmark words that one pass broadcasts
 
 
 @dataclass
@@ -105,9 +105,9 @@ def document_frequency(docs: DataFrame, keys: np.ndarray, short: bool, text: str
         own = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count[own])], names=["key", "n"])
 
+    summed = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(keys), np.int64)
-    for key, n in docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n")).collect():
-        out[key] = n
+    out[summed.column("key").to_numpy()] = summed.column("n").to_numpy()
     return out
 
 

@@ -44,6 +44,9 @@ APART_WORDS = set(
     promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe
     subscription toolbar widget widgets alert alerts""".split()
 )
+PAGE_WORDS = set("site page global top main bottom".split())  # a header or footer of the page, not of a section
+STATE_WORDS = set("has with without no is hide show".split())  # a name that tells of the page's layout
+ARTICLE_APART = set("ad ads advert advertisement comment comments promo promoted related replies reply respond sponsored teaser".split())
 APART_ROLES = set("alert banner complementary contentinfo dialog form menu menubar navigation note search".split())
 ARTICLE = {"article", "main"}
 
@@ -60,12 +63,28 @@ def _element(name: str, attributes: str) -> tuple[str, bool]:
     """The name of a container in paths, and whether it stands apart from an article."""
     a = {k.lower(): x or y or z for k, x, y, z in _ATTRIBUTE.findall(attributes)}
     names = (a.get("class", "") + " " + a.get("id", "")).lower().split()
-    said = {w for n in names for w in _NAME_PARTS.split(n)}
-    apart = name in APART or bool(said & APART_WORDS) or a.get("role", "").lower() in APART_ROLES or bool(_HIDDEN.search(attributes)) or a.get("aria-hidden") == "true"
-    own = re.sub(r"\d+", "0", ".".join(names[:3]))
+    parts = [[w for w in _NAME_PARTS.split(n) if w] for n in names]
+    hidden = bool(_HIDDEN.search(attributes)) or a.get("aria-hidden") == "true"
+    if name in ("html", "body"):
+        apart = False
+    elif name in ARTICLE:
+        apart = hidden or any(w in ARTICLE_APART for p in parts for w in p)
+    else:
+        apart = hidden or name in APART or a.get("role", "").lower() in APART_ROLES or any(_names_apart(p) for p in parts)
+    own = ".".join(filter(None, (re.sub(r"\d.*", "", n) for n in names[:3])))  # numbers tell instances apart, not kinds
     return name + ("." + own if own else ""), apart
 
 
+def _names_apart(words: list[str]) -> bool:
+    """Whether a class or id names something that is no part of an article."""
+    if not words or words[0] in STATE_WORDS:
+        return False
+    said = APART_WORDS.intersection(words)
+    if said <= {"header", "footer"}:
+        return bool(said) and set(words) - said <= PAGE_WORDS
+    return True
+
+
 class Slot:
     """A text of a page: path of its containers, text, characters of it inside links, whether a container stands apart."""
 

@@ -176,6 +176,12 @@ def test_extraction_without_an_article_uses_what_differs(spark):
     assert got == {i: " ".join([f"Story {i} begins."] + ["It goes on."] * (i % 4)) for i in range(12)}
 
 
+def test_names_of_containers():
+    apart = lambda html: wrappers._element(*html)[1]
+    assert not any(apart(x) for x in (("body", ' class="page has-sidebar"'), ("div", ' class="with-sidebar"'), ("div", ' class="section-header"'), ("article", ' class="post share"'), ("div", ' id="content"'), ("div", ' class="platform"')))
+    assert all(apart(x) for x in (("div", ' class="site-header"'), ("div", " id=footer"), ("article", ' class="comment"'), ("div", ' class="ad-slot-3"'), ("p", " hidden"), ("div", ' style="display: none"'), ("div", ' role="search"'), ("aside", "")))
+
+
 def test_wrappers_align_and_fold():
     a, b = (wrappers.fold_repeats(wrappers.read_page(h)[0]) for h in ("<ul><li>x<li>y<li>z</ul><p>t</p>", "<ul><li>x</ul><div>d</div><p>t</p>"))
     merged = wrappers.align(a, b)
