@@ -558,3 +558,6 @@ def rule_preview_diff(spark, sf_dir):
 def rule_preview_recall(spark, sf_dir):
     key = frame(spark, sf_dir, "answer_key").select("document_id", "category", "value")
     return assistant.preview(observations(spark, sf_dir), contexts(spark, sf_dir), rules(), "modify", 3, NARROW, key).keyed
+
+
+from drawlake.plans import details  # noqa: E402, F401  (registers its queries here)
