@@ -10,7 +10,7 @@ from drawlake.functions import text as X
 from drawlake.functions import values as V
 from drawlake.operators import benchmarks, resolve, review, scoring, spatial, stats, tables, verify
 from drawlake.plans.proxies import contexts, frame, observations, rules, table_reads
-from drawlake.plans.queries import CONNECTOR, INSIDE, IOU, KEY, NORM, flat, query, resolved
+from drawlake.plans.queries import CONNECTOR, INSIDE, IOU, KEY, NORM, UNIQUE, emitted_sql, flat, query, resolved
 from drawlake.sources import readers, writers
 
 TILE = F.struct((F.col("bbox.x0") - F.col("bbox.x0") % 1062).alias("x0"), (F.col("bbox.y0") - F.col("bbox.y0") % 1062).alias("y0"), (F.col("bbox.x0") - F.col("bbox.x0") % 1062 + 1250).alias("x1"), (F.col("bbox.y0") - F.col("bbox.y0") % 1062 + 1250).alias("y1"))
@@ -235,13 +235,14 @@ def sheets_with_key(spark, sf_dir):
     return contexts(spark, sf_dir).select("page").join(found, "page", "left").select("page", F.col("document_id").isNotNull().alias("has_key"))
 
 
-@query()
+@query("obs zones", f"""+ {UNIQUE}, {emitted_sql('unique_')}, p as (select page, category, value, rule, tile_id from emitted qualify row_number() over (partition by page, category, value order by rule, conf_pct desc, ord) = 1)
+select page, category, string_agg(value, '|' order by value) as values_, string_agg(cast(rule as varchar), '|' order by value) rules, string_agg(tile_id, '|' order by value) tiles from p group by page, category""")
 def provenance_lists(spark, sf_dir):
     """Answers as sorted lists with the source of each value beside it."""
     p = resolved(spark, sf_dir).provenance
-    return p.groupBy("page", "category").agg(F.array_sort(F.collect_list(F.struct("value", "rule", "tile_id", "confidence"))).alias("entries")).select(
-        "page", "category", F.col("entries.value").alias("values"), F.col("entries.rule").alias("rules"), F.col("entries.tile_id").alias("tiles")
-    )
+    entries = p.groupBy("page", "category").agg(F.array_sort(F.collect_list(F.struct("value", "rule", "tile_id", "confidence"))).alias("e"))
+    joined = lambda c: F.array_join(F.col(f"e.{c}").cast("array<string>"), "|")
+    return entries.select("page", "category", joined("value").alias("values_"), joined("rule").alias("rules"), joined("tile_id").alias("tiles"))
 
 
 @query()

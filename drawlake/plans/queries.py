@@ -214,7 +214,13 @@ def best_overlap(spark, sf_dir):
     return spatial.best_overlap(frame(spark, sf_dir, "regions"), frame(spark, sf_dir, "obs"))
 
 
-@query()
+@query("regions", f"""+ e as (select a.page, a.ord, any_value(a.score) score, list(b.ord) preds from regions a join regions b on a.page = b.page and least(a.x1, b.x1) > greatest(a.x0, b.x0) and least(a.y1, b.y1) > greatest(a.y0, b.y0)
+  and (b.score > a.score or b.score = a.score and b.ord < a.ord) where {IOU.format(a='a', b='b')} > 0.4 group by a.page, a.ord),
+r as materialized (select *, row_number() over (partition by page order by score desc, ord) rn, count(*) over (partition by page) n from e),
+fold as (select distinct page, cast(0 as bigint) rn, cast([] as bigint[]) acc from r union all
+  select f.page, f.rn + 1, case when len(list_filter(r.preds, lambda p: not list_contains(f.acc, p))) > 0 then list_append(f.acc, r.ord) else f.acc end from fold f join r on r.page = f.page and r.rn = f.rn + 1),
+dropped as (select f.page, unnest(f.acc) ord from fold f join (select page, max(n) n from r group by page) m on m.page = f.page and m.n = f.rn)
+select page, ord, score from regions g where not exists (select 1 from dropped d where d.page = g.page and d.ord = g.ord)""")
 def nms_regions(spark, sf_dir):
     return spatial.suppress_overlaps(frame(spark, sf_dir, "regions")).select("page", "ord", "score")
 
@@ -243,19 +249,59 @@ def _rulings(items):
     )
 
 
-@query()
+# matched: the greedy fold over readings of the first reader, each with its possible partners, best first.
+MATCHED = f"""+ a_ as materialized (select * from obs where twin = 0),
+pairs as (select a.page, a.ord a_ord, b.ord b_ord, {IOU.format(a="a", b="b")} iou from a_ a join second b on a.page = b.page and least(a.x1, b.x1) > greatest(a.x0, b.x0) and least(a.y1, b.y1) > greatest(a.y0, b.y0)),
+cand as materialized (select page, a_ord, list(b_ord order by iou desc, b_ord) bs, row_number() over (partition by page order by a_ord) rn, count(*) over (partition by page) n from pairs where iou >= 0.2 group by page, a_ord),
+fold as (select distinct page, cast(0 as bigint) rn, cast([] as bigint[]) used, cast([] as bigint[]) takers from cand union all
+  select f.page, f.rn + 1, case when len(list_filter(c.bs, lambda b: not list_contains(f.used, b))) > 0 then list_append(f.used, list_filter(c.bs, lambda b: not list_contains(f.used, b))[1]) else f.used end,
+    case when len(list_filter(c.bs, lambda b: not list_contains(f.used, b))) > 0 then list_append(f.takers, c.a_ord) else f.takers end
+  from fold f join cand c on c.page = f.page and c.rn = f.rn + 1),
+matched as materialized (select f.page, unnest(f.takers) a_ord, unnest(f.used) b_ord from fold f join (select page, max(n) n from cand group by page) m on m.page = f.page and m.n = f.rn)"""
+WORTH = f"(length(o.text) <= 40 and regexp_matches(o.text, '[A-Za-z0-9]') and not exists (select 1 from zones z where z.page = o.page and {INSIDE}))"
+
+
+@query("obs second", MATCHED + " select page, a_ord, b_ord from matched")
+def reader_matches(spark, sf_dir):
+    first, second = observations(spark, sf_dir).where("twin = 0"), frame(spark, sf_dir, "second")
+    return spatial.greedy_match(first, second).select("page", "a_ord", "b_ord")
+
+
+@query("obs second zones", MATCHED + f""",
+worth_a as (select o.page, o.ord, {WORTH} w from a_ o), worth_b as (select o.page, o.ord, {WORTH} w from second o),
+pairs_ as (select m.page, {KEY.format('a.text')} = {KEY.format('b.text')} same, wa.w or wb.w w, a.tile_id from matched m join a_ a on a.page = m.page and a.ord = m.a_ord join second b on b.page = m.page and b.ord = m.b_ord
+  join worth_a wa on wa.page = m.page and wa.ord = m.a_ord join worth_b wb on wb.page = m.page and wb.ord = m.b_ord),
+disputes as (select page, 'conflict' kind, w, tile_id from pairs_ where not same
+  union all select a.page, 'solo_a', w.w, a.tile_id from a_ a join worth_a w on w.page = a.page and w.ord = a.ord where not exists (select 1 from matched m where m.page = a.page and m.a_ord = a.ord)
+  union all select b.page, 'solo_b', w.w, b.tile_id from second b join worth_b w on w.page = b.page and w.ord = b.ord where not exists (select 1 from matched m where m.page = b.page and m.b_ord = b.ord)),
+d as (select page, count(*) disputes, count(*) filter (where w) escalated, count(*) filter (where kind = 'conflict') conflicts, count(distinct tile_id) tiles from disputes group by page),
+g as (select page, count(*) filter (where same) agreed from pairs_ group by page)
+select page, agreed, disputes, escalated, conflicts, tiles, cast(agreed as double) / (agreed + disputes) agreement_rate from d join g using (page)""")
 def compare_readers(spark, sf_dir):
     c = _compared(spark, sf_dir)
     return cascade.agreement(c, cascade.disputes(c, contexts(spark, sf_dir)))
 
 
-@query()
+DISPUTES = MATCHED + f""",
+worth_a as (select o.page, o.ord, {WORTH} w from a_ o), worth_b as (select o.page, o.ord, {WORTH} w from second o),
+pairs_ as (select m.page, a.ord, {KEY.format('a.text')} = {KEY.format('b.text')} same, wa.w or wb.w w, a.tile_id, a.text ta, b.text tb from matched m join a_ a on a.page = m.page and a.ord = m.a_ord join second b on b.page = m.page and b.ord = m.b_ord
+  join worth_a wa on wa.page = m.page and wa.ord = m.a_ord join worth_b wb on wb.page = m.page and wb.ord = m.b_ord),
+listed as (select page, 'conflict' kind, ord, w, tile_id, ta, tb from pairs_ where not same
+  union all select a.page, 'solo_a', a.ord, w.w, a.tile_id, a.text, null from a_ a join worth_a w on w.page = a.page and w.ord = a.ord where not exists (select 1 from matched m where m.page = a.page and m.a_ord = a.ord)
+  union all select b.page, 'solo_b', b.ord, w.w, b.tile_id, null, b.text from second b join worth_b w on w.page = b.page and w.ord = b.ord where not exists (select 1 from matched m where m.page = b.page and m.b_ord = b.ord)),
+disputes as materialized (select *, row_number() over (partition by page order by kind, ord) - 1 gi from listed)"""
+
+
+@query("obs second zones", DISPUTES + """, n as (select *, row_number() over (partition by page, tile_id order by gi) - 1 n from disputes where w)
+select page, gi, kind, tile_id, n // 30 chunk, cast(n % 30 as int) id, ta claim_a, tb claim_b from n""")
 def dispute_chunks(spark, sf_dir):
     items = cascade.disputes(_compared(spark, sf_dir), contexts(spark, sf_dir))
     return cascade.chunks(items).select("page", "gi", "kind", "tile_id", "chunk", "id", "claim_a", "claim_b")
 
 
-@query()
+@query("obs second zones", DISPUTES + """, g as (select page, count(*) agreed from pairs_ where same group by page),
+d as (select page, count(*) filter (where w and gi % 3 = 0) adjudicated, count(*) filter (where not w or gi % 3 = 2) kept_unsettled, count(*) filter (where w and gi % 3 = 1) dropped_as_absent from disputes group by page)
+select page, agreed, adjudicated, kept_unsettled, dropped_as_absent from g join d using (page)""")
 def cascade_merge(spark, sf_dir):
     c = _compared(spark, sf_dir)
     items = cascade.disputes(c, contexts(spark, sf_dir))
@@ -352,7 +398,32 @@ def _queue(spark, sf_dir, r: Resolved):
     return review.queue(r.provenance, o, frame(spark, sf_dir, "regions"), contexts(spark, sf_dir), scoring.extra_values(_scored(spark, sf_dir, r.answers)))
 
 
-@query()
+def _sql_id(category: str, kind: str, bbox: str = "") -> str:
+    at = f"cast(cast(round_even(({bbox}x0 + {bbox}x1) / 64.0, 0) as bigint) as varchar), ',', cast(cast(round_even(({bbox}y0 + {bbox}y1) / 64.0, 0) as bigint) as varchar)"
+    valued = f"concat(cast(page as varchar), '|', {kind}, '|', coalesce({category}, ''), '|', {KEY.format('value')})"
+    return f"substr(sha1(case when {KEY.format('value')} <> '' then {valued} else concat(cast(page as varchar), '|', {kind}, '|@', {at}) end), 1, 12)"
+
+
+QUEUE = SCORED + rf""",
+prov as (select page, category, value, rule, tile_id, x0, y0, x1, y1 from emitted qualify row_number() over (partition by page, category, value order by rule, conf_pct desc, ord) = 1),
+last_ as (select * from obs qualify row_number() over (partition by page, x0, y0, x1, y1 order by ord desc) = 1),
+traced as (select p.*, case when l.pk % 12 = 0 then 'contested' else 'solo' end kind, case when l.sk % 2 = 0 then l.text end claim_a from prov p
+  join last_ l on l.page = p.page and l.x0 = p.x0 and l.y0 = p.y0 and l.x1 = p.x1 and l.y1 = p.y1 where l.pk % 6 = 0),
+zoned as (select o.*, z.kind zone from obs o join zones z on z.page = o.page and {INSIDE} qualify row_number() over (partition by o.page, o.ord order by z.no) = 1),
+items_ as (
+  select page, kind, category, value, cast(null as varchar) zone, tile_id, rule, claim_a, case when kind = 'solo' then case when coalesce(claim_a, '') <> '' then 'model A' else 'model B' end end seen_by, cast(null as double) det_score, cast(null as int) expected_n, x0, y0, x1, y1 from traced
+  union all select page, 'suppressed', null, trim(text), zone, tile_id, null, null, null, null, null, x0, y0, x1, y1 from zoned
+    where regexp_matches(trim(text), '^[A-Za-z0-9][A-Za-z0-9\-/."'' ]{{1,11}}$') and regexp_matches(trim(text), '[A-Za-z]|[0-9]{{2}}')
+  union all select page, 'unread', null, '', null, null, null, null, null, round_even(score, 3), null, x0, y0, x1, y1 from regions r where not exists (select 1 from obs o where o.page = r.page
+    and (r.x0+r.x1 between 2*o.x0 and 2*o.x1 and r.y0+r.y1 between 2*o.y0 and 2*o.y1 or o.x0+o.x1 between 2*r.x0 and 2*r.x1 and o.y0+o.y1 between 2*r.y0 and 2*r.y1))
+  union all select g.page, 'not_in_key', g.category, g.value, null, null, null, null, null, null, cast(coalesce((select count(*) from expected x where x.page = g.page and x.category = g.category), 0) as int), p.x0, p.y0, p.x1, p.y1
+    from got g left join prov p on p.page = g.page and p.category = g.category and p.value = g.value
+    where not exists (select 1 from expected x where x.page = g.page and x.category = g.category and x.kk = g.kk)),
+items as materialized (select *, {_sql_id("category", "kind")} id, case kind when 'contested' then 0 when 'solo' then 1 when 'suppressed' then 2 when 'unread' then 3 else 4 end priority from items_),
+decided as materialized (select *, strpos('0123456789abcdef', substr(id, 1, 1)) - 1 h from items where category is not null and substr(id, 1, 1) in ('0', '1', '2'))"""
+
+
+@query("obs zones answer_key regions", QUEUE + " select page, id, kind, category, value, priority, zone, tile_id, rule, claim_a, seen_by, det_score, expected_n from items")
 def review_queue(spark, sf_dir):
     return _queue(spark, sf_dir, resolved(spark, sf_dir, keep=True)).select("page", "id", "kind", "category", "value", "priority", "zone", "tile_id", "rule", "claim_a", "seen_by", "det_score", "expected_n")
 
@@ -371,9 +442,9 @@ def zone_of_reading(spark, sf_dir):
 
 
 def _decisions(items):
-    """One decision on every third item of a category, of each action in turn."""
-    n = F.pmod(F.xxhash64("id"), F.lit(9))
-    return items.where(F.col("category").isNotNull() & (n < 3)).select(
+    """Decisions on the items of a category whose id starts with 0 (accept), 1 (reject) or 2 (correct)."""
+    n = F.instr(F.lit("012"), F.substring("id", 1, 1)) - 1
+    return items.where(F.col("category").isNotNull() & (n >= 0)).dropDuplicates(["page", "id"]).select(
         "page", "id", F.element_at(F.array(F.lit("accept"), F.lit("reject"), F.lit("correct")), (n + 1).cast("int")).alias("action"),
         F.when(n == 2, F.concat(F.lit("C"), F.col("value"))).alias("corrected"), F.lit(None).cast("string").alias("note"), F.lit("reviewer").alias("by"), F.lit("2024-01-01").cast("timestamp").alias("at"),
     )
@@ -384,12 +455,16 @@ def _decided(spark, sf_dir, r: Resolved):
     return items.join(review.latest(_decisions(items)), ["page", "id"], "left")
 
 
-@query()
+@query("obs zones answer_key regions", QUEUE + """, n as (select i.page, i.kind, case when i.category is not null and substr(i.id, 1, 1) in ('0', '1', '2') then 1 else 0 end d from items i)
+select page, kind, count(*) total, cast(sum(d) as bigint) decided, cast(count(*) - sum(d) as bigint) as open from n group by grouping sets ((page, kind), (page))""")
 def review_summary(spark, sf_dir):
     return review.summary(_decided(spark, sf_dir, resolved(spark, sf_dir, keep=True)))
 
 
-@query()
+@query("obs zones answer_key regions", QUEUE + """, fix as (select page, category, value, h from decided d where h > 0 and exists (select 1 from answers a where a.page = d.page and a.category = d.category)
+  qualify row_number() over (partition by page, category, value order by priority, id) = 1)
+select distinct coalesce(a.page, f.page) page, coalesce(a.category, f.category) category, case when f.h = 2 then concat('C', f.value) else a.value end as value
+from answers a full join fix f on f.page = a.page and f.category = a.category and f.value = a.value where coalesce(f.h, 0) <> 1""")
 def apply_decisions(spark, sf_dir):
     r = resolved(spark, sf_dir, keep=True)
     return review.decided_answers(r.answers, _decided(spark, sf_dir, r))
