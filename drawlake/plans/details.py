@@ -13,7 +13,11 @@ from drawlake.plans.proxies import contexts, frame, observations, rules, table_r
 from drawlake.plans.queries import CONNECTOR, INSIDE, IOU, KEY, NORM, UNIQUE, emitted_sql, flat, query, resolved
 from drawlake.sources import readers, writers
 
-TILE = F.struct((F.col("bbox.x0") - F.col("bbox.x0") % 1062).alias("x0"), (F.col("bbox.y0") - F.col("bbox.y0") % 1062).alias("y0"), (F.col("bbox.x0") - F.col("bbox.x0") % 1062 + 1250).alias("x1"), (F.col("bbox.y0") - F.col("bbox.y0") % 1062 + 1250).alias("y1"))
+
+def _tile():
+    """A tile that holds the box's corner."""
+    x, y = F.col("bbox.x0") - F.col("bbox.x0") % 1062, F.col("bbox.y0") - F.col("bbox.y0") % 1062
+    return F.struct(x.alias("x0"), y.alias("y0"), (x + 1250).alias("x1"), (y + 1250).alias("y1"))
 
 
 @query("obs", """+ t as (select page, ord, x0, y0, x1, y1, x0 - x0 % 1062 tx, y0 - y0 % 1062 ty from obs),
@@ -22,8 +26,8 @@ select page, ord, ux0, uy0, ux1, uy1, cast(trunc(ux0 * 1.25) as int) + tx bx0, c
 def tile_coordinates(spark, sf_dir):
     """Boxes in a reader's thousandths of a tile, and back on the page."""
     k = G.reader_scale(F.lit(True), F.lit(1250))
-    units = frame(spark, sf_dir, "obs").withColumn("u", G.to_tile(F.col("bbox"), TILE, k, k))
-    back = units.withColumn("b", G.from_tile(F.col("u"), TILE, k, k))
+    units = frame(spark, sf_dir, "obs").withColumn("u", G.to_tile(F.col("bbox"), _tile(), k, k))
+    back = units.withColumn("b", G.from_tile(F.col("u"), _tile(), k, k))
     return back.select("page", "ord", *[F.col(f"{p}.{s}").alias(f"{p}{s}") for p in ("u", "b") for s in ("x0", "y0", "x1", "y1")])
 
 
