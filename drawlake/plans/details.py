@@ -57,7 +57,7 @@ def fit_scale(spark, sf_dir):
     return frame(spark, sf_dir, "pages_").select("page", F.floor(1000 * G.fit_scale(F.col("width"), F.col("height"))).alias("thousandths"), w["x0"].alias("wx0"), w["x1"].alias("wx1"))
 
 
-@query("obs", "select page, ord, (x1 - x0) * (y1 - y0) area from obs where 2000 between x0 - 30 and x1 + 30 and 1500 between y0 - 30 and y1 + 30 qualify row_number() over (partition by page order by area, ord) = 1")
+@query("obs", "select page, ord, cast((x1 - x0) * (y1 - y0) as bigint) area from obs where 2000 between x0 - 30 and x1 + 30 and 1500 between y0 - 30 and y1 + 30 qualify row_number() over (partition by page order by area, ord) = 1")
 def hit_test(spark, sf_dir):
     """The smallest reading near a point of each page."""
     hits = frame(spark, sf_dir, "obs").where(G.hit(F.col("bbox"), 2000, 1500, 30))
