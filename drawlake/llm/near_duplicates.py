@@ -339,3 +339,20 @@ def keep_one(df: DataFrame, **options) -> DataFrame:
     # A repeated row shares doc_id and text; a null doc_id names no document, so such rows each have a key of their own.
     alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
     return left.withColumn(mark, F.xxhash64("text")).withColumn(own, alone).dropDuplicates(["doc_id", mark, own]).drop(mark, own)
+
+
+def sql(similarity: float = SIMILARITY, shingle: int = SHINGLE) -> str:
+    """The same over `documents` of distinct doc_ids in DuckDB's SQL: all pairs that share a shingle, so for small tables."""
+    return rf"""
+with recursive words as (select doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') w from documents),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) >= {shingle} then list_transform(range(1, len(w) - {shingle - 2}), lambda i: array_to_string(w[i:i+{shingle - 1}], ' '))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) s from words),
+sizes as (select doc_id, count(*) n from shingles group by doc_id),
+shared as (select a.doc_id a, b.doc_id b, count(*) c from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+links as materialized (
+  select a, b, c = x.n and c = y.n as equal from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where c >= {similarity} * (x.n + y.n - c) - 1e-9),
+reached(node, root) as (select doc_id, doc_id from documents union select l.b, r.root from reached r join links l on l.a = r.node),
+classes as (select node, min(root) class_id from reached group by node)
+select c.node doc_id, c.class_id, count(l.b) n_links, 1 + count(l.b) filter (where l.equal) n_copies from classes c left join links l on l.a = c.node group by c.node, c.class_id
+"""

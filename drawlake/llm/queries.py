@@ -73,4 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_secret_scan,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op6_token_counts": token_scan.SQL, "op7_line_dedup": line_dedup.sql(), "op8_chat_format": chat_format.sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op3_near_duplicates": near_duplicates.sql(),
+    "op5_html_extraction": wrappers.TEST_PAGES_SQL,
+    "op6_token_counts": token_scan.SQL,
+    "op7_line_dedup": line_dedup.sql(),
+    "op8_chat_format": chat_format.sql(),
+    "op10_secret_scan": secret_scan.sql(),
+}

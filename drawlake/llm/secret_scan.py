@@ -262,3 +262,23 @@ def digests(found: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     return found.select(
         "doc_id", *[F.size(r.kind).cast("long").alias(f"n_{r.kind}") for r in base], F.sha2(written(base), 256).alias("base_sha256"), written(rules).alias("spans")
     )
+
+
+def sql(rules: list[Rule] = RULES) -> str:
+    """The digests over `documents` in DuckDB's SQL."""
+    lists = []
+    for i, r in enumerate(rules):
+        pattern = r.pattern.replace("'", "''")
+        lists.append(f"""
+  list_filter(list_transform(range(1, len(regexp_extract_all(t, '{pattern}')) + 1), lambda i: {{
+    'start': cast(list_sum(list_transform(string_split_regex(t, '{pattern}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{pattern}')[1:i-1], lambda x: length(x))), 0) as bigint),
+    'ord': {i}, 'size': length(regexp_extract_all(t, '{pattern}')[i]), 'ok': length(regexp_extract_all(t, '{pattern}', {r.group})[i]) >= {r.least}}}), lambda s: s.ok) {r.kind}""")
+    kinds = "[" + ", ".join(f"'{r.kind}'" for r in rules) + "]"
+    written = lambda which: f"array_to_string(list_transform(list_sort(flatten([{', '.join(r.kind for r in which)}])), lambda s: concat({kinds}[s.ord + 1], ':', s.start, ':', s.start + s.size)), ',')"
+    base = [r for r in rules if r.base]
+    counts = ", ".join(f"cast(len({r.kind}) as bigint) n_{r.kind}" for r in base)
+    return f"""
+with texts as (select doc_id, coalesce(text, '') t from documents),
+found as (select doc_id,{",".join(lists)} from texts)
+select doc_id, {counts}, sha256({written(base)}) base_sha256, {written(rules)} spans from found
+"""
