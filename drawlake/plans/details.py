@@ -10,7 +10,7 @@ from drawlake.functions import text as X
 from drawlake.functions import values as V
 from drawlake.operators import benchmarks, resolve, review, scoring, spatial, stats, tables, verify
 from drawlake.plans.proxies import contexts, frame, observations, rules, table_reads
-from drawlake.plans.queries import CONNECTOR, INSIDE, IOU, KEY, NORM, UNIQUE, emitted_sql, flat, query, resolved
+from drawlake.plans.queries import CONNECTOR, INSIDE, IOU, KEY, NORM, QUEUE, UNIQUE, _decided, emitted_sql, flat, query, resolved
 from drawlake.sources import readers, writers
 
 
@@ -249,13 +249,17 @@ def provenance_lists(spark, sf_dir):
     return entries.select("page", "category", joined("value").alias("values_"), joined("rule").alias("rules"), joined("tile_id").alias("tiles"))
 
 
-@query()
+@query("obs zones answer_key regions", QUEUE + """, fix as (select page, category, value, h from decided d where h > 0 and exists (select 1 from answers a where a.page = d.page and a.category = d.category)
+  qualify row_number() over (partition by page, category, value order by priority, id) = 1),
+kept_ as (select distinct coalesce(a.page, f.page) page, coalesce(a.category, f.category) category, case when f.h = 2 then concat('C', f.value) else a.value end as value
+  from answers a full join fix f on f.page = a.page and f.category = a.category and f.value = a.value where coalesce(f.h, 0) <> 1)
+select k.page, string_agg(k.value, '|' order by k.value) filter (where k.category = 'filters') filters, count(distinct k.category) categories,
+  (select count(*) from items i where i.page = k.page and not (i.category is not null and substr(i.id, 1, 1) in ('0', '1', '2'))) as open from kept_ k group by k.page""")
 def review_export(spark, sf_dir):
-    """Reviewed answers of each page and how many items are still open."""
-    from drawlake.plans.queries import _decided
-
+    """Reviewed answers of each page, those of one category written out, and how many items are still open."""
     r = resolved(spark, sf_dir, keep=True)
-    return review.export(r.answers, _decided(spark, sf_dir, r))
+    out = review.export(r.answers, _decided(spark, sf_dir, r))
+    return out.select("page", F.array_join(F.try_element_at("answers", F.lit("filters")), "|").alias("filters"), F.size("answers").cast("long").alias("categories"), "open")
 
 
 @query("runs", "select page, run_no, row_number() over (partition by page order by run_at desc, run_no desc) newest from runs")

@@ -343,7 +343,21 @@ def table_texts(spark, sf_dir):
     return texts(tables.vote(table_reads(spark, sf_dir))).select("table_index", "csv", "markdown")
 
 
-@query()
+@query("cells", r"""+ c as (select table_index, reader_no, row_no, col, upper(trim(regexp_replace(cell, '\s+', ' ', 'g'))) as cell from cells),
+hits as (select g.table_index, r.reader_no, g.row_no g_no, r.row_no r_no, count(*) n from c g join c r on g.table_index = r.table_index and g.col = r.col and g.cell = r.cell
+  where g.reader_no = 1 and r.reader_no > 1 and g.cell <> '' group by 1, 2, 3, 4),
+cand as materialized (select table_index, reader_no, g_no, list(r_no order by n desc, r_no) rs, row_number() over (partition by table_index, reader_no order by g_no) k, count(*) over (partition by table_index, reader_no) m from hits group by 1, 2, 3),
+fold as (select distinct table_index, reader_no, cast(0 as bigint) k, cast([] as int[]) used, cast([] as int[]) takers from cand union all
+  select f.table_index, f.reader_no, f.k + 1, case when len(list_filter(c.rs, lambda r: not list_contains(f.used, r))) > 0 then list_append(f.used, list_filter(c.rs, lambda r: not list_contains(f.used, r))[1]) else f.used end,
+    case when len(list_filter(c.rs, lambda r: not list_contains(f.used, r))) > 0 then list_append(f.takers, c.g_no) else f.takers end
+  from fold f join cand c on c.table_index = f.table_index and c.reader_no = f.reader_no and c.k = f.k + 1),
+pairs as (select f.table_index, f.reader_no, unnest(f.takers) g_no, unnest(f.used) r_no from fold f join (select table_index, reader_no, max(m) m from cand group by 1, 2) x on x.table_index = f.table_index and x.reader_no = f.reader_no and x.m = f.k),
+firsts as (select table_index, min(row_no) first_row from c where reader_no = 1 group by 1),
+cmp as (select n.table_index, n.reader_no, g.row_no = w.first_row header, g.cell g, r.cell r from (select distinct table_index, reader_no from c where reader_no > 1) n join c g on g.table_index = n.table_index and g.reader_no = 1
+  join firsts w on w.table_index = n.table_index left join pairs p on p.table_index = n.table_index and p.reader_no = n.reader_no and p.g_no = g.row_no
+  left join c r on r.table_index = n.table_index and r.reader_no = n.reader_no and r.row_no = p.r_no and r.col = g.col)
+select 0 page, table_index, concat('r', cast(reader_no as varchar)) reader, count(*) filter (where not header) data_cells, count(*) filter (where not header and g = r) data_exact, count(*) filter (where header) header_cells,
+  count(*) filter (where header and g = r) header_exact, count(*) filter (where r <> '' and r <> g and replace(r, 'Y', 'V') = replace(g, 'Y', 'V')) v_y_swaps from cmp group by table_index, reader_no""")
 def row_alignment(spark, sf_dir):
     reads = table_reads(spark, sf_dir)
     gold = reads.where("reader_no = 1").select("page", "table_index", "rows", "header_rows")
@@ -629,7 +643,12 @@ def rule_preview_diff(spark, sf_dir):
     return p.changes.select("page", F.size("adds").cast("long").alias("adds"), F.size("removes").cast("long").alias("removes"))
 
 
-@query()
+def _recall_sql(valves: str) -> str:
+    return SCORED.lstrip("+").replace("kind = 'valve' and regexp_matches(symbol, 'valve|bowtie') and regexp_matches(text, '^V[0-9]+\\b')", valves) + " select page, cast(sum(found) as double) / (sum(found) + sum(missed)) recall from scored where in_key group by page"
+
+
+@query("obs zones answer_key", f"""select b.page, b.page document_id, b.recall recall_before, a.recall recall_after from (with recursive {_recall_sql("kind = 'valve' and regexp_matches(symbol, 'valve|bowtie') and regexp_matches(text, '^V[0-9]+\\b')")}) b
+join (with recursive {_recall_sql("kind = 'valve' and regexp_matches(text, '^V[1-4][0-9]*\\b')")}) a on a.page = b.page""")
 def rule_preview_recall(spark, sf_dir):
     key = frame(spark, sf_dir, "answer_key").select("document_id", "category", "value")
     return assistant.preview(observations(spark, sf_dir), contexts(spark, sf_dir), rules(), "modify", 3, NARROW, key).keyed
