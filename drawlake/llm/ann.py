@@ -84,25 +84,29 @@ def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, codes.astype(np.uint8)
 
 
-def rank_block(index: Index, which: int, queries: np.ndarray, vectors: np.ndarray, codes: np.ndarray, ids: np.ndarray, keep: int, rerank: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query the ids and exact distances of its `keep` nearest of one block of a list, by codes and then exactly."""
-    out = []
-    residual = queries - index.centroids[which]
-    order = np.argsort(ids, kind="stable")  # of equal distances the smaller ids first
-    vectors, codes, ids = vectors[order], codes[order], ids[order]
-    for q, r in zip(queries, residual, strict=True):
+def rank_block(index: Index, which: int, queries: np.ndarray, vectors: np.ndarray, codes: np.ndarray, ids: np.ndarray, keep: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of the query, id and exact distance of the `keep` nearest of one block of a list, for each query: by its distance
+    tables first, then exactly. vectors, codes and ids run by id, so of equal distances the smaller ids come first."""
+    rows, found, scores = [], [], []
+    step = max(1, min(512, (1 << 22) // (len(ids) + vectors.shape[1] * min(len(ids), rerank))))
+    for s in range(0, len(queries), step):
+        q = queries[s : s + step]
         if len(ids) > rerank:
-            distance = np.zeros(len(ids), np.float32)
+            residual = q - index.centroids[which]
+            distance = np.zeros((len(q), len(ids)), np.float32)
             for i, (book, a, b) in enumerate(zip(index.books, index.cuts[:-1], index.cuts[1:], strict=True)):
-                table = ((book - r[a:b]) ** 2).sum(1)
-                distance += table[codes[:, i]]
-            best = np.argsort(distance, kind="stable")[:rerank]
+                table = (book * book).sum(1)[None, :] - 2 * residual[:, a:b] @ book.T
+                distance += table[:, codes[:, i]]
+            best = np.sort(np.argsort(distance, 1, kind="stable")[:, :rerank], 1)
         else:
-            best = np.arange(len(ids))
-        exact = np.sqrt(((vectors[best].astype(np.float64) - q.astype(np.float64)) ** 2).sum(1))
-        first = np.lexsort((ids[best], exact))[:keep]
-        out.append((ids[best][first], exact[first]))
-    return out
+            best = np.broadcast_to(np.arange(len(ids)), (len(q), len(ids)))
+        exact = np.sqrt(((vectors[best].astype(np.float64) - q[:, None, :].astype(np.float64)) ** 2).sum(2))
+        first = np.argsort(exact, 1, kind="stable")[:, :keep]
+        best, exact = np.take_along_axis(best, first, 1), np.take_along_axis(exact, first, 1)
+        rows.append(np.repeat(np.arange(s, s + len(q)), best.shape[1]))
+        found.append(ids[best].reshape(-1))
+        scores.append(exact.reshape(-1))
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(scores)
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -204,11 +208,8 @@ def search(
                     all_ = pa.Table.from_batches(held).combine_chunks()
                     codes = np.frombuffer(b"".join(all_.column("code").to_pylist()), np.uint8).reshape(all_.num_rows, -1)
                     block_of = (_vectors(all_.column("embedding").combine_chunks(), d), codes, all_.column("entry").to_numpy())
-                found = rank_block(index, group[0], _vectors(part.column(4), d), *block_of, k + 1, rerank)
-                count = [len(ids) for ids, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(part.column(3).to_numpy(), count)), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))], names=["owner", "entry", "score"]
-                )
+                row, near_ids, near_scores = rank_block(index, group[0], _vectors(part.column(4), d), *block_of, k + 1, rerank)
+                yield pa.RecordBatch.from_arrays([part.column(3).take(pa.array(row)), pa.array(near_ids), pa.array(near_scores)], names=["owner", "entry", "score"])
 
     near = work.mapInArrow(tidy(rank), "owner long, entry long, score double")
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("owner").orderBy("score", "entry"))).where(F.col("r") <= k + 1)
