@@ -6,9 +6,9 @@ corner of its intersection, so no pair is seen twice and none is lost. Every joi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,12 @@ from drawlake.functions.geometry import centre_inside, iou
 CELL = 256
 
 
+def _rows(rows: list[tuple], page: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    types = [page, *[pa.float64() if n == "iou" else pa.int64() for n in names[1:]]]
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
 def on_grid(df: DataFrame, box: str = "bbox", cell: int = CELL) -> DataFrame:
     """df once per cell that its box touches: plus cx, cy."""
     b = F.col(box)
@@ -79,23 +85,27 @@ def suppress_overlaps(regions: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Greedy suppression: by score, then ord, a region stays if it overlaps none that stays by more than a threshold of IoU.
 
     A dropped region drops no other, so no plain anti-join will do. Only regions that overlap another above the threshold
-    need the fold; it runs per page over the overlapping pairs alone.
+    need the fold; it streams over those pairs, page by page, in order.
     """
     b = regions.select("page", F.col("ord").alias("b_ord"), F.col("score").alias("b_score"), F.col("bbox").alias("other"))
     first = (F.col("b_score") > F.col("score")) | ((F.col("b_score") == F.col("score")) & (F.col("b_ord") < F.col("ord")))
     edges = overlapping(regions.select("page", "ord", "score", "bbox"), b, first & (iou(F.col("bbox"), F.col("other")) > threshold)).select("page", "ord", "score", "b_ord", "b_score")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Dropped regions of a page: in order, those with an edge to one that stays."""
-        order = pd.concat([pdf[["ord", "score"]], pdf[["b_ord", "b_score"]].set_axis(["ord", "score"], axis=1)]).drop_duplicates().sort_values(["score", "ord"], ascending=[False, True])["ord"]
-        before = pdf.groupby("ord")["b_ord"].apply(list).to_dict()
-        dropped: set[int] = set()
-        for o in order:
-            if any(x not in dropped for x in before.get(o, ())):
-                dropped.add(o)
-        return pd.DataFrame({"page": np.full(len(dropped), pdf["page"].iloc[0]), "ord": sorted(dropped)}).astype({"ord": "int64"})
-
-    gone = edges.groupBy("page").applyInPandas(fold, f"page {regions.schema['page'].dataType.simpleString()}, ord bigint")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Dropped regions: in order, those with an edge to one that stays. What comes before a region is decided already."""
+        page, dropped = None, set()
+        for batch in batches:
+            out = []
+            for p, o, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != page:
+                    page, dropped = p, set()
+                if before not in dropped and o not in dropped:
+                    dropped.add(o)
+                    out.append((p, o))
+            yield _rows(out, batch.schema.field(0).type, ["page", "ord"])
+
+    in_order = edges.repartition("page").sortWithinPartitions("page", F.desc("score"), "ord").select("page", "ord", "b_ord")
+    gone = in_order.mapInArrow(fold, f"page {regions.schema['page'].dataType.simpleString()}, ord bigint")
     return regions.join(gone, ["page", "ord"], "left_anti")
 
 
@@ -105,20 +115,25 @@ def greedy_match(first: DataFrame, second: DataFrame, threshold: float = 0.20) -
     whether the best counts."""
     pairs = overlapping(
         first.select("page", F.col("ord").alias("a_ord"), "bbox"), second.select("page", F.col("ord").alias("b_ord"), F.col("bbox").alias("other")), iou(F.col("bbox"), F.col("other")) >= threshold
-    ).select("page", "a_ord", "b_ord", iou(F.col("bbox"), F.col("other")).alias("iou"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a_ord", "iou", "b_ord"], ascending=[True, False, True])
-        used: set[int] = set()
-        rows, last = [], None
-        for a, b, v in zip(pdf["a_ord"], pdf["b_ord"], pdf["iou"], strict=True):
-            if a != last and b not in used:
-                used.add(b)
-                rows.append((pdf["page"].iloc[0], a, b, v))
-                last = a
-        return pd.DataFrame(rows, columns=["page", "a_ord", "b_ord", "iou"])
-
-    return pairs.groupBy("page").applyInPandas(fold, f"page {first.schema['page'].dataType.simpleString()}, a_ord bigint, b_ord bigint, iou double")
+    ).select("page", "a_ord", "b_ord", "bbox", "other")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, used, last = None, set(), None
+        for batch in batches:
+            out = []
+            for p, a, b, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != page:
+                    page, used, last = p, set(), None
+                if a != last and b not in used:
+                    used.add(b)
+                    out.append((p, a, b, v))
+                    last = a
+            yield _rows(out, batch.schema.field(0).type, ["page", "a_ord", "b_ord", "iou"])
+
+    # The measure is taken after the shuffle: with the join's condition in one method it would be too long to be compiled.
+    measured = pairs.repartition("page").select("page", "a_ord", "b_ord", iou(F.col("bbox"), F.col("other")).alias("iou"))
+    in_order = measured.sortWithinPartitions("page", "a_ord", F.desc("iou"), "b_ord")
+    return in_order.mapInArrow(fold, f"page {first.schema['page'].dataType.simpleString()}, a_ord bigint, b_ord bigint, iou double")
 
 
 def in_any_zone(zones: Column, b: Column, kinds: list[str] | None = None) -> Column:
