@@ -25,8 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go; n_chars follows the text. Every document stays, if with an empty text."""
-    out = line_dedup.drop_boilerplate(docs).drop("n_lines", "n_dropped")
+    """Boilerplate lines go; n_chars follows the text. Every document stays, if with an empty text.
+
+    Equal texts of a host count as one page: one of them is to stay after near duplicates, with its lines.
+    """
+    out = line_dedup.drop_boilerplate(docs, copies_once=True).drop("n_lines", "n_dropped")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -18,27 +18,35 @@ MIN_PAGES = 5  # pages that must hold the line, so that a host of few pages does
 BROADCAST_BYTES = 8 << 20
 
 
-def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(
+    df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False
+) -> DataFrame:
     """One row per host that has boilerplate: host, lines array<string> (md5 of each trimmed line)."""
     lines = F.filter(F.transform(F.split(F.col(f"`{text}`"), "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
-    seen = df.select(F.col(f"`{host}`").alias("host"), F.explode(F.array_distinct(F.transform(lines, lambda x: F.md5(x)))).alias("line"))
+    hashed = F.array_distinct(F.transform(lines, lambda x: F.md5(x)))
+    pages = df.select(F.col(f"`{host}`").alias("host"), F.md5(F.col(f"`{text}`")).alias("page"), hashed.alias("lines"))
+    if copies_once:
+        pages = pages.groupBy("host", "page").agg(F.first("lines").alias("lines"))
+    seen = pages.select("host", F.explode("lines").alias("line"))
     counted = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    totals = df.groupBy(F.col(f"`{host}`").alias("total_host")).agg(F.count(F.lit(1)).alias("total"))
+    totals = pages.groupBy(F.col("host").alias("total_host")).agg(F.count(F.lit(1)).alias("total"))
     frequent = counted.join(totals, F.col("host").eqNullSafe(F.col("total_host"))).where(F.col("pages") > F.lit(ratio) * F.col("total"))
     return frequent.groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def drop_boilerplate(
-    df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_bytes: int = BROADCAST_BYTES
+    df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_bytes: int = BROADCAST_BYTES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """df with boilerplate lines gone from `text`, plus n_lines and n_dropped (int).
 
     Lines compare without surrounding spaces. Blank lines count for nothing and stay. A line counts once per row however
-    often it stands in it; a repeated row is a page of its own. Null text stays null with both counts 0; an empty text is
+    often it stands in it; a repeated row is a page of its own, unless copies_once: then the rows of a host with equal texts
+    are one page, so that a line shared only by copies of one text is no boilerplate. Null text stays null with both counts 0; an empty text is
     one blank line. Rows of a null host form one host. A page of boilerplate only becomes an empty text. An empty df
     gives an empty result. Other columns pass through; n_lines and n_dropped replace columns of those names.
     """
-    sets = cut(boilerplate(df, host, text, ratio, min_pages))
+    sets = cut(boilerplate(df, host, text, ratio, min_pages, copies_once))
     width = sets.agg(F.sum(F.size("lines") * 40 + 100)).first()[0] or 0
     small = F.broadcast(sets) if width <= broadcast_bytes else sets
     keys, theirs = own_name(df, "__lines"), own_name(df, "__host")

@@ -108,3 +108,14 @@ def test_trigram_queries():
     assert q("abc") == "abc" and q("[0-9a-f]+") is True and q("a|bcd") is True
     assert q("(?i:abcd)x?") == ("and", frozenset({"abc", "bcd"}))
     assert q("(abc|xyz)+q") == ("or", frozenset({("and", frozenset({"abc", "bcq"})), ("and", frozenset({"xyz", "yzq"}))})) or "abc" in secret_scan.trigrams(q("(abc|xyz)+q"))
+
+
+def test_pipeline_keeps_the_lines_of_a_group_of_copies(spark, documents, sf):
+    import corpus_pipeline
+
+    copy = "the text of the copies\nin two lines of its own"
+    rows = [(i, copy if i < 30 else f"page {i} says this\nfooter", "a") for i in range(300)]
+    docs = documents(rows).cache()
+    out = {x["doc_id"]: x["text"] for x in corpus_pipeline.drop_lines(spark, docs, sf).collect()}
+    assert all(out[i] == copy for i in range(30)) and all(out[i] == f"page {i} says this" for i in range(30, 300))
+    assert [x["doc_id"] for x in corpus_pipeline.drop_copies(spark, docs, sf).where("doc_id < 30").collect()] == [0]
