@@ -86,7 +86,10 @@ def _names_apart(words: list[str]) -> bool:
 
 
 class Slot:
-    """A text of a page: path of its containers, text, characters of it inside links, whether a container stands apart."""
+    """A text of a page: path of its containers, text, characters of it inside links, whether a container stands apart.
+
+    The path of a slot that stands apart begins with `!`, as names leave out much of what sets it apart.
+    """
 
     __slots__ = ("path", "parts", "linked", "apart", "article")
 
@@ -119,7 +122,8 @@ def read_page(page: str) -> tuple[list[str], list[Slot]]:
         if not raw:
             return
         if open_slot is None:
-            open_slot = Slot("/".join(s[1] for s in stack), bool(stack) and stack[-1][2], any(s[0] in ARTICLE for s in stack))
+            path, apart = "/".join(s[1] for s in stack), bool(stack) and stack[-1][2]
+            open_slot = Slot("!" * apart + path, apart, any(s[0] in ARTICLE for s in stack))
         text = html.unescape(raw) if "&" in raw else raw
         open_slot.parts.append(text)
         if links:
@@ -360,7 +364,7 @@ def article_text(page: str, wrapper: str | None) -> str:
     """The texts of the article slots in page order, joined by one space."""
     _, slots = read_page(page)
     inside, outside = article_paths(wrapper) if wrapper else (frozenset(), frozenset())
-    own = [s for s in slots if s.path in inside] or [s for s in slots if s.path in outside]
+    own = [s for s in slots if s.path in inside and not s.apart] or [s for s in slots if s.path in outside and not s.apart]
     return " ".join([s.text() for s in own])
 
 

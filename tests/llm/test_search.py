@@ -218,3 +218,11 @@ def test_pipeline(spark, vocabulary, sf):
     empty = table(spark, sf, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_extraction_tells_hidden_from_plain_texts_of_one_path(spark):
+    one = "<article><p hidden>x</p><p>text</p><div class='a b c advert'>Buy</div><div class='a b c'>more</div></article>"
+    rows = [(i, f"http://h.example/{i}", one if i % 2 else f"<article><p>plain {i}</p></article>") for i in range(6)]
+    for order in (rows, rows[::-1]):
+        got = wrappers.main_texts(spark.createDataFrame(order, "page_id bigint, url string, html string").coalesce(1)).collect()
+        assert {x["page_id"]: x["text"] for x in got} == {i: "text more" if i % 2 else f"plain {i}" for i in range(6)}
