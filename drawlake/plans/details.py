@@ -111,6 +111,14 @@ def admin_tables(spark, sf_dir):
     return tables.relabel_admin(t, contexts(spark, sf_dir), ["legend"]).select("page", "ord", "kind")
 
 
+@query("obs zones", "+ t as (select page, ord, case when pk % 3 = 0 then 'revision_table' else 'data' end kind, x0, y0, x1, y1 from obs) "
+       f"select o.page, o.ord, case when o.kind = 'data' and exists (select 1 from zones z where z.page = o.page and z.kind = 'legend' and {INSIDE}) then 'title_block' else o.kind end as kind from t o")
+def admin_tables_whole(spark, sf_dir):
+    """admin_tables over every reading."""
+    t = frame(spark, sf_dir, "obs").select("page", "ord", F.when(F.col("pk") % 3 == 0, "revision_table").otherwise("data").alias("kind"), "bbox")
+    return tables.relabel_admin(t, contexts(spark, sf_dir), ["legend"]).select("page", "ord", "kind")
+
+
 @query("cells", """+ n as (select table_index, reader_no, count(distinct row_no) rows_, count(distinct col) cols_ from cells group by table_index, reader_no)
 select a.table_index, b.reader_no, a.rows_ = b.rows_ and a.cols_ = b.cols_ same from n a join n b on a.table_index = b.table_index where a.reader_no = 1""")
 def table_shapes(spark, sf_dir):
@@ -204,6 +212,18 @@ def review_order(spark, sf_dir):
     return near.select("page", F.col("id").alias("ord"), "priority", F.col("previous_id").alias("previous"), F.col("next_id").alias("following"))
 
 
+@query("obs", """+ i as (select page, ord, text, case pk % 5 when 0 then 'solo' when 1 then 'contested' when 2 then 'unread' when 3 then 'suppressed' else 'not_in_key' end kind, symbol category from obs),
+p as (select *, case kind when 'contested' then 0 when 'solo' then 1 when 'suppressed' then 2 when 'unread' then 3 else 4 end priority from i)
+select page, ord, priority, coalesce(lag(ord) over w, ord) previous, coalesce(lead(ord) over w, ord) following from p window w as (partition by page order by priority, coalesce(category, ''), text, ord)""")
+def review_order_whole(spark, sf_dir):
+    """review_order over every reading, so that all five kinds are ordered."""
+    kinds = F.array(*[F.lit(k) for k in ("solo", "contested", "unread", "suppressed", "not_in_key")])
+    items = frame(spark, sf_dir, "obs").select("page", F.col("ord").alias("id"), F.col("text").alias("value"), F.element_at(kinds, (F.col("pk") % 5 + 1).cast("int")).alias("kind"), F.col("symbol").alias("category"))
+    place = F.array_position(F.array(*map(F.lit, review.PRIORITY)), F.col("kind")).cast("int") - 1
+    near = review.neighbours(items.withColumn("priority", place))
+    return near.select("page", F.col("id").alias("ord"), "priority", F.col("previous_id").alias("previous"), F.col("next_id").alias("following"))
+
+
 @query("obs", f"+ c as (select *, {CONNECTOR} id from obs where kind = 'continuation_connection') select page, ord, id, strlen(id) n, substr(text, 1, 12) clipped from c")
 def connector_ids(spark, sf_dir):
     c = frame(spark, sf_dir, "obs").where("kind = 'continuation_connection'").withColumn("id", X.connector_id(F.col("text")))
