@@ -151,9 +151,12 @@ class Scanner:
             classes.update(dict.fromkeys(words, c))
         self.classes = classes | dict.fromkeys(QUOTES, "Q")
         self.find = ahocorasick.Automaton()
+        stems: dict[str, bool] = {}  # a word and a stem may share a key: then the stem's longer words are read as well
         for entry in [*lexicon, *THREATS]:
             bare = entry.rstrip("*")
-            self.find.add_word(bare, (len(bare), entry.endswith("*")))
+            stems[bare] = stems.get(bare, False) or entry.endswith("*")
+        for bare, stem in sorted(stems.items()):
+            self.find.add_word(bare, (len(bare), stem))
         self.find.make_automaton()
 
     def classify(self, word: str) -> tuple[str, float]:
@@ -260,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
             yield pa.RecordBatch.from_pydict({"held": pa.array(held, pa.list_(pa.int32()))})
 
     texts = [r["held"] for r in rows.where("label = 1").select("text").mapInArrow(tidy(incidence), "held array<int>").collect()]
-    odds = {w: math.log((t + 1.5) / (c + 0.5)) - math.log((n1 + 1.5) / (n0 + 0.5)) for w in {*_cover(texts, candidates, stats), *stats.keys() & set(INSULTS)} for c, t in [stats[w]]}
+    odds = {w: math.log((t + 1.5) / (c + 0.5)) - math.log((n1 + 1.5) / (n0 + 0.5)) for w in sorted({*_cover(texts, candidates, stats), *stats.keys() & set(INSULTS)}) for c, t in [stats[w]]}
     lexicon = {w: round(v, 6) for w, v in odds.items() if v > LEAST_ODDS}
     usual = round(median(lexicon.values()), 6) if lexicon else UNSEEN
     lexicon |= {w: usual for w in INSULTS if w not in stats}  # an insult that no label tells of weighs what others do

@@ -129,3 +129,10 @@ def test_toxicity_learns_words_and_stems(spark, documents, prose):
     model = toxicity.fit(docs, marks)
     assert "glorp" in model.lexicon and any(e.startswith("snar") and e.endswith("*") for e in model.lexicon)
     assert toxicity.score(docs.select("doc_id", F.lit("you idiot").alias("text")), model).where("predicted = 0").count() == 0
+
+
+def test_stem_and_word_of_one_key():
+    once = pytest.approx(np.log1p(1))
+    for lex in ({"kill*": 4.0, "scum": 5.0, "scum*": 3.0}, {"scum*": 3.0, "scum": 5.0, "kill*": 4.0}):
+        assert grammar(lex, "a killer here")["insult"] == once and grammar(lex, "a killer here")["weight"] == 4.0
+        assert grammar(lex, "such scummy")["weight"] == 3.0 and grammar(lex, "such scum")["weight"] == 5.0
