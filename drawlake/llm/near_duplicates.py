@@ -2,8 +2,8 @@
 
 1. One pass over the texts hashes each document's set of word shingles and its MinHash signature: TREES labels of DEPTH
    bytes. Documents with equal sets are one class from here on.
-2. A tree's trie is its sorted labels; documents that share a prefix of a label stand under one node of it. The matched
-   prefix starts at full depth and is shortened until the forest's recall at the threshold reaches the target. Pairs under
+2. Documents that share a prefix of a tree's label stand under one node of it. The prefix is as long for all documents: its
+   depth is fixed beforehand, the longest at which the recall by formula at the threshold reaches the target. Pairs under
    one node whose whole signatures agree well enough are kept, as a spanning forest of links rather than as pairs.
 3. Inside the components of those links the texts are read again, and every pair is verified on its exact shingle sets.
    Only counts and a spanning forest of the verified links leave a task.
