@@ -67,14 +67,15 @@ def _long_list(rows: np.ndarray) -> pa.ListArray:
 
 
 def sketch(df: DataFrame, text: str = "text", shingle: int = SHINGLE, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """doc_id, node (hash of the shingle set, null if the text has no word), n (its size), keys (a long per tree)."""
+    """doc_id, mark (hash of the text), node (hash of the shingle set, null if the text has no word), n (its size), keys (a
+    long per tree)."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
                 batch = whole.slice(a, 256)
-                found, at = W.hashes(batch.column(1).to_pylist())
+                found, at = W.hashes(batch.column(2).to_pylist())
                 sets = [W.shingles(found[i:j], shingle) for i, j in zip(at[:-1], at[1:], strict=True)]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys = np.zeros((len(sets), trees), np.int64)
@@ -83,10 +84,14 @@ def sketch(df: DataFrame, text: str = "text", shingle: int = SHINGLE, trees: int
                 node = np.array([int(np.sum(W.mix(s), dtype=np.uint64)) ^ len(s) for s in sets], np.uint64).astype(np.int64)
                 sizes = np.array([len(s) for s in sets], np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(node, mask=sizes == 0), pa.array(sizes), _long_list(keys)], names=["doc_id", "node", "n", "keys"]
+                    [batch.column(0), batch.column(1), pa.array(node, mask=sizes == 0), pa.array(sizes), _long_list(keys)],
+                    names=["doc_id", "mark", "node", "n", "keys"],
                 )
 
-    return df.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, node long, n int, keys array<long>")
+    body = F.col(text).cast("string")
+    return df.select(F.col("doc_id").cast("long"), F.xxhash64(body).alias("mark"), body.alias("text")).mapInArrow(
+        tidy(run), "doc_id long, mark long, node long, n int, keys array<long>"
+    )
 
 
 def dealt(rows: DataFrame, group: list[str], blocks: str) -> DataFrame:
@@ -294,17 +299,10 @@ def verified_links(docs: DataFrame, members: DataFrame, similarity: float, shing
     return work.mapInArrow(tidy(run), "node long, root long, links long")
 
 
-def near_duplicates(
+def _classified(
     df: DataFrame, text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL
 ) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies (long) for every row of df.
-
-    Two documents are linked if the Jaccard similarity of their sets of word shingles is at least `similarity`. class_id is
-    the least doc_id of the component; n_links counts all documents linked with this one, copies included; n_copies those
-    with an equal set, itself included. A text of fewer words than a shingle is one shingle. A text without words (null or
-    empty included) and a row of null doc_id have no links and a class of their own. A repeated row is a document of its
-    own. Only doc_id and `text` are read. An empty df gives an empty result.
-    """
+    """The rows of near_duplicates(), with mark, the hash of the row's text."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketched = cut(sketch(docs, "text", shingle, trees, depth).withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))))
     classes = cut(
@@ -322,23 +320,40 @@ def near_duplicates(
     info = cut(placed.join(ids, F.col("root") == F.col("comp")).select(F.col("node").alias("of"), "class_id", "copies", "links"))
     return sketched.join(info, F.col("node") == F.col("of"), "left").select(
         "doc_id",
+        "mark",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
     )
 
 
+def near_duplicates(
+    df: DataFrame, text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL
+) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies (long) for every row of df.
+
+    Two documents are linked if the Jaccard similarity of their sets of word shingles is at least `similarity`. class_id is
+    the least doc_id of the component; n_links counts all documents linked with this one, copies included; n_copies those
+    with an equal set, itself included. A text of fewer words than a shingle is one shingle. A text without words (null or
+    empty included) and a row of null doc_id have no links and a class of their own. A repeated row is a document of its
+    own. Only doc_id and `text` are read. An empty df gives an empty result.
+    """
+    return _classified(df, text, similarity, shingle, trees, depth, target).drop("mark")
+
+
 def keep_one(df: DataFrame, **options) -> DataFrame:
     """df with one document of each class: the one whose doc_id names it. Of repeated rows of it, one stays.
 
-    Documents of null doc_id or without words all stay. Columns are those of df.
+    Documents of null doc_id or without words all stay. A doc_id on rows of different texts names each of them alone: one
+    that goes takes no other along. Columns are those of df.
     """
     lost, mark, own = own_name(df, "__gone"), own_name(df, "__hash"), own_name(df, "__own")
-    gone = near_duplicates(df, **options).where("doc_id <> class_id").select(F.col("doc_id").alias(lost)).distinct()
-    left = df.join(gone, F.col("doc_id").cast("long") == F.col(lost), "left_anti")
+    text = F.xxhash64(F.col(options.get("text", "text")).cast("string"))
+    gone = _classified(df, **options).where("doc_id <> class_id").select(F.col("doc_id").alias(lost), F.col("mark").alias(mark)).distinct()
+    left = df.join(gone, (F.col("doc_id").cast("long") == F.col(lost)) & (text == F.col(mark)), "left_anti")
     # A repeated row shares doc_id and text; a null doc_id names no document, so such rows each have a key of their own.
     alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
-    return left.withColumn(mark, F.xxhash64("text")).withColumn(own, alone).dropDuplicates(["doc_id", mark, own]).drop(mark, own)
+    return left.withColumn(mark, text).withColumn(own, alone).dropDuplicates(["doc_id", mark, own]).drop(mark, own)
 
 
 def sql(similarity: float = SIMILARITY, shingle: int = SHINGLE) -> str:

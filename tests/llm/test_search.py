@@ -226,3 +226,9 @@ def test_extraction_tells_hidden_from_plain_texts_of_one_path(spark):
     for order in (rows, rows[::-1]):
         got = wrappers.main_texts(spark.createDataFrame(order, "page_id bigint, url string, html string").coalesce(1)).collect()
         assert {x["page_id"]: x["text"] for x in got} == {i: "text more" if i % 2 else f"plain {i}" for i in range(6)}
+
+
+def test_keep_one_drops_rows_rather_than_ids(documents, prose):
+    copied, other = prose(40), prose(40)
+    rows = [(1, copied, "s"), (5, copied, "s"), (5, other, "s"), (6, other, "s")]
+    assert sorted((x["doc_id"], x["text"]) for x in near_duplicates.keep_one(documents(rows)).collect()) == [(1, copied), (5, other)]
