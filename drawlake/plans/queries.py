@@ -299,6 +299,12 @@ def dispute_chunks(spark, sf_dir):
     return cascade.chunks(items).select("page", "gi", "kind", "tile_id", "chunk", "id", "claim_a", "claim_b")
 
 
+@query("obs second zones", DISPUTES + " select distinct page, tile_id from disputes where coalesce(tile_id, '') <> ''")
+def review_tiles(spark, sf_dir):
+    """The tiles that hold a dispute."""
+    return cascade.tiles_to_review(cascade.disputes(_compared(spark, sf_dir), contexts(spark, sf_dir)))
+
+
 @query("obs second zones", DISPUTES + """, g as (select page, count(*) agreed from pairs_ where same group by page),
 d as (select page, count(*) filter (where w and gi % 3 = 0) adjudicated, count(*) filter (where not w or gi % 3 = 2) kept_unsettled, count(*) filter (where w and gi % 3 = 1) dropped_as_absent from disputes group by page)
 select page, agreed, adjudicated, kept_unsettled, dropped_as_absent from g join d using (page)""")

@@ -28,3 +28,9 @@ def test_whole_queries_read_every_reading(spark, sf):
     assert QUERIES["admin_tables_whole"](spark, sf).count() == n
     order = QUERIES["review_order_whole"](spark, sf)
     assert order.count() == n and {r["priority"] for r in order.select("priority").distinct().collect()} == {0, 1, 2, 3, 4}
+
+
+def test_review_tiles_are_those_of_the_disputes(spark, sf):
+    chunked = {(r["page"], r["tile_id"]) for r in QUERIES["dispute_chunks"](spark, sf).collect()}
+    tiles = [(r["page"], r["tile_id"]) for r in QUERIES["review_tiles"](spark, sf).collect()]
+    assert chunked and chunked <= set(tiles) and len(tiles) == len(set(tiles))
