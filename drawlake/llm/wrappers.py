@@ -1,11 +1,14 @@
 """HTML extraction with wrappers: union-free regular expressions inferred from the pages of a host.
 
-A page is a stream of tokens: block tags with their class or id, and text slots. Inference first turns runs that repeat into
-repeated groups, then aligns the streams of the same host one after the other; what one of two streams lacks becomes
-optional, texts that differ become slots, and a group that repeats in one stream is a repeated group in the other as well.
-Wrappers of parts of a host are aligned with each other in the same way, so tasks fold their own pages first, and no task
-ever holds more than one wrapper per host and part. The wrapper's slots, with what was seen in them on all pages, then tell
-which texts of a page are the article.
+A page is a tree of blocks; the sequence of a block's children is a string of tokens. Inference folds adjacent repeats of any
+period into repeated groups, then aligns the sequences of the same host's pages, block by block: what one of two lacks becomes
+optional, a group that repeats in one repeats in the other, equal texts stay template text and texts that differ become slots.
+Wrappers of parts of a host are aligned in the same way, so tasks fold their own pages first, and no task holds more than
+MOST_HOSTS of them.
+
+A page is then parsed with the wrapper of its host. On hosts of LEAST_PAGES different pages or more, the article is the block
+of the wrapper in which slots hold most of the text that differs from page to page; template text inside of it is left out.
+Only hosts of fewer pages, which say nothing of what differs, are read by the meaning of element names.
 """
 
 from __future__ import annotations
@@ -16,15 +19,22 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drawlake.llm.common import cut, own_name, ship, tidy
+from drawlake.llm.common import cut, ship, tidy
 
 PARTS = 64  # parts of a host that are folded apart before the whole
+MOST_HOSTS = 256  # wrappers that a task holds at a time while it folds pages
+LEAST_PAGES = 3  # different pages that tell template text from slots
+DEEPEST = 128  # blocks inside of each other; what is nested deeper counts to the block at that depth, as in browsers (512)
+DOMINANT = 0.5  # share of a block's slot text that a block inside of it must hold to be entered
+SALTS = 16  # parts that a host's pages are dealt to where wrappers are too many to broadcast
 BROADCAST_BYTES = 8 << 20
 
 # Element names by what they mean to a reader of the page.
@@ -71,8 +81,8 @@ def _element(name: str, attributes: str) -> tuple[str, bool]:
         apart = hidden or any(w in ARTICLE_APART for p in parts for w in p)
     else:
         apart = hidden or name in APART or a.get("role", "").lower() in APART_ROLES or any(_names_apart(p) for p in parts)
-    own = ".".join(filter(None, (re.sub(r"\d.*", "", n) for n in names[:3])))  # numbers tell instances apart, not kinds
-    return name + ("." + own if own else ""), apart
+    own = ".".join(filter(None, (re.sub(r"\d.*", "", n) for n in names)))  # numbers tell instances apart, not kinds
+    return "!" * apart + name + ("." + own if own else ""), apart
 
 
 def _names_apart(words: list[str]) -> bool:
@@ -85,59 +95,73 @@ def _names_apart(words: list[str]) -> bool:
     return True
 
 
-class Slot:
-    """A text of a page: path of its containers, text, characters of it inside links, whether a container stands apart.
+class Node:
+    """A block ("e"), a text ("t") or a repeated group of several nodes ("g") of a page or a wrapper.
 
-    The path of a slot that stands apart begins with `!`, as names leave out much of what sets it apart.
+    key: what alignment compares. A text's `said` is the hash of the template text, or None for a slot; `pages` are hashes of
+    up to LEAST_PAGES different pages that hold it, chars and linked the characters seen in it and those inside links.
     """
 
-    __slots__ = ("path", "parts", "linked", "apart", "article")
-
-    def __init__(self, path: str, apart: bool, article: bool):
-        self.path, self.apart, self.article = path, apart, article
-        self.parts: list[str] = []
-        self.linked = 0
-
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
-
-
-def read_page(page: str) -> tuple[list[str], list[Slot]]:
-    """The tokens of a page (text is `#` and its path) and its slots in page order, empty texts left out."""
-    tokens: list[str] = []
-    slots: list[Slot] = []
-    stack: list[tuple[str, str, bool]] = []  # element, its name in paths, apart here or above
-    open_slot: Slot | None = None
-    links = 0
-
-    def close_slot() -> None:
-        nonlocal open_slot
-        if open_slot is not None and open_slot.text():
-            slots.append(open_slot)
-            tokens.append("#" + open_slot.path)
-        open_slot = None
+    __slots__ = ("apart", "chars", "items", "key", "kind", "linked", "optional", "pages", "repeats", "said", "text")
+
+    def __init__(self, kind: str, key: str, items: list[Node] | None = None):
+        self.kind, self.key, self.items = kind, key, items if items is not None else []
+        self.optional = self.repeats = self.apart = False
+        self.said: int | None = None
+        self.pages: list[int] = []
+        self.chars = self.linked = 0
+        self.text = ""
+
+    def dump(self) -> list:
+        marks = self.optional + 2 * self.repeats + 4 * self.apart
+        own = [self.said, self.pages, self.chars, self.linked] if self.kind == "t" else [x.dump() for x in self.items]
+        return [self.kind, self.key, marks, own]
+
+    @staticmethod
+    def load(x: list) -> Node:
+        node = Node(x[0], x[1])
+        node.optional, node.repeats, node.apart = bool(x[2] & 1), bool(x[2] & 2), bool(x[2] & 4)
+        if node.kind == "t":
+            node.said, node.pages, node.chars, node.linked = x[3]
+        else:
+            node.items = [Node.load(y) for y in x[3]]
+        return node
+
+
+def read_page(page: str) -> Node:
+    """The tree of a page: blocks by element and names, texts with their white space squeezed, empty texts left out."""
+    root = Node("e", "")
+    stack: list[tuple[str, Node]] = [("", root)]
+    said: list[str] = []
+    links = linked = 0
+
+    def close_text() -> None:
+        nonlocal linked
+        if said:
+            text = " ".join("".join(said).split())
+            said.clear()
+            if text:
+                node = Node("t", "#")
+                node.text, node.chars, node.linked = text, len(text), min(linked, len(text))
+                node.apart = stack[-1][1].apart
+                stack[-1][1].items.append(node)
+        linked = 0
 
     def say(raw: str) -> None:
-        nonlocal open_slot
-        if not raw:
-            return
-        if open_slot is None:
-            path, apart = "/".join(s[1] for s in stack), bool(stack) and stack[-1][2]
-            open_slot = Slot("!" * apart + path, apart, any(s[0] in ARTICLE for s in stack))
-        text = html.unescape(raw) if "&" in raw else raw
-        open_slot.parts.append(text)
-        if links:
-            open_slot.linked += len(text)
-
-    def pop_to(names: tuple[str, ...], scope: bool) -> bool:
-        for k in range(len(stack) - 1, -1, -1):
+        nonlocal linked
+        if raw:
+            text = html.unescape(raw) if "&" in raw else raw
+            said.append(text)
+            if links:
+                linked += len(text)
+
+    def pop_to(names: tuple[str, ...], scope: bool) -> None:
+        for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in names:
-                tokens.extend("</" + s[1] + ">" for s in reversed(stack[k:]))
                 del stack[k:]
-                return True
+                return
             if scope and stack[k][0] in SCOPE:
-                return False
-        return False
+                return
 
     at, n = 0, len(page)
     while at < n:
@@ -157,7 +181,7 @@ def read_page(page: str) -> tuple[list[str], list[Slot]]:
             if name in INLINE:
                 links = max(0, links - (name == "a"))
             elif name == "p" or name not in VOID:
-                close_slot()
+                close_text()
                 pop_to(("h1", "h2", "h3", "h4", "h5", "h6") if re.fullmatch("h[1-6]", name) else (name,), False)
             else:
                 say(" ")
@@ -168,7 +192,7 @@ def read_page(page: str) -> tuple[list[str], list[Slot]]:
         if name == "br" or name == "img":
             say(" ")
             continue
-        close_slot()
+        close_text()
         if name in VOID:
             continue
         if name in RAW or name in RCDATA:
@@ -183,124 +207,245 @@ def read_page(page: str) -> tuple[list[str], list[Slot]]:
         elif name in SELF_CLOSING:
             pop_to(SELF_CLOSING[name], True)
         called, apart = _element(name, m.group(3))
-        stack.append((name, called, apart or bool(stack) and stack[-1][2]))
-        tokens.append("<" + called + ">")
-    close_slot()
-    return tokens, slots
-
-
-# A wrapper: a list of nodes [token or list of tokens (a repeated group), optional], and its slots
-# path -> [pages, differs (0 or 1), hash of the text, characters, linked characters, apart, in an article].
-
-
-def fold_repeats(tokens: list[str]) -> list:
-    """Nodes of a stream: adjacent equal runs, the shortest first, become one repeated group; groups of groups too."""
-    number: dict[str, str] = {}
-    known: list[object] = []
-
-    def symbol(key: str, node: object) -> str:
-        if key not in number:
-            number[key] = chr(0xE000 + len(known) if len(known) < 0x1900 else 0x20000 + len(known))
-            known.append(node)
-        return number[key]
-
-    of: dict[str, object] = {}
-    line = "".join([symbol(t, t) for t in tokens])
-    while True:
-        for c, node in zip(number.values(), known, strict=True):
-            of[c] = node
-
-        def group(m: re.Match) -> str:
-            flat: list[str] = []
-            for c in m.group(1):
-                node = of[c]
-                flat += node if isinstance(node, list) else [node]
-            return symbol("(" + " ".join(flat) + ")", flat)
-
-        shorter = re.sub(r"(.{1,48}?)\1+", group, line, flags=re.S)
-        for c, node in zip(number.values(), known, strict=True):
-            of[c] = node
-        if shorter == line:
-            return [[of[c], False] for c in line]
-        line = shorter
-
-
-def _adopt_groups(nodes: list, other: list) -> list:
-    """nodes, where single occurrences of the other's repeated groups are repeated groups as well."""
-    groups = sorted((n[0] for n in other if isinstance(n[0], list)), key=len, reverse=True)
-    for body in groups:
+        node = Node("e", called)
+        node.apart = apart or stack[-1][1].apart
+        if len(stack) <= DEEPEST:
+            stack[-1][1].items.append(node)
+        else:
+            node = stack[-1][1]
+        stack.append((name, node))
+    close_text()
+    return root
+
+
+def texts_of(node: Node) -> Iterator[Node]:
+    """The texts under a node in page order."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if x.kind == "t":
+            yield x
+        else:
+            todo.extend(reversed(x.items))
+
+
+def merge(a: Node, b: Node) -> Node:
+    """The node that matches what either of two nodes of one key matches."""
+    out = Node(a.kind, a.key)
+    out.optional, out.repeats, out.apart = a.optional or b.optional, a.repeats or b.repeats, a.apart and b.apart
+    if a.kind == "t":
+        out.said = a.said if a.said == b.said else None
+        out.pages = sorted({*a.pages, *b.pages})[:LEAST_PAGES]
+        out.chars, out.linked = a.chars + b.chars, a.linked + b.linked
+    else:
+        out.items = align(a.items, b.items)
+    return out
+
+
+def fold_repeats(items: list[Node]) -> list[Node]:
+    """items, in which adjacent runs of equal keys, the shortest period first, are one repeated node or group."""
+    number: dict[str, int] = {}
+    size = 1
+    while 2 * size <= len(items):
+        keys = np.array([number.setdefault(x.key, len(number)) for x in items])
+        same = np.concatenate([[0], np.cumsum(keys[size:] == keys[:-size])])
+        starts = np.flatnonzero(same[size:] - same[:-size] == size)
+        if not len(starts):
+            size += 1
+            continue
+        out, at = list(items[: starts[0]]), int(starts[0])
+        run = items[at : at + size]
+        at += size
+        while [x.key for x in items[at : at + size]] == [x.key for x in run]:
+            run = [merge(x, y) for x, y in zip(run, items[at : at + size], strict=True)]
+            at += size
+        node = run[0] if size == 1 else Node("g", "(" + " ".join(x.key for x in run) + ")", run)
+        node.apart = all(x.apart for x in run)
+        node.repeats = True
+        items, size = [*out, node, *items[at:]], 1
+    return items
+
+
+def fold_tree(node: Node) -> Node:
+    """The wrapper that one page makes by itself."""
+    todo, order = [node], []
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo.extend(x.items)
+    for x in reversed(order):
+        if len(x.items) > 1:
+            x.items = fold_repeats(x.items)
+    return node
+
+
+def _adopt_groups(items: list[Node], other: list[Node]) -> list[Node]:
+    """items, where single occurrences of the other's groups are groups as well."""
+    for group in sorted((x for x in other if x.kind == "g"), key=lambda x: -len(x.items)):
+        keys = [x.key for x in group.items]
         out, i = [], 0
-        while i < len(nodes):
-            piece = nodes[i : i + len(body)]
-            if [p[0] for p in piece] == body:
-                if not (out and out[-1][0] == body):
-                    out.append([body, all(p[1] for p in piece)])
-                i += len(body)
+        while i < len(items):
+            if [x.key for x in items[i : i + len(keys)]] == keys:
+                node = Node("g", group.key, items[i : i + len(keys)])
+                node.optional, node.apart = all(x.optional for x in node.items), all(x.apart for x in node.items)
+                out.append(node)
+                i += len(keys)
             else:
-                out.append(nodes[i])
+                out.append(items[i])
                 i += 1
-        nodes = out
-    return nodes
+        items = out
+    return items
 
 
-def align(a: list, b: list) -> list:
-    """The nodes that match both streams: what only one of them has becomes optional."""
-    if a == b:
-        return a
+def align(a: list[Node], b: list[Node]) -> list[Node]:
+    """The nodes that match both sequences: what only one of them has becomes optional."""
+    keys_a, keys_b = [x.key for x in a], [x.key for x in b]
+    if keys_a == keys_b:
+        return [merge(x, y) for x, y in zip(a, b, strict=True)]
     a, b = _adopt_groups(a, b), _adopt_groups(b, a)
-    key = lambda n: "(" + " ".join(n[0]) + ")" if isinstance(n[0], list) else n[0]
-    out = []
-    for op, i, j, k, m in SequenceMatcher(None, [key(x) for x in a], [key(x) for x in b], autojunk=False).get_opcodes():
+    keys_a, keys_b = [x.key for x in a], [x.key for x in b]
+    out: list[Node] = []
+    for op, i, j, k, m in SequenceMatcher(None, keys_a, keys_b, autojunk=False).get_opcodes():
         if op == "equal":
-            out += [[x[0], x[1] or y[1]] for x, y in zip(a[i:j], b[k:m], strict=True)]
+            out += [merge(x, y) for x, y in zip(a[i:j], b[k:m], strict=True)]
         else:
-            out += [[x[0], True] for x in [*a[i:j], *b[k:m]]]
-    return out
-
-
-def merge_slots(a: dict, b: dict) -> dict:
-    out = dict(a)
-    for path, y in b.items():
-        x = out.get(path)
-        out[path] = y if x is None else [x[0] + y[0], int(x[1] or y[1] or x[2] != y[2]), min(x[2], y[2]), x[3] + y[3], x[4] + y[4], x[5], x[6]]
-    return out
+            for x in [*a[i:j], *b[k:m]]:
+                x.optional = True
+                out.append(x)
+    return fold_repeats(out)
+
+
+def wrapper_of(page: str) -> Node:
+    root = read_page(page)
+    mark = crc32(page.encode("utf-8", "replace"))
+    for x in texts_of(root):
+        x.said, x.pages, x.text = crc32(x.text.encode("utf-8", "replace")), [mark], ""
+    return fold_tree(root)
+
+
+class Parser:
+    """A wrapper compiled for reading pages."""
+
+    def __init__(self, root: Node):
+        self.root = root
+        self.by_key: dict[int, tuple[list[tuple[int, Node]], dict[str, Node] | None]] = {}
+        marks = sorted({p for x in texts_of(root) for p in x.pages})
+        self.told = len(marks) >= LEAST_PAGES
+        self.main, self.kept = self._article()
+
+    def slot(self, x: Node) -> bool:
+        """Whether a text of the wrapper is a slot: one that differs, or that too few pages hold to tell."""
+        return x.said is None or len(x.pages) < LEAST_PAGES
+
+    def _article(self) -> tuple[Node | None, set[int]]:
+        """The block that holds the article, and its slots; (None, ...) if the wrapper doesn't tell."""
+        if not self.told:
+            return None, set()
+        weight: dict[int, int] = {}
+
+        def weigh(x: Node) -> int:
+            own = 0
+            if x.kind == "t":
+                own = max(0, x.chars - x.linked) if self.slot(x) and not x.apart else 0
+            else:
+                own = sum([weigh(y) for y in x.items])
+            weight[id(x)] = own
+            return own
+
+        at = self.root
+        if not weigh(at):
+            return None, set()
+        while True:
+            blocks = [y for x in at.items for y in (_leaves(x) if x.kind == "g" else [x]) if y.kind == "e"]
+            best = max(blocks, key=lambda x: weight[id(x)], default=None)
+            if best is None or weight[id(best)] <= DOMINANT * weight[id(at)] or best.repeats or not any(y.kind != "t" for y in best.items):
+                break
+            at = best
+        return at, {id(x) for x in texts_of(at) if self.slot(x) and not x.apart}
+
+    def _assign(self, kids: list[Node], node: Node) -> list[Node | None]:
+        """For each child of a page's block the node of the wrapper's block that it matches."""
+        if id(node) not in self.by_key:
+            flat = [(k, y) for k, x in enumerate(node.items) for y in (_leaves(x) if x.kind == "g" else [x])]
+            first = {y.key: y for _, y in reversed(flat)}
+            self.by_key[id(node)] = flat, first if len(first) == len(flat) else None
+        flat, first = self.by_key[id(node)]
+        if first is not None:
+            return [first.get(x.key) for x in kids]
+        out: list[Node | None] = []
+        at = 0
+        for x in kids:
+            hit = next((k for k in chain(range(at, len(flat)), range(at)) if flat[k][1].key == x.key), None)
+            out.append(None if hit is None else flat[hit][1])
+            if hit is not None:
+                group = flat[hit][0]
+                whole = node.items[group]
+                if not whole.repeats and not flat[hit][1].repeats:
+                    at = hit + 1
+                elif whole.kind == "g" and (hit + 1 == len(flat) or flat[hit + 1][0] != group):
+                    at = next(k for k, (g, _) in enumerate(flat) if g == group)
+                else:
+                    at = hit + (whole.kind == "g" and not flat[hit][1].repeats)
+        return out
+
+    def text(self, page: str) -> str:
+        """The texts of the article's slots in page order, joined by one space.
+
+        Where the wrapper doesn't tell, or the page has no such block: texts inside of article or main elements; without
+        those, all texts outside of what stands apart that are not mostly links, nor template text.
+        """
+        inside: list[str] = []
+        meant: list[str] = []
+        rest: list[str] = []
+        met = False
+        todo: list[tuple[Node, Node | None, bool]] = [(read_page(page), self.root, False)]
+        while todo:
+            x, node, article = todo.pop()
+            if x.kind == "t":
+                if x.apart:
+                    continue
+                if node is not None and id(node) in self.kept:
+                    inside.append(x.text)
+                if article:
+                    meant.append(x.text)
+                elif 2 * x.linked < x.chars and (node is None or self.slot(node)):
+                    rest.append(x.text)
+                continue
+            met = met or (node is not None and node is self.main)
+            article = article or x.key.split(".")[0] in ARTICLE
+            to = self._assign(x.items, node) if node is not None else [None] * len(x.items)
+            todo.extend((y, z, article) for y, z in zip(reversed(x.items), reversed(to), strict=True))
+        return " ".join(inside if met else meant or rest)
+
+
+def _leaves(group: Node) -> Iterator[Node]:
+    for x in group.items:
+        if x.kind == "g":
+            yield from _leaves(x)
+        else:
+            yield x
 
 
 class Folder:
-    """Wrappers of hosts, built up page by page."""
+    """Wrappers of hosts, built up page by page; the oldest go out once there are more than MOST_HOSTS."""
 
     def __init__(self):
-        self.nodes: dict[str, list] = {}
-        self.slots: dict[str, dict] = {}
-        self.seen: dict[str, set[int]] = {}
-
-    def add_page(self, host: str, page: str) -> None:
-        tokens, slots = read_page(page)
-        mark = hash(tuple(tokens))
-        if mark not in self.seen.setdefault(host, set()):
-            self.seen[host].add(mark)
-            self.add_nodes(host, fold_repeats(tokens))
-        own: dict[str, list] = {}
-        for s in slots:
-            text = s.text()
-            own = merge_slots(own, {s.path: [1, 0, crc32(text.encode()), len(text), s.linked, int(s.apart), int(s.article)]}) if s.path in own else own | {
-                s.path: [1, 0, crc32(text.encode()), len(text), s.linked, int(s.apart), int(s.article)]
-            }
-        for x in own.values():
-            x[0] = 1
-        self.slots[host] = merge_slots(self.slots.get(host, {}), own)
-
-    def add_nodes(self, host: str, nodes: list) -> None:
-        self.nodes[host] = align(self.nodes[host], nodes) if host in self.nodes else nodes
-
-    def add_wrapper(self, host: str, wrapper: str) -> None:
-        nodes, slots = json.loads(wrapper)
-        self.add_nodes(host, nodes)
-        self.slots[host] = merge_slots(self.slots.get(host, {}), slots)
-
-    def wrappers(self) -> Iterator[tuple[str, str]]:
-        for host, nodes in self.nodes.items():
-            yield host, json.dumps([nodes, self.slots.get(host, {})], separators=(",", ":"), ensure_ascii=False)
+        self.held: dict[str, Node] = {}
+
+    def add(self, host: str, node: Node) -> Iterator[tuple[str, str]]:
+        self.held[host] = merge(self.held[host], node) if host in self.held else node
+        if len(self.held) > MOST_HOSTS:
+            oldest = next(iter(self.held))
+            yield oldest, _dumped(self.held.pop(oldest))
+
+    def rest(self) -> Iterator[tuple[str, str]]:
+        for host, node in self.held.items():
+            yield host, _dumped(node)
+        self.held = {}
+
+
+def _dumped(node: Node) -> str:
+    return json.dumps(node.dump(), separators=(",", ":"), ensure_ascii=False)
 
 
 def host_of(url: Column) -> Column:
@@ -309,30 +454,34 @@ def host_of(url: Column) -> Column:
 
 
 def infer(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """host, wrapper (JSON): one row per host, folded over all its pages in tasks, then in parts, then as a whole."""
+    """host, wrapper (JSON): one row per host, folded over all its pages in tasks, then in parts, then as a whole.
+
+    Null html is an empty page; pages of null or odd URLs form the host of the empty name; repeated rows add nothing; an
+    empty table has no wrappers. Other columns are not read.
+    """
     ship(pages.sparkSession)
-    rows = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("page"))
+    rows = pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.coalesce(F.col(f"`{page}`").cast("string"), F.lit("")).alias("page"))
 
-    def emit(folder: Folder) -> Iterator[pa.RecordBatch]:
-        for host, wrapper in folder.wrappers():
+    def pack(found: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+        for host, wrapper in found:
             yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([wrapper], pa.string())], names=["host", "wrapper"])
 
     def over_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = Folder()
         for batch in batches:
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                folder.add_page(host, text)
-        yield from emit(folder)
+            for host, text in zip(batch.column(0), batch.column(1), strict=True):
+                yield from pack(list(folder.add(host.as_py(), wrapper_of(text.as_py()))))
+        yield from pack(list(folder.rest()))
 
     def over_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder, last = Folder(), None
         for batch in batches:
             for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if host != last:
-                    yield from emit(folder)
-                    folder, last = Folder(), host
-                folder.add_wrapper(host, text)
-        yield from emit(folder)
+                    yield from pack(list(folder.rest()))
+                    last = host
+                yield from pack(list(folder.add(host, Node.load(json.loads(text)))))
+        yield from pack(list(folder.rest()))
 
     parts = rows.mapInArrow(tidy(over_pages), "host string, wrapper string")
     salted = parts.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)))
@@ -340,63 +489,78 @@ def infer(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     return some.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(tidy(over_wrappers), "host string, wrapper string")
 
 
-@lru_cache(2048)
-def article_paths(wrapper: str) -> tuple[frozenset[str], frozenset[str]]:
-    """Paths of the wrapper's slots that hold the article of a page, and those that do on a page without an article element.
-
-    The first: in an article or main element and in nothing that stands apart. The second: outside of what stands apart, not
-    mostly links, and not the same text on all of several pages, which is the template's own.
-    """
-    nodes, slots = json.loads(wrapper)
-    in_wrapper = {t[1:] for n, _ in nodes for t in (n if isinstance(n, list) else [n]) if t.startswith("#")}
-    inside, outside = set(), set()
-    for path, (pages, differs, _, chars, linked, apart, article) in slots.items():
-        if path not in in_wrapper or apart:
-            continue
-        if article:
-            inside.add(path)
-        elif 2 * linked < chars and (differs or pages < 3):
-            outside.add(path)
-    return frozenset(inside), frozenset(outside)
-
-
 def article_text(page: str, wrapper: str | None) -> str:
-    """The texts of the article slots in page order, joined by one space."""
-    _, slots = read_page(page)
-    inside, outside = article_paths(wrapper) if wrapper else (frozenset(), frozenset())
-    own = [s for s in slots if s.path in inside and not s.apart] or [s for s in slots if s.path in outside and not s.apart]
-    return " ".join([s.text() for s in own])
+    """The main text of one page by a wrapper; without one, the page is its own."""
+    return Parser(Node.load(json.loads(wrapper)) if wrapper else wrapper_of(page)).text(page)
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """pages (without the column `html`) plus `text`, the main text of each page by the wrapper of its host.
 
-    Null html is empty and gives an empty text. Pages of null or odd URLs form one host. A host of one page has that page's
-    own stream as its wrapper. Repeated rows give repeated results; an empty table an empty one. A column named like `text`
-    is replaced; all others pass through.
+    Null html is empty and gives an empty text. Pages of null or odd URLs form one host. A host of fewer than LEAST_PAGES
+    different pages is read by the meaning of its elements. Repeated rows give repeated results; an empty table an empty
+    one. A column named like `text` is replaced; all others pass through, whatever their names.
+
+    Wrappers within `broadcast_bytes` are broadcast and compiled once per task; beyond, a host's pages are dealt to SALTS
+    groups that the wrapper goes ahead of.
     """
     spark = pages.sparkSession
     ship(spark)
     found = cut(infer(pages, url, page))
-    host, wrapper, body, key = (own_name(pages, n) for n in ("__host", "__wrapper", "__page", "__key"))
-    size = found.agg(F.sum(F.length("wrapper") * 2 + 100)).first()[0] or 0
-    side = found.select(F.col("host").alias(host), F.col("wrapper").alias(wrapper))
+    size = found.agg(F.sum(F.octet_length("wrapper") + 100)).first()[0] or 0
     rest = [c for c in pages.columns if c.lower() not in (page.lower(), text.lower())]
-    rows = pages.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(page).cast("string"), F.lit("")).alias(body), host_of(F.col(url)).alias(key))
-    joined = rows.join(F.broadcast(side) if size <= broadcast_bytes else side, rows[key] == side[host], "left").select(*[f"`{c}`" for c in rest], body, wrapper)
-    schema = joined.select(*[f"`{c}`" for c in rest], F.col(body).alias(text)).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(rest)
-        for batch in batches:
-            out = [article_text(p, w) for p, w in zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(out, pa.string())], names=[*rest, text])
-
-    return joined.mapInArrow(tidy(run), schema)
+    names = [f"c{i}" for i in range(len(rest))]
+    body = F.coalesce(F.col(f"`{page}`").cast("string"), F.lit(""))
+    rows = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names, strict=True)], host_of(F.col(f"`{url}`")).alias("host"), body.alias("page"))
+    schema = rows.select(*names, F.col("page").alias("text")).schema
+    k = len(rest)
+
+    def emit(batch: pa.RecordBatch, parsers: list[Parser]) -> pa.RecordBatch:
+        out = [p.text(x.as_py()) for x, p in zip(batch.column(k + 1), parsers, strict=True)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(out, pa.string())], names=[*names, "text"])
+
+    if size <= broadcast_bytes:
+        shared = spark.sparkContext.broadcast(dict(map(tuple, found.collect())))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            @lru_cache(MOST_HOSTS)
+            def parser(host: str) -> Parser:
+                return Parser(Node.load(json.loads(shared.value[host])))
+
+            for whole in batches:
+                for a in range(0, whole.num_rows, 128):
+                    batch = whole.slice(a, 128)
+                    yield emit(batch, [parser(h) for h in batch.column(k).to_pylist()])
+
+        out = rows.mapInArrow(tidy(run), schema)
+    else:
+        salt = F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int")
+        ahead = found.select(*[F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in names], "host", F.lit("").alias("page"), "wrapper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        work = rows.withColumn("wrapper", F.lit(None).cast("string")).withColumn("salt", salt).unionByName(ahead)
+        work = work.repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("wrapper").isNull())
+
+        def run_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now = None
+            for whole in batches:
+                for a in range(0, whole.num_rows, 128):
+                    batch = whole.slice(a, 128)
+                    wrappers = batch.column(k + 2).to_pylist()
+                    keep, parsers = [], []
+                    for i, w in enumerate(wrappers):
+                        if w is not None:
+                            now = Parser(Node.load(json.loads(w)))
+                        else:
+                            keep.append(i)
+                            parsers.append(now)
+                    if keep:
+                        yield emit(batch.take(pa.array(keep)), parsers)
+
+        out = work.mapInArrow(tidy(run_dealt), schema)
+    return out.toDF(*rest, text)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+    """page_id, url, text, n_chars of every page; nulls, repeats and empty tables as in extract()."""
     return extract(pages.select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
