@@ -1,12 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers are composed into one machine that reads the words of a clause: a lexicon names insults, threats, targets,
-negations and reports; negation marks the insults and threats that follow it closely; reported speech marks those inside
-it; targets turn a threat or an insult that has an addressee into a stronger symbol. The score of a document is a logistic
-function of what the machine emits over its clauses. A word that stands in no clause pattern counts for nothing by itself.
-
-The insult lexicon (words, and stems that words begin with) and the weights of the emitted symbols are learned from a
-bounded sample of labelled rows; the sample, not the corpus, is what reaches the driver.
+Transducers are composed into one machine that reads the words of a text clause by clause: a lexicon names insults, threats,
+targets, negations and reports; negation marks the insults and threats that follow it closely; reported speech marks those
+inside it; targets turn a threat or an insult that has an addressee in its clause, on either side, into a symbol; a chain over
+clauses turns an insult without an addressee into one only where another insult went before. The score of a document is a
+logistic function of what the machine writes. A single word writes nothing: an insult without addressee or company, or a
+threat without addressee, leaves the score where no evidence leaves it.
+
+Grammatical words (targets, negations, reports) are closed classes of four languages. The insult lexicon (words, and stems that
+words begin with) and the weights of the symbols are learned from a bounded sample of labelled rows, whatever their language;
+the sample, not the corpus, is what reaches the driver.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from drawlake.llm.common import drop_if_there, own_name, ship, tidy
 
 SAMPLE = 20_000  # labelled rows that the model is fitted on, at most: those whose doc_id hashes lowest
 ENTRIES = 20_000  # candidate entries of the lexicon, at most
-STEMS = (4, 5, 6)  # lengths of stems
+STEMS = (4, 5, 6, 7, 8)  # lengths of stems
 PRECISION = 0.9  # least share of toxic texts among the labelled texts that hold an entry
 EVIDENCE = 9.0  # least log-likelihood ratio of an entry against the base rate
 FORMS = 3.0  # words of a stem in a text that add to its evidence, at most
@@ -42,10 +45,23 @@ THRESHOLD = 0.3
 
 # The grammar's closed word classes, and insults known before any label is seen.
 INSULTS = "asshole bastard disgusting dumb idiot imbecile loser moron pathetic scum stupid worthless".split()
-THREATS = "kill murder strangle stab shoot burn beat hurt destroy destroyed".split()
-TARGETS = "you your yours yourself u ya he him she her they them their".split()
-NEGATIONS = "not never no isn aren wasn weren don doesn didn cannot kein nicht pas ne nunca".split()
-REPORTS = "said says say saying called calls quoted quotes wrote writes reported claims claimed".split()
+THREATS = """kill killing murder strangle stab shoot burn beat hurt destroy destroyed
+    umbringen töten ermorden erwürgen erstechen erschießen verbrennen schlagen verletzen vernichten
+    tuer assassiner étrangler poignarder fusiller brûler frapper blesser détruire
+    matar asesinar estrangular apuñalar disparar quemar golpear herir destruir""".split()
+ADDRESSEES = """you your yours yourself u ya
+    du dich dir dein deine deiner ihr euch euer eure
+    tu toi ton votre vous vos
+    tú ti usted ustedes vosotros vuestro""".split()
+OTHERS = "he him she they them elles ils él ellos ellas".split()  # an insult may be aimed at them, a threat is made to its addressee
+NEGATIONS = """not never no nobody isn aren wasn weren don doesn didn cannot can't won wouldn
+    nicht nie niemals kein keine keinen keiner
+    pas jamais aucun aucune personne
+    nunca jamás ningún ninguna nadie tampoco""".split()
+REPORTS = """said says say saying called calls quoted quotes wrote writes reported claims claimed
+    sagte sagt sagen nannte nennt schrieb schreibt behauptet behauptete zitierte
+    dit disait déclare déclara appelle appela écrit écrivait affirme cité
+    dijo dice decía llamó llama escribió escribe afirma citó""".split()
 QUOTES = "\"“”«»"
 
 TOKEN = re.compile(r"\w+|[\"“”«»]")
@@ -102,15 +118,18 @@ def _report(inside: bool, symbol: str) -> tuple[bool, str]:
     return inside, symbol + "r" if inside and symbol[0] in "IT" else symbol
 
 
-def _target(state: tuple[bool, bool], symbol: str) -> tuple[tuple[bool, bool], str]:
-    """State: a target was seen; a threat waits for one. Writes what a clause is scored on."""
-    seen, waits = state
-    if symbol == "G":
-        return (True, False), "threat+" if waits else ""
+def _target(state: tuple[str, bool, bool], symbol: str) -> tuple[tuple[str, bool, bool], str]:
+    """State: the target seen in the clause (none, G a third person, Y an addressee), an insult waits for one, a threat for Y."""
+    seen, insult, threat = state
+    if symbol in ("G", "Y"):
+        to = "Y" if "Y" in (seen, symbol) else "G"
+        if threat and symbol == "Y":
+            return (to, insult, False), "threat+"
+        return (to, False, threat), "insult+" if insult else ""
     if symbol == "I":
-        return (seen, waits), "insult+" if seen else "insult"
+        return ((seen, False, threat), "insult+") if seen else (("", True, threat), "bare")
     if symbol == "T":
-        return ((True, False), "threat+") if seen else ((False, True), "threat")
+        return ((seen, insult, False), "threat+") if seen == "Y" else ((seen, insult, True), "")
     if symbol in ("I-", "T-"):
         return state, "negated"
     if symbol in ("Ir", "Tr", "I-r", "T-r"):
@@ -118,18 +137,30 @@ def _target(state: tuple[bool, bool], symbol: str) -> tuple[tuple[bool, bool], s
     return state, ""
 
 
-GRAMMAR, _ = Transducer(0, _negation).then(Transducer(False, _report)).then(Transducer((False, False), _target)).table(list("ITGNRQO"))
-SYMBOLS = ["insult", "insult+", "negated", "reported", "threat", "threat+"]
+def _chain(alone: bool, symbol: str) -> tuple[bool, str]:
+    """State, kept from clause to clause: no insult went before. A bare insult counts from the second on."""
+    if symbol == "bare":
+        return False, "" if alone else "insult"
+    return alone and symbol != "insult+", symbol
+
+
+WORD_CLASSES = list("ITGYNRQO")
+GRAMMAR, _ = Transducer(0, _negation).then(Transducer(False, _report)).then(Transducer(("", False, False), _target)).table(WORD_CLASSES)
+SYMBOLS = ["insult", "insult+", "negated", "reported", "threat+"]
 # Weights before any label is seen: the bias, the weight of the strongest entry, then clauses of each symbol.
-PRIOR = np.array([-3.5, 0.5, 2.0, 2.5, 0.5, 0.5, 0.3, 2.5])
+PRIOR = np.array([-3.5, 0.5, 2.0, 2.5, 0.0, 0.0, 4.0])
 
 
-def features_of(words: set[str]) -> set[str]:
-    """Entries that a text holds: its words, and stems (written with a star) of its longer words."""
-    out = set(words)
-    for k in STEMS:
-        out.update([w[:k] + "*" for w in words if len(w) > k])
-    return out
+WORD = re.compile(r"\w+")
+
+
+def features_of(words: list[str]) -> tuple[set[str], Counter[str]]:
+    """Entries that the words of a text attest, and how many of its words each stem (written with a star) opens.
+
+    A stem is attested by two words or more of a text: as a lone insult counts for nothing, neither does a lone likeness.
+    """
+    stems = Counter([w[:k] + "*" for w in words for k in STEMS if len(w) > k])
+    return {*words, *(s for s, n in stems.items() if n > 1)}, stems
 
 
 @dataclass
@@ -147,7 +178,7 @@ class Scanner:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
         classes = {}
-        for words, c in ((REPORTS, "R"), (NEGATIONS, "N"), (TARGETS, "G"), (THREATS, "T")):
+        for words, c in ((REPORTS, "R"), (NEGATIONS, "N"), (OTHERS, "G"), (ADDRESSEES, "Y"), (THREATS, "T")):
             classes.update(dict.fromkeys(words, c))
         self.classes = classes | dict.fromkeys(QUOTES, "Q")
         self.find = ahocorasick.Automaton()
@@ -167,7 +198,10 @@ class Scanner:
         return ("I", weight) if weight else (self.classes.get(word, "O"), 0.0)
 
     def emitted(self, text: str | None) -> np.ndarray:
-        """1, the weight of the strongest unmarked entry, and per symbol log(1 + number of times it was written)."""
+        """1, the weight of the strongest insult of the patterns, and per symbol log(1 + number of times it was written).
+
+        Null is empty. The hits only choose the clauses to read, so a text of any length is scanned once.
+        """
         out = np.zeros(2 + len(SYMBOLS))
         out[0] = 1
         low = (text or "").lower()
@@ -183,26 +217,30 @@ class Scanner:
             return out
         cuts = [-1, *[m.start() for m in CLAUSE.finditer(low)], n]
         written: Counter[str] = Counter()
+        alone, strongest = True, 0.0
         for c in sorted({bisect_right(cuts, h) for h in hits}):
             state = 0
             for word in TOKEN.findall(low[cuts[c - 1] + 1 : cuts[c]]):
                 symbol, weight = self.classify(word)
                 state, symbol = GRAMMAR[state][symbol]
+                if symbol in ("bare", "insult+"):
+                    strongest = max(strongest, weight)
+                alone, symbol = _chain(alone, symbol)
                 if symbol:
                     written[symbol] += 1
-                    if symbol in ("insult", "insult+"):
-                        out[1] = max(out[1], weight)
+        if written["insult"] or written["insult+"]:
+            out[1] = strongest
         for i, s in enumerate(SYMBOLS):
             out[2 + i] = math.log1p(written[s])
         return out
 
 
-def _kept_rows(labelled: DataFrame, text: str, label: str, most: int) -> DataFrame:
-    """At most `most` labelled rows (text string, label int), without repeated texts: those of lowest doc_id hash."""
+def _kept_rows(labelled: DataFrame, text: str, label: str) -> DataFrame:
+    """The labelled rows (text string, label int), without repeated texts: of equal texts the larger label stands."""
     rows = labelled.where(F.col(label).isin(0, 1)).select(
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(label).cast("int").alias("label")
     )
-    return rows.dropDuplicates(["text"])
+    return rows.groupBy("text").agg(F.max("label").alias("label"))
 
 
 def sample_labels(labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> DataFrame:
@@ -221,20 +259,24 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     chosen = F.broadcast(sample_labels(labels, label, most).select(F.col("doc_id").alias("__id"), F.col(label).alias("__label")))
     joined = docs.select("doc_id", F.col(text).alias(text)).join(chosen, F.col("doc_id") == F.col("__id")).select(F.col(text).alias("text"), F.col("__label").alias("label"))
     # A materialised sample: three passes read it, and it is bounded.
-    rows = _kept_rows(joined, "text", "label", most).persist()
+    rows = _kept_rows(joined, "text", "label").persist()
+    try:
+        return _fitted(rows)
+    finally:
+        rows.unpersist()
 
-    def words_of(t: str) -> set[str]:
-        return features_of(set(re.findall(r"\w+", t.lower())))
+
+def _fitted(rows: DataFrame) -> Model:
+    """A model of the sample: rows of text and label, texts distinct."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean, toxic, forms = Counter(), Counter(), Counter()
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(re.findall(r"\w+", t.lower()))
-                held = features_of(words)
+                held, stems = features_of(WORD.findall(t.lower()))
                 (toxic if y else clean).update(held)
                 if y:
-                    forms.update([w[:k] + "*" for k in STEMS for w in words if len(w) > k])
+                    forms.update({s: n for s, n in stems.items() if s in held})
         names = list(clean.keys() | toxic.keys())
         columns = [pa.array(names, pa.string()), *[pa.array([c[w] for w in names], pa.int64()) for c in (clean, toxic, forms)]]
         yield pa.RecordBatch.from_arrays(columns, names=["entry", "clean", "toxic", "forms"])
@@ -259,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [[number[w] for w in words_of(t) if w in number] for t in batch.column(0).to_pylist()]
+            held = [[number[w] for w in features_of(WORD.findall(t.lower()))[0] if w in number] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_pydict({"held": pa.array(held, pa.list_(pa.int32()))})
 
     texts = [r["held"] for r in rows.where("label = 1").select("text").mapInArrow(tidy(incidence), "held array<int>").collect()]
@@ -275,7 +317,6 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
     points = rows.mapInArrow(tidy(measured), "x array<double>, label int").groupBy("x", "label").count().collect()
-    rows.unpersist()
     return Model(lexicon, _logistic(points))
 
 
@@ -352,17 +393,26 @@ def held_out():
 
 
 def fit_on_folds(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model of the rows that are not held out; odd labels as in fit()."""
     return fit(docs, labels.where(~held_out()).select("doc_id", "toxic"))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
+    """doc_id, held_out, score, predicted of every document.
+
+    A null text scores as an empty one; a null doc_id is scored and not held out; repeated rows score alike; without labels
+    the grammar scores by its prior weights; an empty table gives no rows. Only doc_id and text are read.
+    """
     model = fit_on_folds(docs, labels)
     return score(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """The documents whose score stays below the threshold, with the columns they came with."""
+    """The documents whose score stays below the threshold, with the columns they came with, whatever their names.
+
+    The model is learned from the labels of `corpus` (docs itself by default). Null and empty texts stay; repeated rows stay
+    or go together; an empty table gives an empty one.
+    """
     model = fit_on_folds(docs if corpus is None else corpus, labels)
     names = [own_name(docs, f"__c{i}") for i in range(len(docs.columns))]  # so that no column is taken for a score
     renamed = docs.toDF(*names)

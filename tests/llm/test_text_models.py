@@ -93,13 +93,83 @@ def grammar(lexicon, text):
 def test_grammar():
     lex = {"zorg": 5.0, "blar*": 4.0}
     once = pytest.approx(np.log1p(1))
-    assert grammar(lex, "a zorg here")["insult"] == once
-    assert grammar(lex, "you zorg")["insult+"] == once and grammar(lex, "a blarf.")["weight"] == 4.0
-    assert grammar(lex, "not a zorg")["negated"] == once and grammar(lex, "not a zorg")["insult"] == 0
-    assert grammar(lex, "she said zorg")["reported"] == once and grammar(lex, 'a "zorg" b')["reported"] == once
-    assert grammar(lex, "i will kill you")["threat+"] == once and grammar(lex, "i kill time")["threat"] == once
-    assert grammar(lex, "not so. a zorg")["insult"] == once  # a new clause
-    assert sum(grammar(lex, "zorgon xzorg blar").values()) == 1 and sum(grammar(lex, None).values()) == 1
+    nothing = {**dict.fromkeys(toxicity.SYMBOLS, 0), "bias": 1, "weight": 0}
+    for lone in ("zorg", "a zorg here", "a zorg plot twist", "blarf!", "i kill time", "zorgon xzorg blar", "you. a zorg", "they beat them", None):
+        assert grammar(lex, lone) == nothing
+    assert grammar(lex, "you zorg")["insult+"] == grammar(lex, "what a zorg you are")["insult+"] == once
+    assert grammar(lex, "you blarf.")["weight"] == 4.0
+    assert grammar(lex, "a zorg, a blarf")["insult"] == grammar(lex, "so. a zorg. such a blarf")["insult"] == once
+    assert grammar(lex, "i will kill you")["threat+"] == grammar(lex, "you he kills, kill")["threat+"] == once
+
+
+@pytest.mark.parametrize(
+    ("negated", "reported", "direct", "threat"),
+    [
+        ("you are not a zorg", "he said you zorg", "you zorg", "i will kill you"),
+        ("du bist kein zorg", "er sagte du zorg", "du zorg", "ich will dich töten"),
+        ("tu n'es pas un zorg", "il dit tu es un zorg", "tu es un zorg", "je vais te tuer toi"),
+        ("tú nunca eres zorg", "dijo tú zorg", "tú zorg", "voy a matar a ustedes"),
+    ],
+)
+def test_grammar_of_four_languages(negated, reported, direct, threat):
+    lex, once = {"zorg": 5.0}, pytest.approx(np.log1p(1))
+    for text, symbol in ((negated, "negated"), (reported, "reported"), (direct, "insult+"), (threat, "threat+"), ('you "zorg" b', "reported")):
+        got = grammar(lex, text)
+        assert got[symbol] == once and sum(got[s] for s in toxicity.SYMBOLS) == got[symbol]
+        score = 1 / (1 + np.exp(-toxicity.Scanner(lex).emitted(text) @ toxicity.PRIOR))
+        assert (score >= toxicity.THRESHOLD) == (symbol in ("insult+", "threat+"))
+
+
+def test_composed_machine_equals_a_plain_reading():
+    """Random strings of word classes: the composed table against rules applied one after the other."""
+    r = random.Random(12)
+    for _ in range(3000):
+        word_classes = [r.choice(toxicity.WORD_CLASSES) for _ in range(r.randrange(12))]
+        marked, reach, inside = [], 0, False
+        for c in word_classes:
+            if c == "N":
+                reach = toxicity.SCOPE
+                marked.append("")
+                continue
+            negated, reach = c in "IT" and reach > 0, max(0, reach - 1)
+            inside = True if c == "R" else inside != (c == "Q")
+            marked.append("reported" if c in "IT" and inside else "negated" if negated else c)
+        want, targets, insult, threat = [], "", False, False
+        for m in marked:
+            out = m if m in ("negated", "reported") else ""
+            if m in ("G", "Y"):
+                targets += m
+                if threat and m == "Y":
+                    out, threat = "threat+", False
+                else:
+                    out, insult = "insult+" if insult else "", False
+            elif m == "I":
+                out, insult = ("insult+", False) if targets else ("bare", True)
+            elif m == "T":
+                out, threat = ("threat+", False) if "Y" in targets else ("", True)
+            want.append(out)
+        state, got = 0, []
+        for c in word_classes:
+            state, out = toxicity.GRAMMAR[state][c]
+            got.append(out)
+        assert got == want
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Held-out recall and precision on the labelled rows of sf0.1."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
+    out = toxicity.scored(read("documents"), read("labels")).join(read("labels").select("doc_id", "toxic"), "doc_id").where("held_out")
+    n = {(x["toxic"], x["predicted"]): x["count"] for x in out.groupBy("toxic", "predicted").count().collect()}
+    found, missed, wrong = n.get((1, 1), 0), n.get((1, 0), 0), n.get((0, 1), 0)
+    assert found / (found + missed) >= 0.9 and found / (found + wrong) >= 0.9
+
+
+def test_equal_texts_of_different_labels(spark):
+    rows = [(i, "you zorg" if i % 2 else "fine words", "s") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for deal in (1, 7):
+        kept = toxicity._kept_rows(docs.withColumn("label", (F.col("doc_id") % 4 == 1).cast("int")).repartition(deal), "text", "label")
+        assert {tuple(x) for x in kept.collect()} == {("you zorg", 1), ("fine words", 0)}
 
 
 def test_toxicity_learns_words_and_stems(spark, documents, prose):
@@ -134,5 +204,5 @@ def test_toxicity_learns_words_and_stems(spark, documents, prose):
 def test_stem_and_word_of_one_key():
     once = pytest.approx(np.log1p(1))
     for lex in ({"kill*": 4.0, "scum": 5.0, "scum*": 3.0}, {"scum*": 3.0, "scum": 5.0, "kill*": 4.0}):
-        assert grammar(lex, "a killer here")["insult"] == once and grammar(lex, "a killer here")["weight"] == 4.0
-        assert grammar(lex, "such scummy")["weight"] == 3.0 and grammar(lex, "such scum")["weight"] == 5.0
+        assert grammar(lex, "you killer here")["insult+"] == once and grammar(lex, "you killer here")["weight"] == 4.0
+        assert grammar(lex, "you scummy")["weight"] == 3.0 and grammar(lex, "you scum")["weight"] == 5.0
