@@ -19,13 +19,14 @@ def test_ann_against_brute_force(spark):
     x = (centers[r.integers(0, 20, 1500)] + r.normal(size=(1500, 32))).astype(np.float32)
     x[700:1100] = x[700]  # one vector shared by many
     rows = [(i, [float(v) for v in x[i]], "c") for i in range(1500)]
-    bad = [(2000, None, "c"), (2100, [0.0] * 32, "c"), (2200, [float("nan")] + [1.0] * 31, "c"), (2300, [None] + [1.0] * 31, "c"), (2400, [float("inf")] + [1.0] * 31, "c"), (None, [1.0] * 32, "c"), (2500, [1.0], "c"), rows[100]]
+    bad = [(2000, None, "c"), (2100, [0.0] * 32, "c"), (2200, [float("nan")] + [1.0] * 31, "c"), (2300, [None] + [1.0] * 31, "c"), (2400, [float("inf")] + [1.0] * 31, "c"), (None, [1.0] * 32, "c"), (2500, [1.0], "c"), (2501, [3.0], "c"), rows[100]]
     df = spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<float>, list string")
-    out = ann.search(df, F.col("vec_id") % 50 == 0, k=10, block=128).collect()
+    out = ann.search(df, F.col("vec_id") % 50 == 0, k=10, block=16).collect()
     got = defaultdict(list)
     for y in sorted(out, key=lambda y: (y["query_id"], y["rank"])):
         got[y["query_id"]].append((y["vec_id"], y["score"]))
         assert y["rank"] == len(got[y["query_id"]])
+    assert got.pop(2500) == [(2501, 2.0)]  # vectors of another length are searched among themselves
     assert sorted(got) == list(range(0, 1500, 50))
     recall = []
     d64 = x.astype(np.float64)
@@ -43,6 +44,72 @@ def test_ann_against_brute_force(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_ann_keeps_doubles(spark):
+    far = 2.0**30
+    rows = [(0, [far, 1.0]), (1, [far, 2.0]), (2, [far + 1, 1.0 + 1e-9]), (3, [far, 1.0 + 1e-12])]
+    out = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0, k=3).collect()
+    assert [(y["vec_id"], y["score"]) for y in sorted(out, key=lambda y: y["rank"])] == [(3, 1.0 + 1e-12 - 1), (1, 1.0), (2, float(np.hypot(1, 1 + 1e-9 - 1)))]
+
+
+def searched(x, target=ann.TARGET, queries=100):
+    """Recall@10 through tables and reranking, and the shares of vectors whose codes and whose vectors are read."""
+    index = ann.fit(x[:20_000], len(x), target)
+    at, codes = ann.encode(index, x)
+    order = np.argsort(at, kind="stable")
+    start = np.searchsorted(at[order], np.arange(len(index.coarse) * len(index.fine) + 1))
+    recall, read, kept = [], [], []
+    asked = np.arange(0, len(x), max(1, len(x) // queries))
+    for q, lists in zip(asked, index.probed(x[asked]), strict=True):
+        ids, scores = [], []
+        for c in lists:
+            own = order[start[c] : start[c + 1]]
+            if len(own):
+                _, found, score = ann.rank_codes(index, c, x[q : q + 1], codes[own], ann.RERANK)
+                ids.append(own[found])
+                scores.append(score)
+            read.append(len(own) / len(x))
+        ids, scores = np.concatenate(ids), np.concatenate(scores)
+        best = ids[np.argsort(scores)[: ann.RERANK]]
+        kept.append(len(best) / len(x))
+        near = best[np.argsort(((x[best] - x[q]) ** 2).sum(1))][:11]
+        true = np.argsort(((x - x[q]) ** 2).sum(1))[:11]
+        recall.append(len(np.intersect1d(near, true)) / 11)
+    return np.mean(recall), np.sum(read) / len(asked), np.mean(kept)
+
+
+def test_ann_reads_few_vectors_where_vectors_have_clusters():
+    r = np.random.Generator(np.random.PCG64(2))
+    centers = r.normal(size=(300, 32)) * 2
+    x = (centers[r.integers(0, 300, 30_000)] + r.normal(size=(30_000, 32))).astype(np.float32)
+    recall, codes, vectors = searched(x)
+    assert recall >= 0.9 and codes <= 0.2 and vectors <= 0.01
+
+
+def test_ann_recall_on_the_test_vectors():
+    """The test vectors are spread evenly over a sphere, where lists can't separate them: codes of half are read, few vectors."""
+    import duckdb
+
+    found = duckdb.connect().execute("select embedding from '/root/testdata/sf0.1/embeddings.parquet'").fetchnumpy()["embedding"]
+    x = np.unique(np.array([v for v in found if v is not None and len(v) == 64], np.float32), axis=0)
+    recall, codes, vectors = searched(x)
+    assert recall >= 0.9 and codes <= 0.65 and vectors <= 0.05
+
+
+def test_ann_lists_grow_beyond_the_sample():
+    r = np.random.Generator(np.random.PCG64(3))
+    x = r.normal(size=(800, 8)).astype(np.float32)
+    index = ann.fit(x, 10**6)
+    assert len(index.coarse) == 100 and len(index.fine) == 40
+    centers = np.array([index.center(c) for c in range(4000)])
+    exact = ((x[:5, None, :] - centers[None]) ** 2).sum(2)
+    assert np.allclose(index.distances(x[:5]) + (x[:5] ** 2).sum(1)[:, None], exact, atol=1e-3)
+
+
+def test_best_codes_are_kept():
+    owner, entry, score = ann.best_of(np.array([2, 1, 2, 2, 1]), np.array([5, 6, 7, 8, 9]), np.array([3.0, 1, 1, 2, 1]), 2)
+    assert list(zip(owner, entry, score, strict=True)) == [(1, 6, 1), (1, 9, 1), (2, 7, 1), (2, 8, 2)]
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 3)]
