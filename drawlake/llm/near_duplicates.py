@@ -2,9 +2,12 @@
 
 1. One pass over the texts hashes each document's set of word shingles and its MinHash signature: TREES labels of DEPTH
    bytes. Documents with equal sets are one class from here on.
-2. Documents that share a prefix of a tree's label stand under one node of it. The prefix is as long for all documents: its
-   depth is fixed beforehand, the longest at which the recall by formula at the threshold reaches the target. Pairs under
-   one node whose whole signatures agree well enough are kept, as a spanning forest of links rather than as pairs.
+2. Each tree is a prefix trie: the labels sorted, dealt to tasks by the shortest prefix in use. A walk takes the pairs under
+   one node level by level, from the whole label upwards, so each pair is met at the longest prefix that it shares. How far
+   up a document's pairs are taken is found out from the data: documents of a bounded sample are edited to just above the
+   threshold, and for each range of set sizes the matched prefix is shortened until the share of those pairs that meet in
+   some tree reaches the target. Sets too small to have any other set within the threshold stop at once.
+   Pairs whose whole signatures agree well enough are kept, as a spanning forest of links rather than as pairs.
 3. Inside the components of those links the texts are read again, and every pair is verified on its exact shingle sets.
    Only counts and a spanning forest of the verified links leave a task.
 
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drawlake.llm import words as W
@@ -27,18 +30,14 @@ from drawlake.llm.components import components
 SIMILARITY = 0.8
 SHINGLE = 5
 TREES, DEPTH = 30, 8
-TARGET_RECALL = 0.9999
+TARGET_RECALL = 0.9999  # share of pairs at the threshold that must meet in some tree
+SAMPLE = 1024  # documents that the depths are measured on, those whose node hashes lowest
+PAIRS = 4096  # pairs of each range of sizes that are measured
+SIZES = (16, 64, 256)  # set sizes at which another range of depths begins
+MEASURED_SIZE = 512  # members of a set that are measured; a larger set is represented by a sample of itself
 SLACK = 0.2  # a pair whose signatures agree on less than SIMILARITY - SLACK is no candidate: over 7 standard errors
 NODE_BLOCK = 512  # documents
-TEXT_BLOCK, BLOCK_SHINGLES = 256, 400_000  # documents, and shingles of them
-
-
-def matched_depth(similarity: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
-    """The longest prefix at which a pair of that similarity meets in some tree with the target probability."""
-    k = depth
-    while k > 1 and 1 - (1 - similarity**k) ** trees < target:
-        k -= 1
-    return k
+TEXT_BLOCK, BLOCK_SHINGLES = 128, 400_000  # documents, and shingles of them
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +60,54 @@ def labels(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
     return out
 
 
+def edited(members: np.ndarray, similarity: float, r: np.random.Generator) -> np.ndarray:
+    """A set whose similarity with this one is the least, by replacing members, that is not below the threshold; if it is
+    too small to lose one, it gains one."""
+    n = len(members)
+    lost = int(np.floor(n * (1 - similarity) / (1 + similarity) + 1e-9))  # (n - lost) / (n + lost) >= similarity
+    return np.append(members[r.permutation(n)[lost:]], r.integers(0, 2**64, max(1, lost), dtype=np.uint64))
+
+
+def shared_prefix(a: np.ndarray, b: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """Bytes that labels share from their start on, per pair and tree; a, b: signature bytes [pairs, trees * depth]."""
+    same = (a == b).reshape(-1, trees, depth)
+    return np.cumprod(same, 2).sum(2)
+
+
+def measured_depths(sets: list[np.ndarray], similarity: float, trees: int, depth: int, target: float) -> list[int]:
+    """For each range of set sizes the longest prefix at which enough pairs at the threshold meet in some tree.
+
+    Measured on the sets given and their edited copies, PAIRS of them or somewhat more. A range without sets that can have
+    a partner takes the least depth of the others.
+    """
+    r = np.random.Generator(np.random.PCG64(7))
+    met: dict[int, np.ndarray] = {}
+    ranges = np.digitize([len(s) for s in sets], SIZES)
+    for k in range(len(SIZES) + 1):
+        own = [s for s, g in zip(sets, ranges, strict=True) if g == k and len(s) >= smallest_pair(similarity)]
+        if own:
+            of = np.arange(-(-PAIRS // len(own)) * len(own)) % len(own)
+            one = labels(own, trees, depth)[of]
+            two = labels([edited(own[i], similarity, r) for i in of], trees, depth)
+            met[k] = shared_prefix(one, two, trees, depth).max(1)
+    out = []
+    for k in range(len(SIZES) + 1):
+        d = depth
+        while k in met and d > 1 and (met[k] >= d).mean() < target:
+            d -= 1
+        out.append(d if k in met else 0)
+    least = min((d for d in out if d), default=1)
+    return [d or least for d in out]
+
+
+def smallest_pair(similarity: float) -> int:
+    """The least size of a set that can be that similar to another set."""
+    n = 1
+    while n / (n + 1) < similarity - 1e-9:
+        n += 1
+    return n
+
+
 def _long_list(rows: np.ndarray) -> pa.ListArray:
     n, k = rows.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(rows.reshape(-1)))
@@ -94,8 +141,8 @@ def sketch(df: DataFrame, text: str = "text", shingle: int = SHINGLE, trees: int
     )
 
 
-def dealt(rows: DataFrame, group: list[str], blocks: str) -> DataFrame:
-    """rows once per pair of blocks of its group that it belongs to: plus columns blk, p, q (p <= q)."""
+def dealt(rows: DataFrame, group: list[str], blocks: str, then: Column | str = "node") -> DataFrame:
+    """rows once per pair of blocks of its group that it belongs to: plus columns blk, p, q (p <= q); sorted by unit and `then`."""
     n = F.col(blocks)
     blk = F.pmod(F.xxhash64("node"), n).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(F.col("blk"), j).alias("p"), F.greatest(F.col("blk"), j).alias("q")))
@@ -105,7 +152,7 @@ def dealt(rows: DataFrame, group: list[str], blocks: str) -> DataFrame:
         .select("*", "pq.p", "pq.q")
         .drop("pq")
         .repartition(*group, "p", "q")
-        .sortWithinPartitions(*group, "p", "q", "node")
+        .sortWithinPartitions(*group, "p", "q", then)
     )
 
 
@@ -158,60 +205,92 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[root]
 
 
-def _pair_blocks(bounds: np.ndarray, blk: np.ndarray, p: np.ndarray, q: np.ndarray, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers i < j of all pairs of each group that its unit of work compares, about `most` at a time."""
-    left, right, held = [], [], 0
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        if p[a] == q[a]:
-            rows = np.arange(a, b)
-            for x in range(a, b - 1):
-                left.append(np.full(b - x - 1, x))
-                right.append(rows[x - a + 1 :])
-                held += b - x - 1
-                if held >= most:
-                    yield np.concatenate(left), np.concatenate(right)
-                    left, right, held = [], [], 0
-        else:
-            one, two = a + np.flatnonzero(blk[a:b] == p[a]), a + np.flatnonzero(blk[a:b] == q[a])
-            for x in one:
-                left.append(np.full(len(two), x))
-                right.append(two)
-                held += len(two)
-                if held >= most:
-                    yield np.concatenate(left), np.concatenate(right)
-                    left, right, held = [], [], 0
-    if held:
-        yield np.concatenate(left), np.concatenate(right)
+def trie_pairs(group: np.ndarray, keys: np.ndarray, reach: np.ndarray, depth: int, least: int, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers i < j of the pairs of a sorted trie, level by level from whole labels up to prefixes of `least` bytes.
+
+    Rows are sorted by group and key (unsigned, one byte a level). A pair comes once, at the longest prefix that it shares,
+    if one of the two reaches up to that level; about `most` pairs at a time.
+    """
+    n = len(keys)
+    below = np.arange(1, n + 1)  # where the run of each row's child node ends; at first, the row itself
+    for level in range(depth, least - 1, -1):
+        prefix = keys >> np.uint64(8 * (depth - level))
+        last = np.append((prefix[1:] != prefix[:-1]) | (group[1:] != group[:-1]), True)
+        ends = np.flatnonzero(last) + 1
+        end = ends[np.searchsorted(ends, np.arange(n), side="right")]
+        count = end - below
+        total = np.concatenate([[0], np.cumsum(count)])
+        at = 0
+        while at < n:
+            stop = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
+            i = np.repeat(np.arange(at, stop), count[at:stop])
+            j = np.arange(total[at], total[stop]) - np.repeat(total[at:stop] - below[at:stop], count[at:stop])
+            wanted = (reach[i] <= level) | (reach[j] <= level)
+            if wanted.any():
+                yield i[wanted], j[wanted]
+            at = stop
+        below = end
 
 
 def _matrix(table: pa.Table, column: str, width: int) -> np.ndarray:
     return table.column(column).combine_chunks().flatten().to_numpy().reshape(-1, width)
 
 
-def candidate_links(classes: DataFrame, similarity: float, trees: int, depth: int, target: float) -> DataFrame:
-    """a, b: a spanning forest of the pairs of classes that meet in the forest and whose signatures agree."""
-    k = matched_depth(similarity, trees, depth, target)
-    drop_bits = 8 * (depth - k)
+def depths_of(classes: DataFrame, docs: DataFrame, similarity: float, shingle: int, trees: int, depth: int, target: float) -> list[int]:
+    """measured_depths() of a sample of the classes (node, rep) of docs (doc_id, text)."""
+    chosen = classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("node", "rep")
+    texts = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("rep"))
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, at = W.hashes(batch.column(1).to_pylist())
+            sets = [W.shingles(found[i:j], shingle) for i, j in zip(at[:-1], at[1:], strict=True)]
+            short = [s[np.argsort(W.mix(s))[:MEASURED_SIZE]].astype(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.list_(pa.int64()))], names=["node", "members"])
+
+    rows = texts.select("node", "text").mapInArrow(tidy(run), "node long, members array<long>").orderBy("node").collect()
+    return measured_depths([np.array(r["members"], np.int64).astype(np.uint64) for r in rows if r["members"]], similarity, trees, depth, target)
+
+
+def candidate_links(classes: DataFrame, similarity: float, trees: int, depth: int, reaches: list[int]) -> DataFrame:
+    """a, b: a spanning forest of the pairs of classes that meet in the forest and whose signatures agree.
+
+    reaches: for each range of set sizes, the shortest prefix up to which pairs are taken.
+    """
+    least = min(reaches)
+    drop_bits = 8 * (depth - least)
     agree = max(0.0, similarity - SLACK) * trees * depth
-    prefixes = classes.select("node", F.posexplode(F.transform("keys", lambda x: F.shiftrightunsigned(x, drop_bits))).alias("tree", "prefix"))
-    crowded = cut(prefixes.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    met = prefixes.join(crowded, ["tree", "prefix"])
-    members = cut(met.withColumn("blocks", F.ceil(F.col("members") / NODE_BLOCK).cast("int")).drop("members"))
-    labelled = members.join(classes.select("node", "keys"), "node")
-    work = dealt(labelled, ["tree", "prefix"], "blocks").select("tree", "prefix", "p", "q", "blk", "node", "keys")
+    small = smallest_pair(similarity)
+    up_to = F.element_at(F.array(*map(F.lit, reaches)), sum((F.col("n") >= s).cast("int") for s in SIZES) + 1)
+    reaching = classes.where(F.col("n") >= small).select("node", "keys", up_to.alias("reach"))
+    prefixes = reaching.select("node", "reach", F.posexplode(F.transform("keys", lambda x: F.shiftrightunsigned(x, drop_bits))).alias("tree", "prefix"))
+    crowded = cut(prefixes.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("members"), F.min("reach").alias("least")).where("members > 1"))
+    met = prefixes.drop("reach").join(crowded, ["tree", "prefix"])
+    members = cut(met.withColumn("blocks", F.ceil(F.col("members") / NODE_BLOCK).cast("int")).select("tree", "prefix", "node", "blocks"))
+    labelled = members.join(reaching, "node")
+    # Sorted by key inside of a unit: one node of the trie at the shortest prefix, or a pair of blocks of it.
     group = ["tree", "prefix", "p", "q"]
+    key = F.element_at("keys", F.col("tree") + 1)
+    sort_key = F.struct(key < 0, key)  # bytes are compared, so the sign bit is the greatest
+    work = dealt(labelled, ["tree", "prefix"], "blocks", sort_key).select(*group, "blk", "node", "reach", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, group):
             keys = _matrix(table, "keys", trees)
-            short = keys.view(np.uint64) >> np.uint64(drop_bits)
+            whole = np.ascontiguousarray(keys).view(np.uint64)
+            short = whole >> np.uint64(drop_bits)
             signature = np.ascontiguousarray(keys).view(np.uint8)
-            tree, node, blk, p, q = (table.column(c).to_numpy() for c in ("tree", "node", "blk", "p", "q"))
+            tree, node, blk, p, q, reach = (table.column(c).to_numpy() for c in ("tree", "node", "blk", "p", "q", "reach"))
+            bounds = group_bounds(table, group)
+            unit = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             a, b = [], []
-            for i, j in _pair_blocks(group_bounds(table, group), blk, p, q):
-                fresh = np.ones(len(i), bool)  # pairs that no earlier tree has compared
+            for i, j in trie_pairs(unit, whole[np.arange(len(whole)), tree], reach, depth, least):
+                across = (p[i] == q[i]) | (blk[i] != blk[j])
+                i, j = i[across], j[across]
+                fresh = np.ones(len(i), bool)  # pairs that no earlier tree may have compared
                 for t in range(int(tree[i].max(initial=0))):
-                    fresh &= ~((short[i, t] == short[j, t]) & (tree[i] > t))
+                    fresh &= ~((short[i, t] == short[j, t]) & (tree[i] > t) & (_levels(whole[i, t] ^ whole[j, t], depth) >= np.minimum(reach[i], reach[j])))
                 i, j = i[fresh], j[fresh]
                 for s in range(0, len(i), 1 << 14):
                     x, y = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
@@ -226,6 +305,14 @@ def candidate_links(classes: DataFrame, similarity: float, trees: int, depth: in
     return work.mapInArrow(tidy(run), "a long, b long")
 
 
+def _levels(differ: np.ndarray, depth: int) -> np.ndarray:
+    """Leading equal bytes, from the exclusive or of two labels."""
+    out = np.zeros(len(differ), np.int64)
+    for k in range(1, depth + 1):
+        out += (differ >> np.uint64(8 * (depth - k))) == 0
+    return out
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections of sorted sets, by products of incidence matrices over shared members."""
     n = len(sets)
@@ -248,18 +335,17 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verified_links(docs: DataFrame, members: DataFrame, similarity: float, shingle: int, trees: int, depth: int) -> DataFrame:
+def verified_links(docs: DataFrame, members: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """node, root, links: for each class of a unit of work that has a verified link there, the least class that it is linked
     with through others, and the number of documents in the classes that it is linked with itself.
 
-    members: node, rep (doc_id of one of its documents), copies, comp, n, keys.
+    members: node, rep (doc_id of one of its documents), copies, comp, n.
     """
     size = members.groupBy("comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
     sized = cut(members.join(cut(size), "comp").withColumn("blocks", F.ceil(F.greatest(F.col("members") / TEXT_BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")))
-    texts = docs.join(sized, docs["doc_id"] == sized["rep"]).select("comp", "blocks", "node", "copies", "keys", "text")
+    texts = docs.join(sized, docs["doc_id"] == sized["rep"]).select("comp", "blocks", "node", "copies", "text")
     group = ["comp", "p", "q"]
-    work = dealt(texts, ["comp"], "blocks").select(*group, "blk", "node", "copies", "keys", "text")
-    agree = max(0.0, similarity - SLACK) * trees * depth
+    work = dealt(texts, ["comp"], "blocks").select(*group, "blk", "node", "copies", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, group, 512):
@@ -274,17 +360,9 @@ def verified_links(docs: DataFrame, members: DataFrame, similarity: float, shing
                 if len(node) < 2:
                     continue
                 blk, copies = (part.column(c).to_numpy()[first] for c in ("blk", "copies"))
-                signature = np.ascontiguousarray(_matrix(part, "keys", trees)[first]).view(np.uint8)
                 p, q = part.column("p")[0].as_py(), part.column("q")[0].as_py()
                 sizes = np.array([len(s) for s in sets], np.float64)
-                if len(node) > 24:
-                    both = overlaps(sets).astype(np.float64)
-                else:
-                    both = np.zeros((len(node), len(node)))
-                    for i in range(len(node)):
-                        for j in range(i + 1, len(node)):
-                            if (signature[i] == signature[j]).sum() >= agree:
-                                both[i, j] = both[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                both = overlaps(sets).astype(np.float64)
                 linked = both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-9
                 np.fill_diagonal(linked, False)
                 if p != q:
@@ -310,9 +388,10 @@ def _classified(
         .groupBy("node")
         .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     )
-    loose = components(candidate_links(classes, similarity, trees, depth, target)).withColumnRenamed("root", "comp")
-    members = classes.join(loose, "node")
-    found = cut(verified_links(docs, members, similarity, shingle, trees, depth))
+    reaches = depths_of(classes, docs, similarity, shingle, trees, depth, target)
+    loose = components(candidate_links(classes, similarity, trees, depth, reaches)).withColumnRenamed("root", "comp")
+    members = classes.drop("keys").join(loose, "node")
+    found = cut(verified_links(docs, members, similarity, shingle))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     placed = classes.select("node", "rep", "copies").join(groups, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))

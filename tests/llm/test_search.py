@@ -173,9 +173,64 @@ def test_near_duplicates_against_brute_force(documents, prose, monkeypatch):
     assert near_duplicates.near_duplicates(documents([])).count() == 0
 
 
-def test_matched_depth_meets_its_target():
-    k = near_duplicates.matched_depth(0.8, 30, 8, 0.9999)
-    assert 1 - (1 - 0.8**k) ** 30 >= 0.9999 > 1 - (1 - 0.8 ** (k + 1)) ** 30
+def test_edited_sets_stand_at_the_threshold():
+    r = np.random.Generator(np.random.PCG64(5))
+    assert near_duplicates.smallest_pair(0.8) == 4
+    for n in range(4, 200):
+        own = np.arange(n, dtype=np.uint64)
+        e = near_duplicates.edited(own, 0.8, r)
+        both = len(np.intersect1d(own, e))
+        assert both / (2 * n - both + len(e) - n) >= 0.8 - 1e-9
+        lost = n - both
+        assert lost == 0 or (n - lost - 1) / (n + lost + 1) < 0.8
+
+
+def test_measured_depths():
+    r = np.random.Generator(np.random.PCG64(6))
+    sets = [np.sort(r.integers(0, 2**64, n, dtype=np.uint64)) for n in [2, 3, 10, 40, 100, 300, 2000] * 40]
+    depths = near_duplicates.measured_depths(sets, 0.8, 30, 8, 0.999)
+    assert len(depths) == len(near_duplicates.SIZES) + 1 and all(5 <= d <= 8 for d in depths)
+    assert near_duplicates.measured_depths(sets, 0.95, 30, 8, 0.999) == [8] * 4  # what is measured sets the depth
+    assert max(near_duplicates.measured_depths(sets, 0.8, 5, 8, 0.999)) < min(depths)
+    assert near_duplicates.measured_depths([], 0.8, 30, 8, 0.999) == [1] * 4
+
+
+def test_trie_pairs_meet_once_at_their_longest_prefix():
+    r = np.random.Generator(np.random.PCG64(7))
+    group = np.sort(r.integers(0, 3, 300))
+    keys = np.array([int.from_bytes(bytes(r.integers(0, 3, 4, dtype=np.uint8)), "big") for _ in range(300)], np.uint64)
+    order = np.lexsort((keys, group))
+    keys, reach = keys[order], r.integers(2, 5, 300)
+    level = np.array([near_duplicates._levels(k ^ keys, 4) for k in keys])
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if group[i] == group[j] and level[i, j] >= max(2, min(reach[i], reach[j]))}
+    got, before = [], 5
+    for i, j in near_duplicates.trie_pairs(group, keys, reach, 4, 2, most=50):
+        got += zip(i.tolist(), j.tolist(), strict=True)
+        assert len(set(level[i, j])) == 1 and level[i[0], j[0]] <= before  # from the longest prefix upwards
+        before = level[i[0], j[0]]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_recall_on_test_documents():
+    """All pairs of a part of sf0.1 that reach the threshold meet in the forest."""
+    import duckdb
+
+    texts = [t for (t,) in duckdb.connect().execute("select text from '/root/testdata/sf0.1/documents.parquet' where doc_id < 4000").fetchall()]
+    found, at = words.hashes(texts)
+    sets = {s.tobytes(): s for a, b in zip(at[:-1], at[1:], strict=True) if len(s := words.shingles(found[a:b]))}
+    sets = list(sets.values())
+    depths = near_duplicates.measured_depths(sets, 0.8, 30, 8, near_duplicates.TARGET_RECALL)
+    signature = near_duplicates.labels(sets, 30, 8)
+    reach = np.array(depths)[np.digitize([len(s) for s in sets], near_duplicates.SIZES)]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s.tolist():
+            holders[x].append(i)
+    shared = Counter((i, j) for own in holders.values() for k, i in enumerate(own) for j in own[k + 1 :])
+    links = [(i, j) for (i, j), c in shared.items() if c >= 0.8 * (len(sets[i]) + len(sets[j]) - c) - 1e-9]
+    one, two = np.array(links).T
+    level = near_duplicates.shared_prefix(signature[one], signature[two], 30, 8).max(1)
+    assert len(links) > 10 and (level >= np.minimum(reach[one], reach[two])).all()
 
 
 def smith_waterman(a, b):
