@@ -317,7 +317,9 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     shared = spark.sparkContext.broadcast(Vocabulary.load(vocabulary))
     rest = [c for c in (df.columns if keep is None else keep) if c.lower() != ids.lower()]
     source = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias(own_name(df, "__text")))
-    schema = T.StructType([*[source.schema[i] for i in range(len(rest))], T.StructField(ids, T.ArrayType(T.IntegerType(), False), True)])
+    names = [f"c{i}" for i in range(len(rest))]  # mapInArrow finds columns by name, so names are plain and distinct
+    source = source.toDF(*names, "text")
+    schema = T.StructType([*[source.schema[i] for i in range(len(rest))], T.StructField("ids", T.ArrayType(T.IntegerType(), False), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
@@ -327,20 +329,24 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
             for a, b in _slices((len(t or "") for t in texts), 1 << 21):
                 flat, ends = encoder.encode_flat(texts[a:b])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(len(rest))], lists], names=[*rest, ids])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(len(rest))], lists], names=[*names, "ids"])
 
-    return source.mapInArrow(tidy(run), schema)
+    return source.mapInArrow(tidy(run), schema).toDF(*rest, ids)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """df plus the text that `ids` stand for, special tokens included; null ids give an empty text."""
+    """df plus the text that `ids` stand for, special tokens included; null ids give an empty text, an empty df an empty result.
+
+    Other columns pass through, whatever their names; one that is called like `text` is replaced.
+    """
     spark = df.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(Vocabulary.load(vocabulary).token_bytes)
     source = drop_if_there(df, text)
-    names = source.columns
-    at = names.index(ids)
-    schema = T.StructType([*source.schema.fields, T.StructField(text, T.StringType(), True)])
+    rest = source.columns
+    at, names = rest.index(ids), [f"c{i}" for i in range(len(rest))]
+    source = source.toDF(*names)
+    schema = T.StructType([*source.schema.fields, T.StructField("text", T.StringType(), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
@@ -352,13 +358,17 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
                 own = part.column(at)
                 ends = np.concatenate([[0], np.cumsum(own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
                 out = decoder.decode_flat(own.flatten().to_numpy(zero_copy_only=False), ends)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*names, text])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*names, "text"])
 
-    return source.mapInArrow(tidy(run), schema)
+    return source.mapInArrow(tidy(run), schema).toDF(*rest, text)
 
 
 def digests(df: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of a table of documents, by encoding and decoding it."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of a table of documents, by encoding and decoding it.
+
+    Null texts are empty and have no ids; a null doc_id stays null; repeated rows give repeated results; an empty table
+    none. Only doc_id and text are read.
+    """
     coded = decode(encode(df, vocabulary, keep=["doc_id"]), vocabulary)
     return coded.select(
         "doc_id",

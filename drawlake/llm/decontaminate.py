@@ -19,7 +19,7 @@ from drawlake.llm import words as W
 from drawlake.llm.common import ship, tidy
 
 GRAM = 3  # words of a seed
-SHARE, LEAST = 0.75, 12  # of an item's n-grams, the rarest share are seeds, and no fewer than LEAST
+SHARE, LEAST = 0.5, 12  # of an item's n-grams, the rarest share are seeds, and no fewer than LEAST
 HITS = 2  # seeds that a passage must hold, or all that an item has
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 THRESHOLD = 0.5  # of the score that the whole item would reach
@@ -105,7 +105,7 @@ def document_frequency(docs: DataFrame, keys: np.ndarray, short: bool, text: str
         own = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count[own])], names=["key", "n"])
 
-    summed = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    summed = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(keys), np.int64)
     out[summed.column("key").to_numpy()] = summed.column("n").to_numpy()
     return out
@@ -201,17 +201,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold:
                         names=["doc_id", "item_id", "score", "start", "stop", "seeds"],
                     )
 
-        part = docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(run), schema)
+        part = docs.select(F.col("doc_id").cast("long"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs without the rows that hold an item, by the same rule as `leaks`; all columns as they are, no shuffle."""
+    """docs without the rows that hold an item, by the same rule as `leaks`; all columns as they are, whatever their names.
+
+    Null and empty texts stay; repeated rows go or stay together; an empty benchmark drops nothing. No shuffle.
+    """
     ship(docs.sparkSession)
-    out = docs
-    names, schema = docs.columns, docs.schema
-    at = names.index(text)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # mapInArrow finds columns by name, so names are plain and distinct
+    out = docs.toDF(*names)
+    at, schema = docs.columns.index(text), out.schema
     for ids, items in blocks_of(benchmark, block_words):
         block = docs.sparkSession.sparkContext.broadcast((rare_seeds(docs, ids, items, text), _short(items)))
 
@@ -219,11 +222,11 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", thresh
             seeds, short = block.value
             for batch in batches:
                 clean = []
-                column = batch.column(at)
+                column = batch.column(at).cast(pa.string())
                 for a in range(0, batch.num_rows, 256):
                     found, cuts = W.hashes(column.slice(a, 256).to_pylist())
                     clean += [not leaks_of(found[i:j], seeds, short, threshold) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         out = out.mapInArrow(tidy(run), schema)
-    return out
+    return out.toDF(*docs.columns)

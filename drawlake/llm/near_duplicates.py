@@ -135,7 +135,7 @@ def sketch(df: DataFrame, text: str = "text", shingle: int = SHINGLE, trees: int
                     names=["doc_id", "mark", "node", "n", "keys"],
                 )
 
-    body = F.col(text).cast("string")
+    body = F.col(f"`{text}`").cast("string")
     return df.select(F.col("doc_id").cast("long"), F.xxhash64(body).alias("mark"), body.alias("text")).mapInArrow(
         tidy(run), "doc_id long, mark long, node long, n int, keys array<long>"
     )
@@ -381,7 +381,7 @@ def _classified(
     df: DataFrame, text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL
 ) -> DataFrame:
     """The rows of near_duplicates(), with mark, the hash of the row's text."""
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     sketched = cut(sketch(docs, "text", shingle, trees, depth).withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))))
     classes = cut(
         sketched.where(F.col("node").isNotNull())

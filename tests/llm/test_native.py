@@ -29,25 +29,34 @@ def test_native_plans_hold_no_python(name, spark, sf):
 def test_line_dedup(documents):
     r = random.Random(2)
     rows = [(i, "\n".join([f"own {i}", "  footer " if i % 2 else f"body {r.randrange(10**6)}", "footer", "", "twice", "twice"][: 3 + i % 4]), "a" if i % 3 else "b") for i in range(60)] + ODD
-    got = {}
-    for x in line_dedup.drop_boilerplate(documents(rows), ratio=0.3, min_pages=5).collect():
-        got.setdefault((x["doc_id"], x["source"]), []).append((x["text"], x["n_lines"], x["n_dropped"], x["lines"]))
     pages, counts = {}, {}
-    for _, t, s in rows:
+    for t, s in dict.fromkeys((t, s) for _, t, s in rows):
         pages[s] = pages.get(s, 0) + 1
         for line in {x.strip(" ") for x in (t or "").split("\n")} - {""}:
             counts[s, line] = counts.get((s, line), 0) + 1
-    for d, t, s in rows:
-        if t is None:
-            assert (None, 0, 0, "l") in got[d, s]
-            continue
-        lines = t.split("\n")
-        kept = [x for x in lines if not (x.strip(" ") and counts[s, x.strip(" ")] >= 5 and counts[s, x.strip(" ")] > 0.3 * pages[s])]
-        assert ("\n".join(kept), len(lines), len(lines) - len(kept), "l") in got[d, s]
-    assert sum(map(len, got.values())) == len(rows)
+    for size in (0, 1 << 20):
+        got = {}
+        for x in line_dedup.drop_boilerplate(documents(rows), ratio=0.3, broadcast_bytes=size).collect():
+            got.setdefault((x["doc_id"], x["source"]), []).append((x["text"], x["n_lines"], x["n_dropped"], x["lines"]))
+        for d, t, s in rows:
+            if t is None:
+                assert (None, 0, 0, "l") in got[d, s]
+                continue
+            lines = t.split("\n")
+            kept = [x for x in lines if not (x.strip(" ") and counts[s, x.strip(" ")] >= 2 and counts[s, x.strip(" ")] > 0.3 * pages[s])]
+            assert ("\n".join(kept), len(lines), len(lines) - len(kept), "l") in got[d, s]
+        assert sum(map(len, got.values())) == len(rows)
     assert line_dedup.drop_boilerplate(documents([])).count() == 0
 
 
+def test_copies_are_one_page(documents):
+    rows = [(i, "shared by copies\nfooter" if i < 6 else f"own {i}\nfooter", "s") for i in range(10)]
+    out = {x["doc_id"]: x["text"] for x in line_dedup.drop_boilerplate(documents(rows), ratio=0.5).collect()}
+    assert out == {i: "shared by copies" if i < 6 else f"own {i}" for i in range(10)}
+    each = {x["text"] for x in line_dedup.drop_boilerplate(documents(rows), ratio=0.5, copies_once=False).collect()}
+    assert each == {""} | {f"own {i}" for i in range(6, 10)}
+
+
 def sha(s):
     return hashlib.sha256(s.encode()).hexdigest()
 
@@ -107,15 +116,4 @@ def test_trigram_queries():
     q = secret_scan.trigram_query
     assert q("abc") == "abc" and q("[0-9a-f]+") is True and q("a|bcd") is True
     assert q("(?i:abcd)x?") == ("and", frozenset({"abc", "bcd"}))
-    assert q("(abc|xyz)+q") == ("or", frozenset({("and", frozenset({"abc", "bcq"})), ("and", frozenset({"xyz", "yzq"}))})) or "abc" in secret_scan.trigrams(q("(abc|xyz)+q"))
-
-
-def test_pipeline_keeps_the_lines_of_a_group_of_copies(spark, documents, sf):
-    import corpus_pipeline
-
-    copy = "the text of the copies\nin two lines of its own"
-    rows = [(i, copy if i < 30 else f"page {i} says this\nfooter", "a") for i in range(300)]
-    docs = documents(rows).cache()
-    out = {x["doc_id"]: x["text"] for x in corpus_pipeline.drop_lines(spark, docs, sf).collect()}
-    assert all(out[i] == copy for i in range(30)) and all(out[i] == f"page {i} says this" for i in range(30, 300))
-    assert [x["doc_id"] for x in corpus_pipeline.drop_copies(spark, docs, sf).where("doc_id < 30").collect()] == [0]
+    assert q("(abc|xyz)+q") == ("and", frozenset({("or", frozenset({"abc", "xyz"})), ("or", frozenset({"bcq", "yzq"}))}))

@@ -248,6 +248,23 @@ def test_alignment_equals_smith_waterman():
         assert decontaminate.align(a, b)[0] == smith_waterman(a, b)
 
 
+def test_decontamination_equals_exhaustive_alignment(spark, sf):
+    """Every document aligned with every item."""
+    from drawlake.llm.common import table
+
+    docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    pairs = {}
+    for d in docs.collect():
+        body, _ = words.hashes([d["text"]])
+        for b in bench.collect():
+            item, _ = words.hashes([b["text"]])
+            score = decontaminate.align(item, body)[0] / (decontaminate.MATCH * len(item)) if len(item) else 0
+            if score >= decontaminate.THRESHOLD:
+                pairs[d["doc_id"], b["item_id"]] = score
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontaminate.leaks(docs, bench).collect()}
+    assert len(pairs) > 0 and got == pytest.approx(pairs)
+
+
 def test_decontamination(spark, documents, prose):
     r = random.Random(10)
     items = [(i, " ".join(f"q{i}w{k}" if k % 3 else prose(1) for k in range(r.randrange(15, 50)))) for i in range(25)] + [(100, "zz yy"), (101, ""), (102, None)]
@@ -399,29 +416,6 @@ def test_broken_markup():
     assert [s.text for s in wrappers.texts_of(wrappers.read_page("<p>a <!-- b --> c</p><p>d"))] == ["a c", "d"]
 
 
-def test_pipeline(spark, vocabulary, sf):
-    import corpus_pipeline
-    from tokenizers import Tokenizer
-
-    from drawlake.llm.common import table
-
-    assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
-    docs = table(spark, sf, "documents")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns and out.count() <= docs.count()
-        docs = out.cache()
-    texts = {x["doc_id"]: x["text"] for x in docs.collect()}
-    bench = [x["text"] for x in table(spark, sf, "benchmark").collect()]
-    assert not any(b in (t or "") for b in bench for t in texts.values())
-    t = Tokenizer.from_file(vocabulary)
-    got = corpus_pipeline.run(spark, sf).collect()
-    assert {x["doc_id"]: x["n_tokens"] for x in got} == {d: len(t.encode(x or "", add_special_tokens=False).ids) for d, x in texts.items()}
-    empty = table(spark, sf, "documents").limit(0)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, empty, sf).count() == 0
-
-
 def test_extraction_tells_hidden_from_plain_texts_of_one_path(spark):
     one = "<article><p hidden>x</p><p>text</p><div class='a b c advert'>Buy</div><div class='a b c'>more</div></article>"
     rows = [(i, f"http://h.example/{i}", one if i % 2 else f"<article><p>plain {i}</p></article>") for i in range(6)]
