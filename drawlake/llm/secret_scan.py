@@ -1,10 +1,11 @@
 """Secret scans over a trigram inverted index, in DataFrame functions only.
 
 Each rule's regular expression is analysed on the driver into a Boolean query over lower-case trigrams that every match must
-satisfy. Documents fall into segments by a hash of their id; a segment's postings list, per trigram that some query names, the
-documents that hold it. Queries intersect and unite postings segment by segment, and only the documents that come out are
-searched with the expression. A rule without mandatory trigrams searches every document. A segment has about SEGMENT documents
-at any size of the corpus, so no list grows with it.
+satisfy; the index holds the trigrams that narrow such a query most, two of each conjunction. Documents fall into segments by
+a hash of their id; a segment's postings list, per indexed trigram, the documents that hold it, so no list grows with the
+corpus. Queries intersect and unite postings segment by segment. The candidates that come out go back to the texts as a bitmap
+of bounded size rather than by a join of the texts, and a candidate is searched with the expressions where its row is read. A
+bit that two ids share costs a search and changes no result. A rule without mandatory trigrams searches every document.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ from pyspark.sql import functions as F
 
 from drawlake.llm.common import cut
 
-SEGMENT = 2048
+SEGMENT = 2048  # documents of a segment
+GRAMS = 2  # trigrams of a conjunction that are indexed
+BITS_A_CANDIDATE, LEAST_BITS, MOST_BITS = 16, 1 << 17, 1 << 28  # of the bitmap; at most 32 MB, however many candidates
+COMMON = "etaoinshrdlucmfwypvbgkjqxz"  # fixed value: letters from frequent to rare
 
 
 @dataclass(frozen=True)
@@ -36,7 +40,7 @@ RULES = [
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]{16,}", base=True),
     Rule("hex", r"[0-9a-f]{24,}", base=True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
@@ -157,21 +161,56 @@ def trigrams(query: object) -> set[str]:
     return set() if query is ALL else {query} if isinstance(query, str) else set().union(*map(trigrams, query[1]))
 
 
+def _conjunctions(query: object) -> list[set[str]]:
+    """The sets of trigrams of which each conjunction asks for all."""
+    if query is ALL:
+        return []
+    if isinstance(query, str):
+        return [{query}]
+    own = [{q for q in query[1] if isinstance(q, str)}] if query[0] == "and" else [{q} for q in query[1] if isinstance(q, str)]
+    return [x for x in own if x] + [c for q in query[1] if isinstance(q, tuple) for c in _conjunctions(q)]
+
+
+def narrowed(queries: dict[str, object], grams: int = GRAMS) -> dict[str, object]:
+    """The queries with at most `grams` trigrams of each conjunction: those that most conjunctions share, then the rarest.
+
+    What satisfies a query satisfies the narrowed one.
+    """
+    all_ = [c for q in queries.values() for c in _conjunctions(q)]
+    rare = lambda g: sum([COMMON.find(c) if c in COMMON else len(COMMON) for c in g])
+    worth = lambda g: (-sum([g in c for c in all_]), -rare(g), g)
+
+    def narrow(q: object) -> object:
+        if q is ALL or isinstance(q, str):
+            return q
+        if q[0] == "or":
+            return _join("or", [narrow(x) for x in q[1]])
+        own = sorted((x for x in q[1] if isinstance(x, str)), key=worth)[:grams]
+        return _join("and", own or [narrow(x) for x in q[1]])
+
+    return {k: narrow(q) for k, q in queries.items()}
+
+
 def candidates(df: DataFrame, queries: dict[str, object], text: str = "text") -> DataFrame:
-    """doc_id, kinds array<string>: the rules whose query the document's trigrams satisfy, through the postings."""
+    """doc_id, kinds array<string>: the rules whose query the document's trigrams satisfy, through the postings.
+
+    Rows of null doc_id or text are in no posting; rows that share a doc_id are one document; a rule that every document
+    satisfies is not named; an empty df, or no rule with trigrams, gives no rows.
+    """
     grams = sorted(set().union(*map(trigrams, queries.values())))
-    count = df.count()
-    segments = max(1, -(-count // SEGMENT))
-    folded = F.lower(F.col(text))
-    held = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("folded"), g))
+    asked = {k: q for k, q in queries.items() if q is not ALL}
+    if not asked:
+        return df.sparkSession.createDataFrame([], f"doc_id {df.schema['doc_id'].dataType.simpleString()}, kinds array<string>")
+    segments = max(1, -(-df.count() // SEGMENT))
+    held = F.array_compact(F.array(*[F.when(F.contains("folded", F.lit(g)), F.lit(g)) for g in grams]))
     found = (
         df.where(F.col("doc_id").isNotNull())
-        .select("doc_id", folded.alias("folded"))
+        .select("doc_id", F.lower(F.col(text)).alias("folded"))
         .select("doc_id", F.expr(f"pmod(xxhash64(doc_id), {segments})").alias("segment"), F.explode(held).alias("gram"))
     )
     postings = found.repartition("segment").groupBy("segment", "gram").agg(F.collect_set("doc_id").alias("docs"))
     index = postings.groupBy("segment").agg(F.map_from_entries(F.collect_list(F.struct("gram", "docs"))).alias("index"))
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast(f"array<{df.schema['doc_id'].dataType.simpleString()}>")
 
     def answer(q: object) -> Column:
         if isinstance(q, str):
@@ -182,8 +221,6 @@ def candidates(df: DataFrame, queries: dict[str, object], text: str = "text") ->
             out = (F.array_intersect if q[0] == "and" else F.array_union)(out, answer(p))
         return out
 
-    asked = {k: q for k, q in queries.items() if q is not ALL}
-
     def named(kind: str, docs: Column) -> Column:
         return F.transform(docs, lambda d: F.struct(d.alias("doc_id"), F.lit(kind).alias("kind")))
 
@@ -191,6 +228,26 @@ def candidates(df: DataFrame, queries: dict[str, object], text: str = "text") ->
     return hits.groupBy("hit.doc_id").agg(F.collect_set("hit.kind").alias("kinds"))
 
 
+def with_sieve(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """df plus a boolean column: False only if the row's doc_id is not among ids (doc_id, none null); True if it is or is null.
+
+    The ids are a bitmap of a bit per hash value, whose size follows their number up to MOST_BITS; it is broadcast.
+    """
+    bits = LEAST_BITS
+    wanted = ids.count() * BITS_A_CANDIDATE
+    while bits < min(wanted, MOST_BITS):
+        bits *= 2
+    spot = F.expr(f"pmod(xxhash64(doc_id), {bits}) + 1")
+    marks = ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bitmap"))
+    own, theirs, bitmap = "__spot", "__bucket", "__bitmap"
+    rows = df.withColumn(own, spot)
+    joined = rows.join(F.broadcast(marks.select(F.col("bucket").alias(theirs), F.col("bitmap").alias(bitmap))), F.bitmap_bucket_number(own) == F.col(theirs), "left")
+    at = F.bitmap_bit_position(F.col(own)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, at % 8) == 1
+    return joined.withColumn(name, F.col("doc_id").isNull() | F.coalesce(hit, F.lit(False))).drop(own, theirs, bitmap)
+
+
 _CHUNK = 128
 
 
@@ -233,23 +290,23 @@ def scan(df: DataFrame, rules: list[Rule] = RULES, text: str = "text") -> DataFr
 
     Spans count code points, stop exclusive. Null text is empty and matches nothing; a null doc_id is searched with every
     rule, since the postings can't name it; rows that share a doc_id are each searched if one of them is a candidate.
-    Other columns of df are not read. An empty df gives no rows.
+    Other columns of df are not read. An empty df gives no rows. Texts are read where they lie, never shuffled.
     """
-    docs = df.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    docs = df.select("doc_id", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    found = cut(candidates(docs, queries).withColumnRenamed("doc_id", "cand_id"))
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("cand_id")), "left")
+    found = cut(candidates(docs, narrowed(queries)).select("doc_id"))
+    sieved = with_sieve(docs, found, "candidate")
     nothing = F.array().cast("array<struct<start:int,ord:int,stop:int>>")
     columns = []
     for i, r in enumerate(rules):
-        asked = F.lit(True) if queries[r.kind] is ALL else F.col("doc_id").isNull() | F.coalesce(F.array_contains("kinds", r.kind), F.lit(False))
+        asked = F.lit(True) if queries[r.kind] is ALL else F.col("candidate")
         hit = asked & F.rlike("text", F.lit(r.pattern))
         columns.append(F.when(hit, spans(F.col("text"), r, i)).otherwise(nothing).alias(r.kind))
-    return joined.select("doc_id", *columns)
+    return sieved.select("doc_id", *columns)
 
 
 def digests(found: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """doc_id, the number of spans of each base kind, base_sha256 and spans (text) of a scan."""
+    """doc_id, the number of spans of each base kind, base_sha256 and spans (text) of a scan, a row per row of it."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
 
     def written(which: list[Rule]) -> Column:

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from drawlake.llm import chat_format, line_dedup, secret_scan
 from drawlake.llm.queries import ORACLE_SQL, QUERIES
@@ -117,3 +118,31 @@ def test_trigram_queries():
     assert q("abc") == "abc" and q("[0-9a-f]+") is True and q("a|bcd") is True
     assert q("(?i:abcd)x?") == ("and", frozenset({"abc", "bcd"}))
     assert q("(abc|xyz)+q") == ("and", frozenset({("or", frozenset({"abc", "xyz"})), ("or", frozenset({"bcq", "yzq"}))}))
+
+
+def test_narrowed_queries_are_weaker():
+    q = {r.kind: secret_scan.trigram_query(r.pattern) for r in secret_scan.RULES}
+    small = secret_scan.narrowed(q)
+    assert small["hex"] is True and small["jwt"] is not True
+    grams = set().union(*map(secret_scan.trigrams, small.values()))
+    assert len(grams) < len(set().union(*map(secret_scan.trigrams, q.values()))) / 2
+
+    def holds(query, text):
+        if query is True:
+            return True
+        return query in text if isinstance(query, str) else (all if query[0] == "and" else any)(holds(x, text) for x in query[1])
+
+    r = random.Random(21)
+    for _ in range(3000):
+        text = "".join(r.choice(["pass", "wor", "d", "wd", "sec", "ret", "tok", "en", "api", "_", "key", "ghp", "gho_", "xox", "b-", "eyj", ".ey", "j", "aki", "a", "---", "begin", " private", "aiza"]) for _ in range(5))
+        assert all(holds(small[k], text) or not holds(q[k], text) for k in q)
+
+
+def test_sieve_lets_every_candidate_through(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 1000 != 7, F.col("id")).alias("doc_id"))
+    ids = spark.range(0, 20_000, 97).select(F.col("id").alias("doc_id"))
+    out = secret_scan.with_sieve(rows, ids, "candidate").groupBy("doc_id", "candidate").count().collect()
+    through = {x["doc_id"] for x in out if x["candidate"]}
+    assert sum(x["count"] for x in out) == 20_000 and None in through
+    assert set(range(0, 20_000, 97)) - {7 + 1000 * k for k in range(20)} <= through and len(through) < 400
+    assert not any(x["candidate"] and x["doc_id"] is not None for x in secret_scan.with_sieve(rows, ids.limit(0), "candidate").collect())
