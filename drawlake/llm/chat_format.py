@@ -1,8 +1,10 @@
 """Chat formatting into budgeted windows, in DataFrame functions only.
 
-Prefix sums of the turns' tokens over a conversation choose spans of whole turns. Every window holds the system turn, then
-at most a few turns of the span before it as history, then its own span. The loss mask covers the assistant turns of the own
-span only, so each target counts once however often it is repeated. One shuffle, on the conversation.
+Prefix sums of the turns' tokens choose spans of whole turns: a window takes the longest span whose sum, with the system turn
+and the history that goes before it, is within the budget. Every window holds the system turn, then at most a few turns before
+its span as history, then the span. The loss mask covers the assistant turns of the span only, so each target counts once
+however often it is repeated. One shuffle, on the conversation; spans are chosen within segments of STRETCH budgets, so no more
+than a segment's texts are ever held together, however long the conversation.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 BUDGET = 1024  # tokens of a window
 HISTORY = 256  # tokens of repeated history in it
-HISTORY_TURNS = 2
-CHARS_PER_TOKEN = 4
+HISTORY_TURNS = 2  # at most
+STRETCH = 16  # budgets of a segment; a window ends where a segment does
+CHARS_PER_TOKEN = 4  # where no column of token counts is given
 TURN_TOKENS = 4  # that the markers and the role take
 
 
@@ -36,83 +39,110 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("<|nl|>"), F.lit("\n")))
 
 
-def format_conversations(df: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS) -> DataFrame:
-    """Windows of conversations (conv_id, turn, role, text): conv_id, window int, formatted string, n_turns, n_repeated,
-    n_tokens (long), loss array<struct<start, length>> (code points of `formatted`, from 0), oversize boolean.
+def format_conversations(
+    df: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS, tokens: str | None = None, stretch: int = STRETCH
+) -> DataFrame:
+    """Windows of conversations (conv_id, turn, role, text): conv_id, window (int, number of its first own turn, from 0),
+    formatted string, n_turns, n_repeated, n_tokens (long), loss array<struct<start, length>> (code points of `formatted`,
+    from 0), oversize boolean.
+
+    tokens: a column with the tokens of each text, of an encoder, say; without it CHARS_PER_TOKEN characters count as one.
+    TURN_TOKENS more stand for the markers of a turn. Null or negative counts are 0.
 
     Turns run by turn, then role, then text; a repeated row is a turn of its own. Null role or text is empty, a null turn
     comes first, null conversations form one. A first turn of role `system` is the system turn. A window exceeds the
-    budget, and says so in `oversize`, only if one turn alone (or the system turn) does: turns are never cut. The first
+    budget, and says so in `oversize`, only if one turn alone (with the system turn) does: turns are never cut. The first
     n_repeated turns of a window are copies. An empty table gives no windows. Other columns of df are not read.
     """
-    rows = df.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    conv = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    whole = conv.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    count = F.ceil(F.length(escape(F.col("text"))) / F.lit(CHARS_PER_TOKEN)) if tokens is None else F.greatest(F.coalesce(F.col("n"), F.lit(0)), F.lit(0))
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
+    rows = df.select("conv_id", "turn", *said, *([] if tokens is None else [F.col(f"`{tokens}`").cast("long").alias("n")]))
+    conv = Window.partitionBy("conv_id").orderBy("turn", "role", "text", *([] if tokens is None else ["n"]))
     before = conv.rowsBetween(Window.unboundedPreceding, -1)
-    turns = rows.select(
-        "conv_id", "turn", "role", "text",
-        F.row_number().over(conv).alias("pos"),
-    ).select(
-        "conv_id", "turn", "role", "text", "pos",
+    whole = conv.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    turns = rows.select("*", F.row_number().over(conv).alias("pos")).select(
+        "conv_id", "turn", "role", "text", *([] if tokens is None else ["n"]), "pos",
         ((F.col("pos") == 1) & (F.col("role") == "system")).alias("is_system"),
         F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n")).alias("head"),
-        escape(F.col("text")).alias("body"),
-    ).withColumn("tokens", F.ceil(F.length("body") / F.lit(CHARS_PER_TOKEN)) + TURN_TOKENS)
+        escape(F.col("text")).alias("body"), (count + TURN_TOKENS).cast("long").alias("tokens"),
+    )
+    own_tokens = F.when(~F.col("is_system"), F.col("tokens"))
     counted = turns.select(
         "*",
-        F.coalesce(F.sum(F.when(~F.col("is_system"), F.col("tokens"))).over(before), F.lit(0)).alias("prefix"),
+        F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("prefix"),
         F.first(F.when(F.col("is_system"), F.col("tokens")).otherwise(F.lit(0))).over(whole).alias("system_tokens"),
-    )
-    # Spans start in every `half` tokens, so short turns of a span sum to less than two halves; a longer turn stands alone.
-    half = F.greatest(F.floor((F.lit(budget - history) - F.col("system_tokens")) / 2), F.lit(1))
-    placed = counted.select("*", F.floor(F.col("prefix") / half).alias("bucket"), ((F.col("tokens") > half) & ~F.col("is_system")).alias("alone"))
-    starts = (F.col("pos") > 1) & (
-        (F.col("bucket") != F.lag("bucket").over(conv)) | F.col("alone") | F.lag("alone").over(conv)
-    )
-    spans = placed.select("*", starts.alias("starts")).select("*", F.sum(F.col("starts").cast("int")).over(conv).cast("int").alias("window"))
-    span = Window.partitionBy("conv_id", "window").orderBy("pos")
-    rest = span.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    known = spans.select(
-        "*",
-        F.max("window").over(whole).alias("last_window"),
-        F.count(F.lit(1)).over(rest).alias("from_end"),
-        F.sum("tokens").over(rest).alias("tokens_to_end"),
-    )
-    own = F.array(F.struct(F.col("window").alias("window"), F.lit(2).alias("part")))
-    later = F.when(
-        ~F.col("is_system") & (F.col("window") < F.col("last_window")) & (F.col("from_end") <= history_turns) & (F.col("tokens_to_end") <= history),
-        F.array(F.struct((F.col("window") + 1).alias("window"), F.lit(1).alias("part"))),
-    )
-    always = F.when(
-        F.col("is_system") & (F.col("last_window") > 0),
-        F.transform(F.sequence(F.lit(1), F.greatest(F.col("last_window"), F.lit(1))), lambda w: F.struct(w.alias("window"), F.lit(0).alias("part"))),
-    )
-    nothing = F.filter(own, lambda x: F.lit(False))
-    dealt = known.select(
-        "conv_id", "pos", "role", "head", "body", "tokens", F.explode(F.concat(own, F.coalesce(later, nothing), F.coalesce(always, nothing))).alias("to")
-    ).select("conv_id", "pos", "role", "head", "body", "tokens", F.col("to.window").alias("window"), F.col("to.part").alias("part"))
-    page = Window.partitionBy("conv_id", "window").orderBy("part", "pos").rowsBetween(Window.unboundedPreceding, -1)
-    segment = F.concat("head", "body", F.lit(CLOSE + "\n"))
-    offsets = dealt.withColumn("segment", segment).withColumn("start", F.coalesce(F.sum(F.length("segment")).over(page), F.lit(0)).cast("long"))
-    is_target = (F.col("part") == 2) & (F.col("role") == "assistant")
-    masked = F.when(is_target, F.struct((F.col("start") + F.length("head")).cast("long").alias("start"), F.length("body").cast("long").alias("length")))
-    gathered = offsets.groupBy("conv_id", "window").agg(
-        F.array_sort(F.collect_list(F.struct("part", "pos", "segment"))).alias("segments"),
-        F.array_sort(F.collect_list(masked)).alias("loss"),
-        F.sum((F.col("part") < 2).cast("long")).alias("n_repeated"),
-        F.sum("tokens").alias("n_tokens"),
-    )
-    return gathered.select(
+        *[F.lag(own_tokens, k).over(conv).alias(f"back{k}") for k in range(1, history_turns + 1)],
+    ).withColumn("segment", F.floor(F.col("prefix") / F.lit(stretch * budget)).cast("long"))
+    # The history of a window that starts at a turn: as many turns before it as fit, none of them without the later ones.
+    room = F.least(F.lit(history), F.lit(budget) - F.col("system_tokens") - F.col("tokens"))
+    sums, fits, n_back, t_back = F.lit(0), F.lit(True), F.lit(0), F.lit(0).cast("long")
+    for k in range(1, history_turns + 1):
+        sums = sums + F.col(f"back{k}")
+        fits = fits & F.coalesce(sums <= room, F.lit(False))
+        n_back, t_back = F.when(fits, F.lit(k)).otherwise(n_back), F.when(fits, sums).otherwise(t_back)
+    known = counted.select(
+        "conv_id", "pos", "role", "head", "body", "tokens", "is_system", "segment", n_back.cast("int").alias("n_back"), t_back.alias("t_back"),
+        F.max("segment").over(whole).alias("last_segment"), *[F.lead("segment", k).over(conv).alias(f"ahead{k}") for k in range(1, history_turns + 1)],
+    )
+    # A turn goes to its own segment; the last ones also to the next as history, the system turn to all that follow.
+    nearby = F.array_distinct(F.array_compact(F.array("segment", *[f"ahead{k}" for k in range(1, history_turns + 1)])))
+    to = F.when(F.col("is_system"), F.sequence(F.col("segment"), F.col("last_segment"))).otherwise(nearby)
+    fields = ["pos", "own", "is_system", "role", "head", "body", "tokens", "n_back", "t_back"]
+    dealt = known.select("*", F.explode(to).alias("at")).withColumn("own", F.col("at") == F.col("segment"))
+    held = dealt.groupBy("conv_id", "at").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all"))
+    parts = held.select(
+        "conv_id",
+        F.filter("all", lambda x: x["is_system"]).alias("system"),
+        F.filter("all", lambda x: x["own"] | ~x["is_system"]).alias("turns"),
+    ).select("*", F.size(F.filter("turns", lambda x: ~x["own"])).alias("ahead"), F.coalesce(F.try_element_at(F.col("system.tokens"), F.lit(1)), F.lit(0)).alias("system_tokens"))
+
+    def step(acc: Column, i: Column) -> Column:
+        turn = F.element_at("turns", i)
+        new = (i == F.col("ahead") + 1) | (acc["used"] + turn["tokens"] > budget)
+        base = F.when(turn["is_system"], F.lit(0)).otherwise(F.col("system_tokens") + turn["t_back"])
+        return F.struct(
+            F.when(new, base + turn["tokens"]).otherwise(acc["used"] + turn["tokens"]).cast("long").alias("used"),
+            F.when(new, F.concat(acc["starts"], F.array(i))).otherwise(acc["starts"]).alias("starts"),
+        )
+
+    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("starts"))
+    numbers = F.sequence(F.col("ahead") + 1, F.size("turns"))
+    # A turn of several segments' length leaves segments without a turn of their own.
+    spans = parts.where(F.size("turns") > F.col("ahead")).select("*", F.aggregate(numbers, zero, step)["starts"].alias("starts"))
+
+    def window(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.try_element_at("starts", k + 2), F.size("turns") + 1)
+        first = F.element_at("turns", start)
+        repeated = F.concat(
+            F.when(first["is_system"], F.filter("system", lambda x: F.lit(False))).otherwise(F.col("system")),
+            F.slice("turns", start - first["n_back"], first["n_back"]),
+        )
+        return F.struct((first["pos"] - 1).cast("int").alias("window"), repeated.alias("repeated"), F.slice("turns", start, end - start).alias("span"))
+
+    windows = spans.select("conv_id", F.explode(F.transform("starts", window)).alias("w")).select("conv_id", "w.*")
+    size = lambda x: F.length(x["head"]) + F.length(x["body"]) + F.lit(len(CLOSE) + 1)
+
+    def mask(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["head"])
+        one = F.array(F.struct(start.cast("long").alias("start"), F.length(x["body"]).cast("long").alias("length")))
+        return F.struct((acc["at"] + size(x)).cast("long").alias("at"), F.when(x["role"] == "assistant", F.concat(acc["loss"], one)).otherwise(acc["loss"]).alias("loss"))
+
+    repeated_chars = F.aggregate(F.transform("repeated", size), F.lit(0).cast("long"), lambda a, n: a + n)
+    nothing = F.array().cast("array<struct<start:bigint,length:bigint>>")
+    total = F.aggregate(F.concat(F.col("repeated.tokens"), F.col("span.tokens")), F.lit(0).cast("long"), lambda a, n: a + n)
+    return windows.select(
         "conv_id", "window",
-        F.array_join(F.col("segments.segment"), "").alias("formatted"),
-        F.size("segments").cast("long").alias("n_turns"), "n_repeated", "n_tokens", "loss",
-        (F.col("n_tokens") > budget).alias("oversize"),
+        F.array_join(F.transform(F.concat("repeated", "span"), lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE + "\n"))), "").alias("formatted"),
+        (F.size("repeated") + F.size("span")).cast("long").alias("n_turns"), F.size("repeated").cast("long").alias("n_repeated"), total.alias("n_tokens"),
+        F.aggregate("span", F.struct(repeated_chars.alias("at"), nothing.alias("loss")), mask)["loss"].alias("loss"),
+        (total > budget).alias("oversize"),
     )
 
 
 def read_back(windows: DataFrame) -> DataFrame:
     """The turns that windows hold, parsed from their text: conv_id, window, turns array<struct<role, text>> without the
-    repeated ones, loss array<string> (the unescaped text under each span of the mask)."""
+    repeated ones, loss array<string> (the unescaped text under each span of the mask). Texts and roles come back as they
+    were, control strings included, null ones as empty; no windows give no rows."""
     parts = F.slice(F.split("formatted", F.lit(r"<\|im_start\|>"), -1), F.col("n_repeated").cast("int") + 2, F.col("n_turns").cast("int") + 1)
     tail = len(CLOSE) + 1
 
@@ -126,7 +156,8 @@ def read_back(windows: DataFrame) -> DataFrame:
 
 
 def digests(windows: DataFrame) -> DataFrame:
-    """Per conversation, read back from its windows: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """Per conversation, read back from its windows: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. A null
+    conv_id is a conversation; no windows give no rows."""
     back = read_back(windows).select(
         "conv_id", "window", F.size("turns").alias("n"),
         F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"),
@@ -155,10 +186,11 @@ def with_control_conversation(df: DataFrame) -> DataFrame:
     return df.select("conv_id", "turn", "role", "text").unionByName(extra)
 
 
-def sql(budget: int = BUDGET, history: int = HISTORY, history_turns: int = HISTORY_TURNS) -> str:
-    """The digests over `conversations` and conversation -1 in DuckDB's SQL. Only formatted_chars needs the windows."""
+def sql(budget: int = BUDGET, history: int = HISTORY) -> str:
+    """The digests over `conversations` and conversation -1 in DuckDB's SQL, for two turns of history. Only formatted_chars
+    needs the windows."""
     return rf"""
-with said as (
+with recursive said as (
   select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
   union all values (-1, 0, 'user', '{CONTROL_TURN}'), (-1, 1, 'assistant', '{CONTROL_TURN}')),
 turns as (
@@ -167,30 +199,27 @@ turns as (
     length('{OPEN}') + 1 + length(replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), chr(10), '<|nl|>')) head
   from said),
 sized as (
-  select *, pos = 1 and role = 'system' is_system, cast(ceil(body / {CHARS_PER_TOKEN}.0) as bigint) + {TURN_TOKENS} tokens from turns),
+  select *, pos = 1 and role = 'system' is_system, cast(ceil(body / {CHARS_PER_TOKEN}.0) as bigint) + {TURN_TOKENS} tokens, head + body + {len(CLOSE) + 1} chars
+  from turns),
 counted as (
-  select *,
-    coalesce(sum(case when not is_system then tokens end) over (partition by conv_id order by pos rows between unbounded preceding and 1 preceding), 0) prefix,
-    max(case when is_system then tokens else 0 end) over (partition by conv_id) system_tokens
-  from sized),
-placed as (
-  select *, floor(prefix / greatest(floor(({budget - history} - system_tokens) / 2.0), 1)) bucket,
-    tokens > greatest(floor(({budget - history} - system_tokens) / 2.0), 1) and not is_system alone
-  from counted),
-started as (
-  select *, case when pos > 1 and (alone or lag(alone) over w or bucket <> lag(bucket) over w) then 1 else 0 end starts
-  from placed window w as (partition by conv_id order by pos)),
-spans as (select *, sum(starts) over (partition by conv_id order by pos) win from started),
+  select *, sum(tokens) over w - tokens prefix, max(case when is_system then tokens else 0 end) over (partition by conv_id) system_tokens,
+    max(case when is_system then chars else 0 end) over (partition by conv_id) system_chars,
+    lag(case when not is_system then tokens end, 1) over w b1, lag(case when not is_system then tokens end, 2) over w b2,
+    lag(chars, 1) over w c1, lag(chars, 2) over w c2
+  from sized window w as (partition by conv_id order by pos)),
 known as (
-  select *, max(win) over (partition by conv_id) last_win,
-    count(*) over (partition by conv_id, win order by pos desc) from_end,
-    sum(tokens) over (partition by conv_id, win order by pos desc) to_end
-  from spans),
-chars as (
-  select conv_id, sum((head + body + {len(CLOSE) + 1}) * (1
-    + case when not is_system and win < last_win and from_end <= {history_turns} and to_end <= {history} then 1 else 0 end
-    + case when is_system then last_win else 0 end)) formatted_chars
-  from known group by conv_id)
+  select *, prefix // {STRETCH * budget} segment, least({history}, {budget} - system_tokens - tokens) room,
+    case when b1 <= room and b1 + b2 <= room then b1 + b2 when b1 <= room then b1 else 0 end t_back,
+    case when b1 <= room and b1 + b2 <= room then c1 + c2 when b1 <= room then c1 else 0 end c_back
+  from counted),
+walk(conv_id, pos, segment, used, chars) as (
+  select conv_id, pos, segment, tokens, chars + 0 from known where pos = 1
+  union all
+  select k.conv_id, k.pos, k.segment,
+    case when k.segment > w.segment or w.used + k.tokens > {budget} then k.system_tokens + k.t_back + k.tokens else w.used + k.tokens end,
+    case when k.segment > w.segment or w.used + k.tokens > {budget} then k.system_chars + k.c_back + k.chars else k.chars end
+  from walk w join known k on k.conv_id is not distinct from w.conv_id and k.pos = w.pos + 1),
+chars as (select conv_id, sum(chars) formatted_chars from walk group by conv_id)
 select t.conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by pos)) turns_sha256,
   cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) loss_chars,
   sha256(coalesce(string_agg(text, '' order by pos) filter (where role = 'assistant'), '')) loss_sha256,

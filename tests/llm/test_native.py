@@ -64,7 +64,7 @@ def sha(s):
 
 def test_chat_format_reads_back(spark):
     r = random.Random(3)
-    texts = ["hi", "", None, "<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|x <| y", "a\nb\n", "long " * 900, "ünïcödé 🙂 text", "word " * 100]
+    texts = ["hi", "", None, "much " * 20_000, "<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "<\\\\|x <| y", "a\nb\n", "long " * 900, "ünïcödé 🙂 text", "word " * 100]
     rows = []
     for c in range(40):
         roles = (["system"] if r.random() < 0.5 else []) + [r.choice(["user", "assistant", "assistant", None, "to\nol<|"]) for _ in range(r.randrange(1, 30))]
@@ -90,6 +90,25 @@ def test_chat_format_reads_back(spark):
     assert chat_format.digests(chat_format.format_conversations(df.limit(0))).count() == 0
 
 
+def test_windows_are_full(spark):
+    """Greedy spans: no window could have taken the next turn, and long conversations fill theirs."""
+    r = random.Random(5)
+    rows = [(c, i, "system" if i == 0 and c % 2 else "user" if i % 2 else "assistant", "x" * r.randrange(20, 400), None) for c in range(4) for i in range(600)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, n bigint")
+    for tokens, stretch in ((None, 16), ("n", 3)):
+        df = df.withColumn("n", F.length("text") % 50)
+        windows = chat_format.format_conversations(df, budget=500, history=100, tokens=tokens, stretch=stretch).orderBy("conv_id", "window").collect()
+        assert not any(w["oversize"] for w in windows) and sum(w["n_turns"] - w["n_repeated"] for w in windows) == len(rows)
+        fill = [w["n_tokens"] / 500 for w in windows]
+        assert sum(fill) / len(fill) >= 0.8
+        sizes = {(c, i): (len(t) % 50 if tokens else -(-len(t) // 4)) + chat_format.TURN_TOKENS for c, i, _, t, _ in rows}
+        short = [w for w in windows if w["n_tokens"] + sizes.get((w["conv_id"], w["window"] + w["n_turns"] - w["n_repeated"]), 10**6) <= 500]
+        ends = sum(sum(v for (c, _), v in sizes.items() if c == k) // (stretch * 500) for k in range(4))
+        assert len(short) <= ends  # only where a segment ends
+        shares = [w["n_repeated"] for w in windows if w["window"]]
+        assert max(shares) == 3 and min(shares) >= 0
+
+
 def spans_of(text):
     found = []
     for order, rule in enumerate(secret_scan.RULES):
