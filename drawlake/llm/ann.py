@@ -5,7 +5,8 @@ and the codebooks of the residuals are fitted on a bounded sample; every vector
 quantiser, a coarse centroid and a second one for its residual, so their number grows with the root of the entries though
 the sample is bounded. A query probes the lists whose centroids are nearest; a list holds ids and codes only, and in each a
 table of distances between the query's residual and the codebooks' entries ranks the codes (asymmetric distances). The best
-codes of all probed lists together, `rerank` of them, are fetched and ranked by exact distance in double precision.
+codes of all probed lists together, `rerank` of them, are fetched and ranked by exact distance in double precision. The nearest
+few lists are ranked first: the distance of their `rerank`-th best code bounds what the other lists need to report.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ LIST_BLOCK = 1 << 16  # codes of a list that one unit of work ranks
 RERANK = 48  # codes of a query that are reranked exactly
 TARGET = 0.96  # recall of the coarse probes on held-out vectors of the sample
 TUNING = 256  # of them
+FIRST = 8  # lists of a query that are ranked first
 HELD = 1 << 20  # ranked codes that a task holds before it keeps the best of each query
 
 
@@ -211,24 +213,21 @@ def _search_length(rows: DataFrame, is_query, k: int, d: int, sample: int, targe
     long_lists = {c: -(-m // block) for c, m in listed.groupBy("list").count().where(F.col("count") > block).collect()}
     split = spark.sparkContext.broadcast(long_lists)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probe(batches: Iterator[pa.RecordBatch], from_: int, to: int | None) -> Iterator[pa.RecordBatch]:
         index, parts = shared.value, split.value
         for whole in batches:
             for a in range(0, whole.num_rows, 64):
                 batch = whole.slice(a, 64)
-                lists = index.probed(_singles(batch.column(1), d))
+                lists = index.probed(_singles(batch.column(1), d))[:, from_:to]
                 units = [(i, c, p) for i, own in enumerate(lists.tolist()) for c in own for p in range(parts.get(c, 1))]
-                row, which, part = (pa.array(x, t) for x, t in zip(zip(*units, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True))
-                yield pa.RecordBatch.from_arrays([which, part, batch.column(0).take(row), batch.column(1).take(row)], names=["list", "part", "entry", "embedding"])
+                if units:
+                    row, which, part = (pa.array(x, t) for x, t in zip(zip(*units, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True))
+                    yield pa.RecordBatch.from_arrays([which, part, *[batch.column(i).take(row) for i in range(3)]], names=["list", "part", "entry", "embedding", "bound"])
 
     split_by = F.create_map(*[x for c, m in long_lists.items() for x in (F.lit(c), F.lit(m))]) if long_lists else None
     part_of = F.lit(0) if split_by is None else F.pmod(F.xxhash64("entry"), F.coalesce(F.try_element_at(split_by, F.col("list")), F.lit(1))).cast("int")
-    candidates = listed.select("list", part_of.alias("part"), F.lit(0).alias("kind"), "entry", "code", F.lit(None).cast(vector_type).alias("embedding"))
+    candidates = listed.select("list", part_of.alias("part"), F.lit(0).alias("kind"), "entry", "code", F.lit(None).cast(vector_type).alias("embedding"), F.lit(None).cast("float").alias("bound"))
     wanted = entries.join(owners.select(F.col("owner").alias("entry")).distinct(), "entry", "left_semi").select("entry", "embedding")
-    probed = wanted.mapInArrow(tidy(probe), f"list int, part int, entry long, embedding {vector_type}").select(
-        "list", "part", F.lit(1).alias("kind"), "entry", F.lit(None).cast("binary").alias("code"), "embedding"
-    )
-    work = candidates.unionByName(probed).repartition("list", "part").sortWithinPartitions("list", "part", "kind", "entry")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -254,8 +253,9 @@ def _search_length(rows: DataFrame, is_query, k: int, d: int, sample: int, targe
                     codes = np.frombuffer(b"".join(all_.column("code").to_pylist()), np.uint8).reshape(all_.num_rows, -1)
                     ids = all_.column("entry").to_numpy()
                 row, near, score = rank_codes(index, unit[0], _singles(part.column(5), d), codes, rerank)
-                out.append((part.column(3).to_numpy()[row], ids[near], score))
-                size += len(row)
+                told = score <= part.column(6).to_numpy()[row]
+                out.append((part.column(3).to_numpy()[row[told]], ids[near[told]], score[told]))
+                size += int(told.sum())
                 if size > HELD:
                     out = [best_of(*map(np.concatenate, zip(*out, strict=True)), rerank)]
                     if (size := len(out[0][0])) > HELD // 2:  # so many queries that keeping their best frees little
@@ -264,8 +264,22 @@ def _search_length(rows: DataFrame, is_query, k: int, d: int, sample: int, targe
         if size:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in best_of(*map(np.concatenate, zip(*out, strict=True)), rerank)], names=["owner", "entry", "score"])
 
-    near = work.mapInArrow(tidy(rank), "owner long, entry long, score float")
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("owner").orderBy("score", "entry"))).where(F.col("r") <= rerank).select("owner", "entry")
+    def ranked(asked: DataFrame, from_: int, to: int | None) -> DataFrame:
+        """owner, entry, score of the best codes in some of the lists of each query (entry, embedding, bound)."""
+        probes = asked.mapInArrow(tidy(lambda batches: probe(batches, from_, to)), f"list int, part int, entry long, embedding {vector_type}, bound float")
+        asks = probes.select("list", "part", F.lit(1).alias("kind"), "entry", F.lit(None).cast("binary").alias("code"), "embedding", "bound")
+        work = candidates.unionByName(asks).repartition("list", "part").sortWithinPartitions("list", "part", "kind", "entry")
+        near = work.mapInArrow(tidy(rank), "owner long, entry long, score float")
+        return near.withColumn("r", F.row_number().over(Window.partitionBy("owner").orderBy("score", "entry"))).where(F.col("r") <= rerank)
+
+    none = F.lit(float("inf")).cast("float")
+    best = cut(ranked(wanted.withColumn("bound", none), 0, FIRST))
+    if index.probes > FIRST:
+        bounds = best.where(F.col("r") == rerank).select(F.col("owner").alias("entry"), F.col("score").alias("bound"))
+        others = wanted.join(bounds, "entry", "left").withColumn("bound", F.coalesce("bound", none))
+        both = best.unionByName(ranked(others, FIRST, None)).withColumn("r", F.row_number().over(Window.partitionBy("owner").orderBy("score", "entry")))
+        best = both.where(F.col("r") <= rerank)
+    best = best.select("owner", "entry")
     itself = owners.select("owner", F.col("owner").alias("entry"))  # the queries' own copies are candidates of each other
     pairs = best.union(itself).distinct()
     fetched = pairs.join(entries.select("entry", "ids", F.col("embedding").alias("theirs")), "entry").join(wanted.select(F.col("entry").alias("owner"), F.col("embedding").alias("own")), "owner")
