@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlake.functions import text as X
-from drawlake.functions.geometry import iou
 from drawlake.operators.rules import RuleSet, applied
-from drawlake.operators.spatial import in_any_zone
+from drawlake.operators.spatial import in_any_zone, suppressed
 from drawlake.sources.scratch import cut
 
 SEAM_IOU = 0.25
@@ -44,14 +43,10 @@ def flagged(observations: DataFrame, contexts: DataFrame, ruleset: RuleSet) -> D
 
 
 def drop_seam_copies(df: DataFrame, norm: Column, threshold: float = SEAM_IOU) -> DataFrame:
-    """Greedy: by confidence (missing as 0), then ord, a reading stays unless it overlaps one of equal text that stays. Equal
-    texts of a page are few, so the fold runs over small arrays and stays in the JVM."""
-    names = df.columns
-    order = [(-F.coalesce(F.col("confidence"), F.lit(0.0))).alias("o1"), F.col("ord").alias("o2")]
-    groups = df.groupBy("page", norm.alias("norm_text")).agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*names).alias("row")))).alias("rows"))
-    step = lambda kept, e: F.when(F.exists(kept, lambda k: iou(k["row"]["bbox"], e["row"]["bbox"]) > threshold), kept).otherwise(F.concat(kept, F.array(e)))
-    folded = F.when(F.size("rows") == 1, F.col("rows")).otherwise(F.aggregate("rows", F.filter("rows", lambda e: F.lit(False)), step))
-    return groups.select(F.explode(folded).alias("e")).select("e.row.*")
+    """Greedy: by confidence (missing as 0), then ord, a reading stays unless it overlaps one of equal text that stays. Only
+    keys and boxes are joined, on the grid and the text, so a text that fills a page costs its overlaps."""
+    boxes = df.select("page", "ord", norm.alias("norm_text"), F.coalesce(F.col("confidence"), F.lit(0.0)).alias("score"), "bbox")
+    return df.join(suppressed(boxes, threshold, on=("norm_text",)), ["page", "ord"], "left_anti").select(*df.columns)
 
 
 def verdict_maps(verdicts: DataFrame) -> DataFrame:
@@ -116,19 +111,20 @@ def answer_maps(answers: DataFrame) -> DataFrame:
 
 
 def unclassified(unclaimed: DataFrame) -> DataFrame:
-    """Unclaimed readings that look like tags of equipment, one per text whatever its case."""
+    """Unclaimed readings that look like tags of equipment, one per text whatever its case; no. is their place on the page,
+    by kind, then text."""
     t = X.squeeze(F.col("text"))
     rows = unclaimed.withColumn("text", t).where(
         ~F.coalesce(F.col("kind"), F.lit("")).isin(NOT_EQUIPMENT) & X.has_tag_shape(F.col("text")) & ~F.rlike(F.replace(F.col("text"), F.lit(" ")), F.lit(r"^\d+$"))
     )
     first = F.struct((-F.coalesce(F.col("confidence"), F.lit(0.0))).alias("o1"), "ord", "text", "kind", "symbol", "attached_to", "bbox")
-    return rows.groupBy("page", F.upper("text").alias("u")).agg(F.min(first).alias("f")).select("page", "f.text", "f.kind", "f.symbol", "f.attached_to", "f.bbox")
+    one = rows.groupBy("page", F.upper("text").alias("u")).agg(F.min(first).alias("f")).select("page", "f.text", "f.kind", "f.symbol", "f.attached_to", "f.bbox", "u")
+    place = F.row_number().over(Window.partitionBy("page").orderBy(F.coalesce("kind", F.lit("")), "text", "u")) - 1
+    return one.withColumn("no", place.cast("int")).drop("u")
 
 
 def unclaimed_sample(unclaimed: DataFrame, most: int = 150) -> DataFrame:
     """Per page up to `most` unclaimed readings, one per text and kind, in input order: what a rule assistant is shown."""
-    from pyspark.sql import Window
-
     key = [F.col("page"), F.upper(F.trim(F.coalesce(F.col("text"), F.lit("")))), F.col("kind")]
     one = unclaimed.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("ord"))).where("n = 1")
     return one.withColumn("n", F.row_number().over(Window.partitionBy("page").orderBy("ord"))).where(F.col("n") <= most).drop("n")

@@ -35,11 +35,12 @@ def owns(a: Column, b: Column, cell: int = CELL) -> Column:
     return (F.col("cx") == F.floor(F.greatest(a["x0"], b["x0"]) / cell)) & (F.col("cy") == F.floor(F.greatest(a["y0"], b["y0"]) / cell))
 
 
-def overlapping(left: DataFrame, right: DataFrame, condition: Column, how: str = "inner", cell: int = CELL) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, condition: Column, how: str = "inner", cell: int = CELL, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of left (page, bbox, ...) and right (page, other, ...) boxes of a page that meet a condition which implies that
-    the boxes touch. how: inner, left_semi or left_anti; the last two give rows of left once each, by its columns l_id."""
+    the boxes touch. how: inner, left_semi or left_anti; the last two give rows of left once each, by page and ord. on: more
+    columns of both sides that must be equal."""
     a, b = on_grid(left, "bbox", cell), on_grid(right, "other", cell)
-    pairs = a.join(b, ["page", "cx", "cy"]).where(owns(F.col("bbox"), F.col("other"), cell) & condition)
+    pairs = a.join(b, ["page", "cx", "cy", *on]).where(owns(F.col("bbox"), F.col("other"), cell) & condition)
     if how == "inner":
         return pairs.drop("cx", "cy")
     hits = pairs.select("page", "ord").distinct()
@@ -62,15 +63,18 @@ def unread(regions: DataFrame, observations: DataFrame) -> DataFrame:
 
 
 def coverage(regions: DataFrame, observations: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Per page: detector_regions, observations, matched, coverage, observations_without_detection."""
+    """Per page: detector_regions, observations, matched, coverage, observations_without_detection. One join gives both
+    directions."""
     count = lambda df, name: df.groupBy("page").agg(F.count(F.lit(1)).alias(name))
-    out = count(regions, "detector_regions").join(count(observations, "observations"), "page", "full")
-    out = out.join(count(with_match(regions, observations, threshold), "matched"), "page", "left")
-    out = out.join(count(without_match(observations, regions, threshold), "observations_without_detection"), "page", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    found = observations.select("page", F.col("ord").alias("o_ord"), F.col("bbox").alias("other"))
+    pairs = overlapping(regions.select("page", F.col("ord").alias("r_ord"), "bbox"), found, iou(F.col("bbox"), F.col("other")) > threshold)
+    met = pairs.groupBy("page").agg(F.count_distinct("r_ord").alias("matched"), F.count_distinct("o_ord").alias("detected"))
+    out = count(regions, "detector_regions").join(count(observations, "observations"), "page", "full").join(met, "page", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     return out.select(
-        "page", zero("detector_regions"), zero("observations"), zero("matched"), F.try_divide(zero("matched"), F.col("detector_regions")).alias("coverage"), zero("observations_without_detection")
-    )
+        "page", *[zero(c).alias(c) for c in ("detector_regions", "observations", "matched")], F.try_divide(zero("matched"), F.col("detector_regions")).alias("coverage"),
+        (zero("observations") - zero("detected")).alias("observations_without_detection"),
+    )
 
 
 def best_overlap(regions: DataFrame, observations: DataFrame, threshold: float = 0.25) -> DataFrame:
@@ -81,18 +85,19 @@ def best_overlap(regions: DataFrame, observations: DataFrame, threshold: float =
     return pairs.groupBy("page", "ord").agg(F.max(F.struct("iou", (-F.col("obs_ord")).alias("neg"))).alias("m")).select("page", "ord", (-F.col("m.neg")).alias("obs_ord"), "m.iou")
 
 
-def suppress_overlaps(regions: DataFrame, threshold: float = 0.4) -> DataFrame:
-    """Greedy suppression: by score, then ord, a region stays if it overlaps none that stays by more than a threshold of IoU.
+def suppressed(boxes: DataFrame, threshold: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """page, ord of the boxes (page, ord, score, bbox) that greedy suppression drops: by score, then ord, a box stays if it
+    overlaps none that stays by more than a threshold of IoU. on: columns in which two boxes must agree to compete.
 
-    A dropped region drops no other, so no plain anti-join will do. Only regions that overlap another above the threshold
-    need the fold; it streams over those pairs, page by page, in order.
+    A dropped box drops no other, so no plain anti-join will do. Only boxes that overlap another above the threshold need
+    the fold; it streams over those pairs, page by page, in order.
     """
-    b = regions.select("page", F.col("ord").alias("b_ord"), F.col("score").alias("b_score"), F.col("bbox").alias("other"))
+    b = boxes.select("page", *on, F.col("ord").alias("b_ord"), F.col("score").alias("b_score"), F.col("bbox").alias("other"))
     first = (F.col("b_score") > F.col("score")) | ((F.col("b_score") == F.col("score")) & (F.col("b_ord") < F.col("ord")))
-    edges = overlapping(regions.select("page", "ord", "score", "bbox"), b, first & (iou(F.col("bbox"), F.col("other")) > threshold)).select("page", "ord", "score", "b_ord", "b_score")
+    edges = overlapping(boxes.select("page", *on, "ord", "score", "bbox"), b, first & (iou(F.col("bbox"), F.col("other")) > threshold), on=on).select("page", "ord", "score", "b_ord", "b_score")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Dropped regions: in order, those with an edge to one that stays. What comes before a region is decided already."""
+        """Dropped boxes: in order, those with an edge to one that stays. What comes before a box is decided already."""
         page, dropped = None, set()
         for batch in batches:
             out = []
@@ -105,8 +110,34 @@ def suppress_overlaps(regions: DataFrame, threshold: float = 0.4) -> DataFrame:
             yield _rows(out, batch.schema.field(0).type, ["page", "ord"])
 
     in_order = edges.repartition("page").sortWithinPartitions("page", F.desc("score"), "ord").select("page", "ord", "b_ord")
-    gone = in_order.mapInArrow(fold, f"page {regions.schema['page'].dataType.simpleString()}, ord bigint")
-    return regions.join(gone, ["page", "ord"], "left_anti")
+    return in_order.mapInArrow(fold, f"page {boxes.schema['page'].dataType.simpleString()}, ord bigint")
+
+
+def suppress_overlaps(regions: DataFrame, threshold: float = 0.4) -> DataFrame:
+    """regions without those that greedy suppression drops."""
+    return regions.join(suppressed(regions, threshold), ["page", "ord"], "left_anti")
+
+
+def greedy_pairs(options: DataFrame, group: list[str], a: str, b: str, *better: Column) -> DataFrame:
+    """group, a, b: one-to-one pairs out of options (group, a, b, ...): in order of a, each takes the first b that is not yet
+    taken, in the order `better`, then b. A unit of work is a group, streamed in order; only the b taken in it are held."""
+    in_order = options.repartition(*group).sortWithinPartitions(*group, a, *better, b).select(F.to_json(F.struct(*group)).alias("g"), *group, a, b)
+    schema = in_order.drop("g").schema
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, last = None, set(), None
+        for batch in batches:
+            keep = []
+            for i, (g, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(len(group) + 1).to_pylist(), batch.column(len(group) + 2).to_pylist(), strict=True)):
+                if g != now:
+                    now, used, last = g, set(), None
+                if x != last and y not in used:
+                    used.add(y)
+                    last = x
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64())).drop_columns(["g"])
+
+    return in_order.mapInArrow(fold, schema)
 
 
 def greedy_match(first: DataFrame, second: DataFrame, threshold: float = 0.20) -> DataFrame:

@@ -18,25 +18,13 @@ def same_shape(a: Column, b: Column) -> Column:
     return (a["n_rows"] == b["n_rows"]) & (a["n_cols"] == b["n_cols"])
 
 
-def _cell(options: Column) -> Column:
-    """struct<text, disputed, unanimous, readings> of one cell: the first option that two readers share, else the first reader's."""
-    norms = F.transform(options, lambda o: squeeze(F.coalesce(o, F.lit(""))))
-    shared = F.filter(F.arrays_zip(options.alias("o"), norms.alias("n")), lambda z: F.size(F.filter(norms, lambda m: m == z["n"])) >= 2)
-    won = F.size(shared) > 0
-    return F.struct(
-        F.when(won, F.get(shared, F.lit(0))["o"]).otherwise(F.get(options, F.lit(0))).alias("text"),
-        (~won & (F.size(options) > 1)).alias("disputed"),
-        (won & (F.size(F.array_distinct(norms)) == 1)).alias("unanimous"),
-        options.alias("readings"),
-    )
-
-
 def vote(reads: DataFrame, order: str = "reader_no") -> DataFrame:
     """One row per (page, table_index): rows after the vote, disputed cells, readers that voted, cell_agreement, shape_mismatch.
 
     reads: page, table_index, reader, `order`, rows, n_rows, n_cols, header_rows, title, kind. Readers whose shape differs
-    from the first do not vote. If the first of three is the odd one out, the agreeing two lead. A table has as many reads as
-    readers, so its group is small.
+    from the first do not vote. If the first of three is the odd one out, the agreeing two lead. A cell takes the first
+    reading that two readers share, else the first reader's. Voters' tables are taken apart into cells; one shuffle on the
+    table serves the vote and putting them together again.
     """
     fields = F.struct(order, "reader", "rows", "n_rows", "n_cols", "header_rows", "title", "kind")
     grouped = reads.groupBy("page", "table_index").agg(F.array_sort(F.collect_list(fields)).alias("reads"))
@@ -45,22 +33,26 @@ def vote(reads: DataFrame, order: str = "reader_no") -> DataFrame:
     led = grouped.withColumn("rotated", rotate).withColumn("reads", F.when(F.col("rotated"), F.concat(F.slice("reads", 2, 2), F.slice("reads", 1, 1))).otherwise(F.col("reads"))).withColumn("base", at(0))
     rest = F.slice("reads", 2, F.greatest(F.size("reads") - 1, F.lit(1)))
     led = led.withColumn("peers", F.filter(rest, lambda r: same_shape(r, F.col("base")))).withColumn("odd", F.filter(rest, lambda r: ~same_shape(r, F.col("base"))))
-    cells = F.transform(
-        F.col("base")["rows"],
-        lambda row, r: F.transform(row, lambda c, k: _cell(F.concat(F.array(c), F.transform("peers", lambda p: F.get(F.get(p["rows"], r), k))))),
-    )
-    voted = led.withColumn("cells", cells)
-    flat = F.flatten("cells")
-    listed = F.flatten(
-        F.transform("cells", lambda row, r: F.filter(F.transform(row, lambda c, k: F.struct(r.alias("row"), k.alias("col"), c["readings"].alias("readings"), c["disputed"].alias("d"))), lambda z: z["d"]))
-    )
+    table = ["page", "table_index"]
+    about = led.select(*table, "base.title", "base.kind", "base.header_rows", F.concat(F.array("base.reader"), F.col("peers.reader")).alias("readers"), F.col("odd.reader").alias("shape_mismatch"), "rotated")
+    voters = led.select(*table, F.posexplode(F.concat(F.array("base.rows"), F.col("peers.rows"))).alias("voter", "rows"))
+    cells = voters.select(*table, "voter", F.posexplode("rows").alias("row", "r")).select(*table, "voter", "row", F.posexplode("r").alias("col", "cell"))
+    cells = cells.withColumn("norm", squeeze(F.coalesce("cell", F.lit(""))))
+    options = cells.groupBy(*table, "row", "col", "norm").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("voter", "cell")).alias("first"), F.collect_list(F.struct("voter", "cell")).alias("said"))
+    won = options.groupBy(*table, "row", "col").agg(
+        F.min(F.struct((F.col("n") < 2).alias("alone"), F.col("first.voter").alias("voter"), F.col("first.cell").alias("cell"))).alias("w"),
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.array_sort(F.flatten(F.collect_list("said")))["cell"].alias("readings"),
+    )
+    place = F.struct("row", "col", F.col("w.cell").alias("text"), "readings", (F.col("w.alone") & (F.col("n") > 1)).alias("disputed"), ((F.col("kinds") == 1) & (F.col("n") > 1)).alias("unanimous"))
+    whole = won.groupBy(*table).agg(F.array_sort(F.collect_list(place)).alias("cells"), F.max("col").alias("last"))
+    width = F.col("last") + 1
+    rows = F.transform(F.sequence(F.lit(0), F.floor((F.size("cells") - 1) / width).cast("int")), lambda i: F.slice("cells", i * width + 1, width)["text"])
+    voted = about.join(whole, table, "left")
+    none = F.array().cast("array<array<string>>")
     return voted.select(
-        "page", "table_index", "base.title", "base.kind", "base.header_rows",
-        F.transform("cells", lambda row: F.transform(row, lambda c: c["text"])).alias("rows"),
-        F.transform(listed, lambda z: z.dropFields("d")).alias("disputed"),
-        F.concat(F.array("base.reader"), F.col("peers.reader")).alias("readers"),
-        F.try_divide(F.size(F.filter(flat, lambda c: c["unanimous"])), F.size(flat)).alias("cell_agreement"),
-        F.col("odd.reader").alias("shape_mismatch"), "rotated",
+        *table, "title", "kind", "header_rows", F.when(F.size("cells") > 0, rows).otherwise(none).alias("rows"),
+        F.coalesce(F.transform(F.filter("cells", lambda c: c["disputed"]), lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), c["readings"].alias("readings"))), F.array()).alias("disputed"),
+        "readers", F.try_divide(F.size(F.filter("cells", lambda c: c["unanimous"])), F.size("cells")).alias("cell_agreement"), "shape_mismatch", "rotated",
     )
 
 
@@ -95,6 +87,7 @@ def csv_text(rows: Column) -> Column:
 
 
 def kind_note(kind: Column) -> Column:
+    # Fixed value: the words of the published table files.
     return F.when(kind == "data", F.lit("")).otherwise(F.concat(F.lit(" *("), F.replace(kind, F.lit("_"), F.lit(" ")), F.lit(" — drawing administration)*")))
 
 

@@ -10,7 +10,7 @@ from drawlake.functions import text as X
 from drawlake.functions import values as V
 from drawlake.operators import benchmarks, resolve, review, scoring, spatial, stats, tables, verify
 from drawlake.plans.proxies import contexts, frame, observations, rules, table_reads
-from drawlake.plans.queries import CONNECTOR, INSIDE, IOU, KEY, NORM, QUEUE, UNIQUE, _decided, emitted_sql, flat, query, resolved
+from drawlake.plans.queries import CONNECTOR, INSIDE, IOU, KEY, NORM, QUEUE, UNIQUE, _decided, _reviewed, emitted_sql, flat, query, resolved
 from drawlake.sources import readers, writers
 
 
@@ -103,18 +103,10 @@ def scan_method(spark, sf_dir):
     return readers.page_method(images.withColumn("page_area", F.lit(2000.0)))
 
 
-@query("obs zones", "+ t as (select page, ord, case when pk % 3 = 0 then 'revision_table' else 'data' end kind, x0, y0, x1, y1 from obs where pk % 11 = 0) "
+@query("obs zones", "+ t as (select page, ord, case when pk % 3 = 0 then 'revision_table' else 'data' end kind, x0, y0, x1, y1 from obs) "
        f"select o.page, o.ord, case when o.kind = 'data' and exists (select 1 from zones z where z.page = o.page and z.kind = 'legend' and {INSIDE}) then 'title_block' else o.kind end as kind from t o")
 def admin_tables(spark, sf_dir):
     """Tables that lie in a zone of drawing administration."""
-    t = frame(spark, sf_dir, "obs").where("pk % 11 = 0").select("page", "ord", F.when(F.col("pk") % 3 == 0, "revision_table").otherwise("data").alias("kind"), "bbox")
-    return tables.relabel_admin(t, contexts(spark, sf_dir), ["legend"]).select("page", "ord", "kind")
-
-
-@query("obs zones", "+ t as (select page, ord, case when pk % 3 = 0 then 'revision_table' else 'data' end kind, x0, y0, x1, y1 from obs) "
-       f"select o.page, o.ord, case when o.kind = 'data' and exists (select 1 from zones z where z.page = o.page and z.kind = 'legend' and {INSIDE}) then 'title_block' else o.kind end as kind from t o")
-def admin_tables_whole(spark, sf_dir):
-    """admin_tables over every reading."""
     t = frame(spark, sf_dir, "obs").select("page", "ord", F.when(F.col("pk") % 3 == 0, "revision_table").otherwise("data").alias("kind"), "bbox")
     return tables.relabel_admin(t, contexts(spark, sf_dir), ["legend"]).select("page", "ord", "kind")
 
@@ -200,23 +192,11 @@ def flag_letters(spark, sf_dir):
     return named.select("page", F.regexp_replace("value", "^K", "").alias("value"), F.col("value").alias("renamed"))
 
 
-@query("obs", """+ i as (select page, ord, text, case pk % 5 when 0 then 'solo' when 1 then 'contested' when 2 then 'unread' when 3 then 'suppressed' else 'not_in_key' end kind, symbol category from obs where pk % 10 = 0 or pk % 10 = 1),
-p as (select *, case kind when 'contested' then 0 when 'solo' then 1 when 'suppressed' then 2 when 'unread' then 3 else 4 end priority from i)
-select page, ord, priority, coalesce(lag(ord) over w, ord) previous, coalesce(lead(ord) over w, ord) following from p window w as (partition by page order by priority, category, text, ord)""")
-def review_order(spark, sf_dir):
-    """The order of a queue, and each item's neighbours in it."""
-    kinds = F.array(*[F.lit(k) for k in ("solo", "contested", "unread", "suppressed", "not_in_key")])
-    items = frame(spark, sf_dir, "obs").where("pk % 10 in (0, 1)").select("page", F.col("ord").alias("id"), F.col("text").alias("value"), F.element_at(kinds, (F.col("pk") % 5 + 1).cast("int")).alias("kind"), F.col("symbol").alias("category"))
-    place = F.array_position(F.array(*map(F.lit, review.PRIORITY)), F.col("kind")).cast("int") - 1
-    near = review.neighbours(items.withColumn("priority", place))
-    return near.select("page", F.col("id").alias("ord"), "priority", F.col("previous_id").alias("previous"), F.col("next_id").alias("following"))
-
-
 @query("obs", """+ i as (select page, ord, text, case pk % 5 when 0 then 'solo' when 1 then 'contested' when 2 then 'unread' when 3 then 'suppressed' else 'not_in_key' end kind, symbol category from obs),
 p as (select *, case kind when 'contested' then 0 when 'solo' then 1 when 'suppressed' then 2 when 'unread' then 3 else 4 end priority from i)
 select page, ord, priority, coalesce(lag(ord) over w, ord) previous, coalesce(lead(ord) over w, ord) following from p window w as (partition by page order by priority, coalesce(category, ''), text, ord)""")
-def review_order_whole(spark, sf_dir):
-    """review_order over every reading, so that all five kinds are ordered."""
+def review_order(spark, sf_dir):
+    """The order of a queue, and each item's neighbours in it."""
     kinds = F.array(*[F.lit(k) for k in ("solo", "contested", "unread", "suppressed", "not_in_key")])
     items = frame(spark, sf_dir, "obs").select("page", F.col("ord").alias("id"), F.col("text").alias("value"), F.element_at(kinds, (F.col("pk") % 5 + 1).cast("int")).alias("kind"), F.col("symbol").alias("category"))
     place = F.array_position(F.array(*map(F.lit, review.PRIORITY)), F.col("kind")).cast("int") - 1
@@ -277,8 +257,8 @@ select k.page, string_agg(k.value, '|' order by k.value) filter (where k.categor
   (select count(*) from items i where i.page = k.page and not (i.category is not null and substr(i.id, 1, 1) in ('0', '1', '2'))) as open from kept_ k group by k.page""")
 def review_export(spark, sf_dir):
     """Reviewed answers of each page, those of one category written out, and how many items are still open."""
-    r = resolved(spark, sf_dir, keep=True)
-    out = review.export(r.answers, _decided(spark, sf_dir, r))
+    r, o = _reviewed(spark, sf_dir)
+    out = review.export(r.answers, _decided(spark, sf_dir, r, o))
     return out.select("page", F.array_join(F.try_element_at("answers", F.lit("filters")), "|").alias("filters"), F.size("answers").cast("long").alias("categories"), "open")
 
 

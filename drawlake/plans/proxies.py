@@ -106,7 +106,8 @@ def sql(name: str, dialect: str = "duckdb") -> str:
 def with_relations(names: str, query: str) -> str:
     """DuckDB SQL: the named relations as CTEs, then the query, which may start with CTEs of its own (`with` left out)."""
     ctes = ",\n".join(f"{n} as materialized ({sql(n)})" for n in names.split())
-    return f"with recursive {ctes}{',' if query.lstrip().startswith('+') else ''}\n{query.lstrip().lstrip('+')}"
+    recursive = " recursive" if re.search(r"\bfold\b", query) else ""
+    return f"with{recursive} {ctes}{',' if query.lstrip().startswith('+') else ''}\n{query.lstrip().lstrip('+')}"
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

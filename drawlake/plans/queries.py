@@ -234,7 +234,7 @@ def region_sizes(spark, sf_dir):
 
 
 def _compared(spark, sf_dir):
-    first, second = observations(spark, sf_dir).where("twin = 0"), frame(spark, sf_dir, "second")
+    first, second = cut(observations(spark, sf_dir).where("twin = 0")), cut(frame(spark, sf_dir, "second"))  # read twice
     names = ["page", "ord", "text", "kind", "symbol", "attached_to", "bbox", "confidence", "tile_id"]
     a = first.select(*names, F.lit("first").alias("model"))
     b = second.select(*names, F.lit("second").alias("model"))
@@ -409,8 +409,13 @@ def extra_values(spark, sf_dir):
 # Review ---------------------------------------------------------------------------------------------------------------------
 
 
-def _queue(spark, sf_dir, r: Resolved):
-    o = observations(spark, sf_dir)
+def _reviewed(spark, sf_dir) -> tuple[Resolved, DataFrame]:
+    """What the rules make of the readings, and the readings, which every branch of the queue reads once more."""
+    o = cut(observations(spark, sf_dir))
+    return resolve(o, contexts(spark, sf_dir), rules(), keep=True), o
+
+
+def _queue(spark, sf_dir, r: Resolved, o: DataFrame):
     null = F.lit(None).cast("string")
     # Some readings carry a ruling, as a merged reading of two would.
     source = F.when(F.col("pk") % 6 == 0, "adjudicated").otherwise("agreed")
@@ -445,7 +450,7 @@ decided as materialized (select *, strpos('0123456789abcdef', substr(id, 1, 1))
 
 @query("obs zones answer_key regions", QUEUE + " select page, id, kind, category, value, priority, zone, tile_id, rule, claim_a, seen_by, det_score, expected_n from items")
 def review_queue(spark, sf_dir):
-    return _queue(spark, sf_dir, resolved(spark, sf_dir, keep=True)).select("page", "id", "kind", "category", "value", "priority", "zone", "tile_id", "rule", "claim_a", "seen_by", "det_score", "expected_n")
+    return _queue(spark, sf_dir, *_reviewed(spark, sf_dir)).select("page", "id", "kind", "category", "value", "priority", "zone", "tile_id", "rule", "claim_a", "seen_by", "det_score", "expected_n")
 
 
 @query("obs", f"""select page, ord, substr(sha1(case when {KEY.format('text')} <> '' and pk % 4 <> 0 then concat(cast(page as varchar), '|', kind, '|', symbol, '|', {KEY.format('text')})
@@ -470,15 +475,15 @@ def _decisions(items):
     )
 
 
-def _decided(spark, sf_dir, r: Resolved):
-    items = cut(_queue(spark, sf_dir, r).drop("decision"))
+def _decided(spark, sf_dir, r: Resolved, o: DataFrame):
+    items = cut(_queue(spark, sf_dir, r, o).drop("decision"))
     return items.join(review.latest(_decisions(items)), ["page", "id"], "left")
 
 
 @query("obs zones answer_key regions", QUEUE + """, n as (select i.page, i.kind, case when i.category is not null and substr(i.id, 1, 1) in ('0', '1', '2') then 1 else 0 end d from items i)
 select page, kind, count(*) total, cast(sum(d) as bigint) decided, cast(count(*) - sum(d) as bigint) as open from n group by grouping sets ((page, kind), (page))""")
 def review_summary(spark, sf_dir):
-    return review.summary(_decided(spark, sf_dir, resolved(spark, sf_dir, keep=True)))
+    return review.summary(_decided(spark, sf_dir, *_reviewed(spark, sf_dir)))
 
 
 @query("obs zones answer_key regions", QUEUE + """, fix as (select page, category, value, h from decided d where h > 0 and exists (select 1 from answers a where a.page = d.page and a.category = d.category)
@@ -486,8 +491,8 @@ def review_summary(spark, sf_dir):
 select distinct coalesce(a.page, f.page) page, coalesce(a.category, f.category) category, case when f.h = 2 then concat('C', f.value) else a.value end as value
 from answers a full join fix f on f.page = a.page and f.category = a.category and f.value = a.value where coalesce(f.h, 0) <> 1""")
 def apply_decisions(spark, sf_dir):
-    r = resolved(spark, sf_dir, keep=True)
-    return review.decided_answers(r.answers, _decided(spark, sf_dir, r))
+    r, o = _reviewed(spark, sf_dir)
+    return review.decided_answers(r.answers, _decided(spark, sf_dir, r, o))
 
 
 # Verify ---------------------------------------------------------------------------------------------------------------------
@@ -514,9 +519,9 @@ def verify_todo(spark, sf_dir):
 
 
 @query("obs", rf"""+ hits as (select *, {KEY.format('text')} tag from obs where regexp_matches(text, '^PCV\s*[0-9]') and kind = 'instrument_bubble'),
-asked as (select * from hits qualify row_number() over (partition by page, tag order by conf_pct desc, ord) = 1),
-known as (select page, tag, ord // 6 % 3 = 0 yes from asked where ord // 6 % 3 < 2 and ord // 6 % 5 <> 0)
-select h.page, h.ord, coalesce(k.yes, regexp_matches(attached_to, 'u-?bend|loop') and not regexp_matches(attached_to, '(left|right) of the u-?bend')) passes from hits h left join known k on k.page = h.page and k.tag = h.tag""")
+led as (select *, first_value(ord) over (partition by page, tag order by conf_pct desc, ord) // 6 lead from hits)
+select page, ord, case when lead % 3 < 2 and lead % 5 <> 0 then lead % 3 = 0
+  else regexp_matches(attached_to, 'u-?bend|loop') and not regexp_matches(attached_to, '(left|right) of the u-?bend') end passes from led""")
 def visual_verdict_fallback(spark, sf_dir):
     from drawlake.operators.resolve import verdict_maps
     from drawlake.operators.rules import all_match, matches

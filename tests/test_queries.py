@@ -25,8 +25,8 @@ def test_whole_queries_read_every_reading(spark, sf):
     from drawlake.plans.proxies import frame
 
     n = frame(spark, sf, "obs").count()
-    assert QUERIES["admin_tables_whole"](spark, sf).count() == n
-    order = QUERIES["review_order_whole"](spark, sf)
+    assert QUERIES["admin_tables"](spark, sf).count() == n
+    order = QUERIES["review_order"](spark, sf)
     assert order.count() == n and {r["priority"] for r in order.select("priority").distinct().collect()} == {0, 1, 2, 3, 4}
 
 
