@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drawlake.functions import text as X
 from drawlake.operators.rules import RuleSet, applied
-from drawlake.operators.spatial import in_any_zone, suppressed
+from drawlake.operators.spatial import CELL, in_any_zone
 from drawlake.sources.scratch import cut
 
 SEAM_IOU = 0.25
@@ -43,10 +45,50 @@ def flagged(observations: DataFrame, contexts: DataFrame, ruleset: RuleSet) -> D
 
 
 def drop_seam_copies(df: DataFrame, norm: Column, threshold: float = SEAM_IOU) -> DataFrame:
-    """Greedy: by confidence (missing as 0), then ord, a reading stays unless it overlaps one of equal text that stays. Only
-    keys and boxes are joined, on the grid and the text, so a text that fills a page costs its overlaps."""
-    boxes = df.select("page", "ord", norm.alias("norm_text"), F.coalesce(F.col("confidence"), F.lit(0.0)).alias("score"), "bbox")
-    return df.join(suppressed(boxes, threshold, on=("norm_text",)), ["page", "ord"], "left_anti").select(*df.columns)
+    """Greedy: by confidence (missing as 0), then ord, a reading stays unless it overlaps one of equal text that stays.
+
+    One shuffle on the page and the text; rows stream through in order, and of a text that fills a page only the boxes that
+    stay are held, by the cells that they touch.
+    """
+    keyed = df.withColumns({"norm_text_": norm, "score_": F.coalesce(F.col("confidence"), F.lit(0.0))})
+    in_order = keyed.repartition("page", "norm_text_").sortWithinPartitions("page", "norm_text_", F.desc("score_"), "ord")
+    new = F.struct("page", "norm_text_")
+    at = df.columns.index("bbox")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = batch.column(len(df_columns)).to_pylist()
+            box = batch.column(at)
+            x0, y0, x1, y1 = (box.field(i).to_pylist() for i in range(4))
+            stays = []
+            for i, g in enumerate(groups):
+                g = (g["page"], g["norm_text_"])
+                if g != last:
+                    last, held = g, {}
+                one = (x0[i], y0[i], x1[i], y1[i])
+                if None in one:  # a reading without a box overlaps nothing
+                    stays.append(True)
+                    continue
+                cells = [(cx, cy) for cx in range(one[0] // CELL, one[2] // CELL + 1) for cy in range(one[1] // CELL, one[3] // CELL + 1)]
+                alone = not any(box_iou(other, one) > threshold for c in cells for other in held.get(c, ()))
+                if alone:
+                    for c in cells:
+                        held.setdefault(c, []).append(one)
+                stays.append(alone)
+            yield batch.filter(pa.array(stays)).drop_columns(["group_"])
+
+    df_columns = df.columns
+    return in_order.select(*df_columns, new.alias("group_")).mapInArrow(fold, df.schema)
+
+
+def box_iou(a: tuple, b: tuple) -> float:
+    """The overlap of two boxes over their union, as functions.geometry.iou has it for columns."""
+    both = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
+    return both / union if both and union else 0.0
 
 
 def verdict_maps(verdicts: DataFrame) -> DataFrame:

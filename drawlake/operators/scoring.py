@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drawlake.functions.text import key as norm
@@ -61,7 +61,14 @@ def health(page_totals: DataFrame, coverage: DataFrame) -> DataFrame:
     return page_totals.join(coverage, "page", "left")
 
 
-def recall_text(x: Column) -> Column:
+def report_text(categories: DataFrame, page_totals: DataFrame, coverage: DataFrame) -> DataFrame:
+    """page, report: recall and coverage, a line per category of the key, and how many values the key doesn't know."""
     from drawlake.functions.values import percent
 
-    return percent(x)
+    n = lambda c: F.size(c).cast("string")
+    line = F.concat(F.col("category"), F.lit(": "), n("found"), F.lit("/"), n("expected"), F.when(F.size("missed") > 0, F.concat(F.lit(", missed "), F.array_join("missed", " | "))).otherwise(F.lit("")))
+    noise = F.sum(F.when(~F.col("in_key"), F.size("got")).otherwise(F.size("extra")))
+    lines = categories.groupBy("page").agg(F.array_sort(F.collect_list(F.when(F.col("in_key"), F.struct("category", line.alias("line"))))).alias("l"), noise.cast("string").alias("noise"))
+    joined = page_totals.join(lines, "page").join(coverage, "page", "left")
+    head = F.concat(F.lit("recall "), percent(F.col("recall")), F.lit(", coverage "), percent(F.col("coverage")))
+    return joined.select("page", F.concat_ws("\n", head, F.array_join(F.col("l.line"), "\n"), F.concat(F.lit("not in the key: "), F.col("noise"))).alias("report"))

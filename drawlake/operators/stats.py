@@ -70,9 +70,26 @@ def usage_totals(calls: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def newest_calls(calls: DataFrame, most: int = 40) -> DataFrame:
-    """A report of the last calls, newest first."""
-    return calls.orderBy(F.desc("at"), "layer", "tile").limit(most)
+def newest_calls(calls: DataFrame, most: int = 40, ties: tuple[str, ...] = ("layer", "tile")) -> DataFrame:
+    """A report of the last calls, newest first; of equal times by the columns `ties`, descending."""
+    return calls.orderBy(F.desc("at"), *map(F.desc, ties)).limit(most)
+
+
+def progress(calls: DataFrame, tie: str = "event_id") -> DataFrame:
+    """calls with what had been done up to each of them, by layer: done, failed, tokens, spent (priced calls)."""
+    w = Window.partitionBy("layer").orderBy("at", tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = lambda c: F.sum(c).over(w)
+    error = (F.coalesce(F.col("status") == "error", F.lit(False))).cast("long")
+    return calls.withColumns({
+        "done": total(F.lit(1).cast("long")), "failed": total(error), "tokens": total(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))), "spent": total(F.coalesce("cost", F.lit(0.0))),
+    })
+
+
+def figures(totals: DataFrame, coverage: DataFrame, audit: DataFrame, agreement: DataFrame) -> DataFrame:
+    """A page's figures in one row, as a viewer's tiles show them: recall, key_precision, coverage, resolved, unclaimed,
+    agreement_rate. A page is there if one of the four knows it."""
+    out = audit.select("page", "resolved", "unclaimed").join(coverage.select("page", "coverage"), "page", "full")
+    return out.join(totals.select("page", "recall", "key_precision"), "page", "full").join(agreement.select("page", "agreement_rate"), "page", "full")
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
@@ -82,8 +99,8 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 
 def recall_history(runs: DataFrame) -> DataFrame:
-    """runs with previous (the last recall that was known before) and delta."""
-    w = Window.partitionBy("page").orderBy("run_at").rowsBetween(Window.unboundedPreceding, -1)
+    """runs with previous (the last recall that was known before) and delta; runs of one time in the order of run_no, if there."""
+    w = Window.partitionBy("page").orderBy("run_at", *[c for c in ("run_no",) if c in runs.columns]).rowsBetween(Window.unboundedPreceding, -1)
     return runs.withColumn("previous", F.last("recall", ignorenulls=True).over(w)).withColumn("delta", F.col("recall") - F.col("previous"))
 
 

@@ -79,3 +79,13 @@ def with_letters(answers: DataFrame, jobs: DataFrame, flags: DataFrame) -> DataF
 def best_of(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row per key in an order."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def checked(asked: DataFrame, cache: DataFrame | None, ask, path: str) -> DataFrame:
+    """Verdicts on all that is asked: those of the cache, and of the rest what `ask` (a function of the candidates that lack
+    one: page, category, tag_key, answer, question_hash) answers, which is appended to the cache at `path`."""
+    left = asked if cache is None else todo(asked, cache)
+    answered = ask(left).select("page", "category", "tag_key", "answer", "question_hash")
+    answered.write.mode("append").parquet(path)
+    spark = asked.sparkSession
+    return spark.read.schema(answered.schema).parquet(path)

@@ -216,12 +216,6 @@ def error_classes(spark, sf_dir):
     return calls.select("event_id", X.is_rate_limit(F.replace("error", F.lit("3"), F.lit("429"))).alias("limited"), X.is_one_letter(F.col("layer")).alias("one_letter"))
 
 
-@query("obs", "select page, count(*) readings, count(distinct tile_id) tiles, min(tile_id) first_tile from obs where tile_id in ('t10', 't11', 't15') group by page")
-def chosen_tiles(spark, sf_dir):
-    only = frame(spark, sf_dir, "obs").where(F.col("tile_id").isin("t10", "t11", "t15"))
-    return only.groupBy("page").agg(F.count(F.lit(1)).alias("readings"), F.count_distinct("tile_id").alias("tiles"), F.min("tile_id").alias("first_tile"))
-
-
 @query("regions", f"""select a.page, count(*) pairs, cast(sum(case when {IOU.format(a='a', b='b')} > 0.4 then 1 else 0 end) as bigint) heavy from regions a join regions b on a.page = b.page and a.ord < b.ord
 and least(a.x1, b.x1) > greatest(a.x0, b.x0) and least(a.y1, b.y1) > greatest(a.y0, b.y0) group by a.page""")
 def overlapping_pairs(spark, sf_dir):
@@ -270,4 +264,7 @@ def run_order(spark, sf_dir):
 
 @query("obs", "select page, ord from obs where conf_pct >= 90 and kind <> 'valve'")
 def confident_readings(spark, sf_dir):
-    return observations(spark, sf_dir).where((F.col("confidence") >= rules().min_confidence) & (F.col("confidence") >= 0.9) & ~F.col("kind").isin("valve")).select("page", "ord")
+    """What a rule with a floor of its own takes."""
+    from drawlake.operators.rules import matches
+
+    return observations(spark, sf_dir).where(matches({"category": "sure", "min_conf": 0.9, "unless": {"kind": "^valve$"}})).select("page", "ord")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawlake.functions import geometry as G
@@ -121,7 +120,7 @@ def text_forms(spark, sf_dir):
 
 @query("obs", "select page, ord from obs where conf_pct >= 35")
 def confidence_floor(spark, sf_dir):
-    return frame(spark, sf_dir, "obs").where(F.coalesce(F.col("confidence"), F.lit(1.0)) >= 0.35).select("page", "ord")
+    return flagged(observations(spark, sf_dir), contexts(spark, sf_dir), rules()).where("not low").select("page", "ord")
 
 
 @query("obs zones", f"select page, ord from obs o where conf_pct >= 35 and not {IN_PROSE}")
@@ -581,24 +580,17 @@ def usage_totals(spark, sf_dir):
 
 @query("calls", "select event_id, layer from calls order by \"at\" desc, event_id desc limit 40")
 def newest_calls(spark, sf_dir):
-    return frame(spark, sf_dir, "calls").orderBy(F.desc("at"), F.desc("event_id")).limit(40).select("event_id", "layer")
+    return stats.newest_calls(frame(spark, sf_dir, "calls"), ties=("event_id",)).select("event_id", "layer")
 
 
 @query("calls models", f"{PRICED} {LAYERS}")
 def stream_layer_stats(spark, sf_dir):
     """The calls as a stream of files, rolled up by a streaming query that runs until it has read all of them."""
+    from drawlake.plans.layers import _stream_calls, _written
     from drawlake.streaming.calls import running_layer_stats
 
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet" if not f"{sf_dir}".startswith("/") else f"{sf_dir}/event[s].parquet")
-    text = frame_text("calls")
-    calls = spark.sql(text, events=stream)
-    running = running_layer_stats(stats.priced(calls, frame(spark, sf_dir, "models")))
-    name = f"layer_stats_{abs(hash(sf_dir)) % 10**9}_{len(spark.catalog.listTables())}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    writer = running.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/stream-{name}")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).withColumn("cost", F.round("cost", 6))
+    running = running_layer_stats(stats.priced(_stream_calls(spark, sf_dir), frame(spark, sf_dir, "models")))
+    return _written(spark, running, "complete").withColumn("cost", F.round("cost", 6))
 
 
 def frame_text(name: str) -> str:
@@ -609,10 +601,7 @@ def frame_text(name: str) -> str:
 
 @query("runs", "select page, run_no, last_value(recall ignore nulls) over w previous, recall - last_value(recall ignore nulls) over w delta from runs window w as (partition by page order by run_at, run_no rows between unbounded preceding and 1 preceding)")
 def run_history_delta(spark, sf_dir):
-    runs = frame(spark, sf_dir, "runs")
-    w = Window.partitionBy("page").orderBy("run_at", "run_no").rowsBetween(Window.unboundedPreceding, -1)
-    previous = F.last("recall", ignorenulls=True).over(w)
-    return runs.withColumn("previous", previous).select("page", "run_no", "previous", (F.col("recall") - F.col("previous")).alias("delta"))
+    return stats.recall_history(frame(spark, sf_dir, "runs")).select("page", "run_no", "previous", "delta")
 
 
 @query("runs", "select page, run_no, recall from runs qualify row_number() over (partition by page order by run_at desc, run_no desc) = 1")
@@ -665,4 +654,4 @@ def rule_preview_recall(spark, sf_dir):
     return assistant.preview(observations(spark, sf_dir), contexts(spark, sf_dir), rules(), "modify", 3, NARROW, key).keyed
 
 
-from drawlake.plans import details  # noqa: E402, F401  (registers its queries here)
+from drawlake.plans import details, layers  # noqa: E402, F401  (register their queries here)

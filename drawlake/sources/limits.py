@@ -36,8 +36,10 @@ class Pace:
         self.__init__(state["seconds"])
 
 
-def paced(read: Reader, seconds: float) -> Reader:
-    pace = Pace(seconds)
+def paced(read: Reader, seconds: float, workers: int = 1) -> Reader:
+    """At least `seconds` between two calls over all workers: each of at most `workers` tasks (observe's bound) keeps to its
+    share of the rate, since no lock reaches over machines."""
+    pace = Pace(seconds * workers)
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         pace.wait()

@@ -15,6 +15,7 @@ from drawlake import schemas
 from drawlake.functions import text as X
 from drawlake.functions.geometry import from_tile, reader_scale
 from drawlake.operators.rules import RuleSet
+from drawlake.sources.scratch import cut
 
 # Extensions by what reads them, and shares of the page that tell a scan.
 PDF, IMAGES = [".pdf"], [".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp"]
@@ -89,11 +90,11 @@ def cached_observations(spark: SparkSession, path: str) -> DataFrame:
     """Observations out of JSON caches: each file a bare list, or an object of observations and meta. A cache with failed tiles
     counts as none."""
     box = "struct<x0:int,y0:int,x1:int,y1:int>"
-    raw = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_name").alias("file"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
     one = "struct<text:string,kind:string,symbol:string,attached_to:string,line_color:string,bbox:array<int>,confidence:double,tile_id:string,model:string,sub_tile:int>"
     bare = F.ltrim("value").startswith("[")
     rows = raw.select(
-        F.regexp_extract("file", r"page(\d+)", 1).cast("int").alias("page"),
+        F.regexp_extract("file", r"page=?(\d+)[^/]*(?:/[^/]*)?$", 1).cast("int").alias("page"),
         F.when(bare, F.from_json("value", f"array<{one}>")).otherwise(F.from_json("value", f"struct<observations:array<{one}>>")["observations"]).alias("o"),
         F.when(~bare, F.get_json_object("value", "$.meta.tiles_failed").cast("int")).alias("failed"),
     ).where(F.coalesce("failed", F.lit(0)) == 0)
@@ -148,8 +149,9 @@ Reader = Callable[[pd.DataFrame], pd.DataFrame]
 
 @dataclass(frozen=True)
 class ReaderSpec:
-    """A pluggable reader: read turns a batch of tiles (page, tile_id, box and what it needs) into readings whose boxes are in
-    the reader's units; thousandths tells that those run from 0 to 1000. available: None, or why it can't run now."""
+    """A pluggable reader: read turns one tile (a frame of one row: page, tile_id, box and what it needs) into a frame of
+    readings or regions whose boxes are in the reader's units, with input_tokens and output_tokens if it knows them;
+    thousandths tells that the units run from 0 to 1000. available: None, or why it can't run now."""
 
     name: str
     read: Reader
@@ -157,30 +159,99 @@ class ReaderSpec:
     available: str | None = None
 
 
-def observe(tiles: DataFrame, reader: ReaderSpec) -> DataFrame:
-    """Readings of tiles on their pages, in parallel over partitions; a batch that fails gives an error row instead."""
-    if reader.available:
-        raise RuntimeError(f"{reader.name} is blocked: {reader.available}")
-    names = ["page", "tile_id", "text", "kind", "symbol", "attached_to", "line_color", "x0", "y0", "x1", "y1", "confidence", "error"]
-    schema = "page int, tile_id string, text string, kind string, symbol string, attached_to string, line_color string, x0 double, y0 double, x1 double, y1 double, confidence double, error string"
-    read, who = reader.read, reader.name
+class CutOff(Exception):
+    """A reader's answer was cut off: the tile is to be read again in quarters. input_tokens and output_tokens were spent."""
+
+    def __init__(self, input_tokens: int = 0, output_tokens: int = 0):
+        super().__init__("the answer was cut off")
+        self.input_tokens, self.output_tokens = input_tokens, output_tokens
+
 
-    def shaped(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.reindex(columns=names).astype(object)
-        return df.where(df.notna(), None)
+_PLACE = "page int, tile_id string, sub_tile int, tx0 int, ty0 int, tx1 int, ty1 int"
+_USAGE = "input_tokens bigint, output_tokens bigint, error string, cut_off boolean"
+_READING = "text string, kind string, symbol string, attached_to string, line_color string, x0 double, y0 double, x1 double, y1 double, confidence double"
+_REGION = "x0 double, y0 double, x1 double, y1 double, score double, poly array<struct<x:int,y:int>>, text string, text_score double"
+
+
+def _tile_by_tile(tiles: DataFrame, read: Reader, columns: str, workers: int | None) -> DataFrame:
+    """What a reader says of each tile, and what it cost. A tile that fails gives one row with its error and the tokens that
+    the error carries; a tile where nothing is seen gives one row of nulls. workers bounds the tiles read at a time."""
+    schema = ", ".join([_PLACE, columns, _USAGE])
+    names = [c.strip().split(" ")[0] for c in schema.replace("struct<x:int,y:int>", "struct").split(",")]
+    place = names[:7]
+    box = F.col("box")
+    flat = tiles.withColumn("sub_tile", F.col("sub_tile") if "sub_tile" in tiles.columns else F.lit(None).cast("int"))
+    flat = flat.select("*", *[box[c].cast("int").alias(f"t{c}") for c in ("x0", "y0", "x1", "y1")])
+    flat = flat.repartition(workers) if workers else flat
+
+    def of(tile: pd.DataFrame) -> list[dict]:
+        try:
+            rows = read(tile).to_dict("records") or [{}]
+            for r in rows[1:]:  # the tokens are the call's, stated once
+                r |= {c: 0 for c in ("input_tokens", "output_tokens") if c in r}
+            return [r | {"cut_off": False} for r in rows]
+        except Exception as e:  # a tile's failure is a row, so that the others go on
+            spent = {c: int(getattr(e, c, 0)) for c in ("input_tokens", "output_tokens")}
+            return [{"error": f"{type(e).__name__}: {e}"[:200], "cut_off": isinstance(e, CutOff), **spent}]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                yield shaped(read(batch))
-            except Exception as e:  # a reader's failure is a row, so that the other tiles go on
-                yield shaped(pd.DataFrame({"page": batch["page"], "tile_id": batch["tile_id"], "error": f"{type(e).__name__}: {e}"[:200]}))
-
-    found = tiles.mapInPandas(run, schema).join(tiles.select("page", "tile_id", F.col("box").alias("tile")), ["page", "tile_id"])
-    sx = reader_scale(F.lit(reader.thousandths), F.col("tile.x1") - F.col("tile.x0"))
-    sy = reader_scale(F.lit(reader.thousandths), F.col("tile.y1") - F.col("tile.y0"))
-    box = F.struct("x0", "y0", "x1", "y1")
-    return found.select("page", "tile_id", "text", "kind", "symbol", "attached_to", "line_color", from_tile(box, F.col("tile"), sx, sy).alias("bbox"), "confidence", F.lit(who).alias("model"), X.clipped(F.col("error"), 200).alias("error"))
+            where = batch[place].to_dict("records")
+            rows = [r | at for i, at in enumerate(where) for r in of(batch.iloc[[i]])]
+            out = pd.DataFrame(rows, columns=names).astype(object)
+            yield out.where(out.notna(), None)
+
+    return flat.mapInPandas(run, schema)
+
+
+def _on_page(found: DataFrame, thousandths: bool) -> DataFrame:
+    """found with its boxes as bbox on the page, and its tile as box."""
+    tile = F.struct(*[F.col(f"t{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    sx = reader_scale(F.lit(thousandths), F.col("tx1") - F.col("tx0"))
+    sy = reader_scale(F.lit(thousandths), F.col("ty1") - F.col("ty0"))
+    b = F.when(F.col("x0").isNotNull(), from_tile(F.struct("x0", "y0", "x1", "y1"), tile, sx, sy))
+    return found.withColumns({"bbox": b, "box": tile, "error": X.clipped(F.col("error"), 200)}).drop("x0", "y0", "x1", "y1", "tx0", "ty0", "tx1", "ty1")
+
+
+def observe(tiles: DataFrame, reader: ReaderSpec, workers: int | None = None) -> DataFrame:
+    """Readings of tiles (page, tile_id, box, what the reader needs) on their pages: tile by tile, in parallel over partitions.
+
+    A tile that fails is one row with its error; one that holds nothing, a row without text. input_tokens and output_tokens
+    are a call's, on its first row. cut_off marks tiles to be read again in quarters.
+    """
+    if reader.available:
+        raise RuntimeError(f"{reader.name} is blocked: {reader.available}")
+    return _on_page(_tile_by_tile(tiles, reader.read, _READING, workers), reader.thousandths).withColumn("model", F.lit(reader.name))
+
+
+def detect(tiles: DataFrame, detector: ReaderSpec, workers: int | None = None) -> DataFrame:
+    """Regions of tiles, or of whole pages given as one tile each: score, poly and what the detector read, on their pages."""
+    if detector.available:
+        raise RuntimeError(f"{detector.name} is blocked: {detector.available}")
+    found = _tile_by_tile(tiles, detector.read, _REGION, workers)
+    moved = F.transform("poly", lambda q: F.struct((q["x"] + F.col("tx0")).cast("int").alias("x"), (q["y"] + F.col("ty0")).cast("int").alias("y")))
+    return _on_page(found.withColumn("poly", moved), detector.thousandths)
+
+
+def observe_all(tiles: DataFrame, reader: ReaderSpec, least: int = 500, workers: int | None = None) -> DataFrame:
+    """observe(), where tiles whose answer was cut off are read again in quarters, and those in theirs, until they are narrower
+    than `least`; such a tile keeps its error. Each level's readings are materialised, so no tile is read twice."""
+    out, todo = None, tiles
+    while True:
+        found = cut(observe(todo, reader, workers))
+        again = F.col("cut_off") & (F.col("box.x1") - F.col("box.x0") >= least)
+        done = found.where(~again)
+        out = done if out is None else out.unionByName(done)
+        cut_off = found.where(again).select("page", "tile_id", "box")
+        if cut_off.isEmpty():
+            return out
+        out = out.unionByName(found.where(again).where("input_tokens + output_tokens > 0").withColumn("error", F.lit(None).cast("string")).withColumn("cut_off", F.lit(False)))  # what the cut-off call cost
+        todo = split_tiles(cut_off, least)
+
+
+def only_tiles(tiles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The tiles that are asked for (page, tile_id)."""
+    return tiles.join(wanted.select("page", "tile_id").distinct(), ["page", "tile_id"], "left_semi")
 
 
 def split_tiles(tiles: DataFrame, least: int = 500) -> DataFrame:

@@ -148,11 +148,12 @@ def test_boxes(spark):
 RULES = rules.RuleSet([{"category": "v", "when": {"text": r"^V\d"}, "emit": "text"}, {"category": "p", "when": {"kind": "valve"}, "emit": "capture", "pattern": r"(\d+)$"}])
 
 
-def test_rules_validate_and_change():
-    assert "does not exist" in rules.validate("modify", 9, {"when": {"text": "a"}}, RULES)
-    assert "invalid regex" in rules.validate("add", None, {"when": {"text": "("}}, RULES)
-    assert "no conditions" in rules.validate("add", None, {"when": {}}, RULES)
-    assert rules.validate("add", None, {"when": {"text": "a"}}, RULES) is None
+def test_rules_validate_and_change(spark):
+    assert "no rule 9" in rules.validate("modify", 9, {"when": {"text": "a"}}, RULES)
+    assert "when/text" in rules.validate("add", None, {"when": {"text": "("}}, RULES)
+    assert "pattern does" in rules.validate("add", None, {"when": {"text": "a"}, "pattern": r"(?P<n>V\d+)"}, RULES)  # Python's, not the JVM's
+    assert "without a condition" in rules.validate("add", None, {"when": {}}, RULES)
+    assert rules.validate("add", None, {"when": {"text": r"(?<n>V\d+)"}}, RULES) is None
     old = rules.RuleSet([{"category": "v", "when": {"text": "a"}, "emit": "text", "min_conf": 0.7, "verify": {"question": "?"}}])
     new = rules.from_proposal({"category": "v", "source": "legend", "reason": "wider", "when": [{"field": "text", "pattern": "b"}], "emit": "text"})
     changed = rules.with_proposal(old, "modify", 0, new)

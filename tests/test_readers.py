@@ -67,8 +67,20 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.json(str(tmp_path / "out/unclassified")).first()["text"] == "XY 7"
     t = cli.main(["score", *common, "--key", str(tmp_path / "key.json")], spark).first()
     assert (t["matched"], t["missed"], t["exact_matched"]) == (2, 1, 0)
+    other = cli.main(["score", *common, "--key", str(tmp_path / "key.json"), "--document-id", "1", "--quiet", "--models", "m"], spark).first()
+    assert other["matched"] == 2
+    second = [(1, 0, "V1", "valve", "bowtie", "", None, box, 0.8, "t00", "n", None), (1, 1, "V9", "valve", "bowtie", "", None, (90, 90, 99, 99), 0.8, "t00", "n", None)]
+    spark.createDataFrame(second, schemas.OBSERVATIONS).write.parquet(str(tmp_path / "second"))
+    both = cli.main(["resolve", *common, "--second", str(tmp_path / "second"), "--quiet", "--fresh", "--to", str(tmp_path / "out")], spark)
+    assert [(r["category"], r["value"]) for r in both.collect()] == [("pid", "P-1"), ("v", "V1"), ("v", "V9")]
     cli.main(["snapshot", *common, "--to", str(tmp_path / "s.html")], spark)
     assert '"V1"' in (tmp_path / "s.html").read_text()
     spark.createDataFrame([(1, None, "P-1", "m", 0.5, 1, 1, 0.1, 0.0, 1.0)], schemas.RUNS).withColumn("run_at", F.current_timestamp()).write.parquet(str(tmp_path / "runs"))
     assert cli.main(["report", "--runs", str(tmp_path / "runs")], spark).first()["recall"] == 0.5
     assert cli.main(["history", "--runs", str(tmp_path / "runs"), "--pages", "1"], spark).first()["delta"] is None
+    results = spark.createDataFrame([("c1", 1, 0.5, 1, 1, 1, 0.1, 1.0, 0)], "config string, page int, recall double, matched long, missed long, exact long, cost double, seconds double, tiles_failed long")
+    results.write.parquet(str(tmp_path / "results"))
+    (tmp_path / "configs.json").write_text(json.dumps({"configs": {"c1": "m", "c2": "n"}}))
+    left = cli.main(["bench", "--results", str(tmp_path / "results"), "--configs", str(tmp_path / "configs.json"), "--pages", "1", "2", "--quiet"], spark)
+    assert [(r["config"], r["page"]) for r in left.collect()] == [("c1", 2), ("c2", 1), ("c2", 2)]
+    assert cli.main(["bench", "--results", str(tmp_path / "results"), "--pages", "1"], spark).first()["recall_1"] == 0.5

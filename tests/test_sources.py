@@ -117,3 +117,64 @@ def test_sinks(spark, tmp_path):
     assert sorted(r["page"] for r in writers.changed_pages(new, old).collect()) == [2, 3]
     ev = spark.createDataFrame([(2, "done", "</x>"), (1, "init", "a")], "seq int, event string, note string")
     assert [(r["event"], r["data"]) for r in calls.events(ev).collect()] == [("init", '{"note":"a"}'), ("done", '{"note":"<\\/x>"}')]
+
+
+def test_a_bad_tile_is_one_row(spark):
+    import pandas as pd
+
+    def read(tile):
+        assert len(tile) == 1
+        if tile["tile_id"].iloc[0] == "t07":
+            raise readers.CutOff(5, 6)
+        return pd.DataFrame([{"text": "V1", "x0": 0, "y0": 0, "x1": 1, "y1": 1, "input_tokens": 3}] * 2) if tile["tile_id"].iloc[0] != "t08" else pd.DataFrame()
+
+    box = "struct<x0:int,y0:int,x1:int,y1:int>"
+    tiles = spark.createDataFrame([(1, f"t{i:02d}", (0, 0, 400, 400)) for i in range(40)], f"page int, tile_id string, box {box}").coalesce(1)
+    out = readers.observe_all(tiles, readers.ReaderSpec("fixture", read), workers=3).collect()
+    bad = [r for r in out if r["error"]]
+    assert len(out) == 38 * 2 + 2 and [(r["tile_id"], r["input_tokens"], r["output_tokens"], r["cut_off"]) for r in bad] == [("t07", 5, 6, True)]
+    assert [r["text"] for r in out if r["tile_id"] == "t08"] == [None] and sum(r["input_tokens"] or 0 for r in out) == 38 * 3 + 5
+
+
+def test_stages_start_as_soon_as_they_can(spark):
+    import time
+
+    began = time.monotonic()
+    at = {}
+
+    def make(name, seconds):
+        def run(_):
+            at[name] = time.monotonic() - began
+            time.sleep(seconds)
+            return spark.range(1)
+
+        return run
+
+    run = Run([Stage("quick", make("quick", 0.05)), Stage("slow", make("slow", 1.5)), Stage("after", make("after", 0), ("quick",))], tick=lambda: "figures", every=0.2)
+    seen = [(e.stage, e.state, e.note) for e in run.events()]
+    assert at["after"] < 1.0 and ("", "running", "figures") in seen
+    assert seen.index(("after", "done", "")) < seen.index(("slow", "done", ""))
+    with pytest.raises(ValueError):
+        list(Run([Stage("a", make("a", 0), ("nothing",))]).events())
+
+
+def test_run_config():
+    from drawlake.config import RunConfig
+
+    config = RunConfig.of({"DRAWLAKE_WORKERS": "3", "DRAWLAKE_FRESH": "true", "DRAWLAKE_PAGES": "4"}, tile=800)
+    assert (config.workers, config.fresh, config.pages, config.tile, config.told()["tile"]) == (3, True, (4,), 800, "800")
+    with pytest.raises(ValueError):
+        RunConfig(cascade=True)
+    with pytest.raises(ValueError):
+        RunConfig(workers=0)
+
+
+def test_accepting_a_proposal(spark):
+    from drawlake.operators import assistant, rules
+
+    rs = rules.RuleSet([{"category": "v", "when": {"text": "^V"}, "emit": "text"}])
+    proposal = {"action": "modify", "index": 0, "rule": {"category": "v", "when": {"text": "^W"}, "emit": "text"}, "before": {"category": "other"}, "status": "pending"}
+    with pytest.raises(ValueError, match="changed"):
+        assistant.accept(None, None, rs, proposal)
+    with pytest.raises(ValueError, match="pending|accepted"):
+        assistant.accept(None, None, rs, proposal | {"before": rs.rules[0], "status": "accepted"})
