@@ -8,10 +8,12 @@ earlier blocks. The scan runs over superblocks first and then inside each, so no
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,22 +25,59 @@ DTYPE = "<u2"
 END = 65_535  # id of the end of a document
 BLOCK_TOKENS = 1 << 16
 SUPER = 256  # blocks of a superblock
+SPLIT = 128 << 20  # bytes of a file that stay together
+
+
+def _openable(path: str) -> bool:
+    """Whether workers can open a path of this scheme by themselves."""
+    try:
+        FileSystem.from_uri(_uri(path))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def _uri(path: str) -> str:
+    return re.sub(r"^file:/(?!/)", "file:///", path)
 
 
 def read_files(spark: SparkSession, path: str, dtype: str = DTYPE, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """file, block, data of token files at a path that Spark reads. Spark hands a file over whole, so one may hold 2 GB; a
-    larger stream is written as several files."""
+    """file, block, data of token files at a path that Spark reads.
+
+    Spark only lists the files; each block is a range of bytes that the task it falls to reads by itself, SPLIT bytes of a
+    file to a task or a few, so a file may be of any size and a lost task reads its ranges again. Where workers can't open
+    the paths' scheme, Spark hands files over whole, and one may hold 2 GB. An empty file has one empty block; no file, no
+    blocks.
+    """
     ship(spark)
     step = block_tokens * np.dtype(dtype).itemsize
+    files = spark.read.format("binaryFile").load(path)
+    some = files.select("path").first()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, file = None, None
+        for batch in batches:
+            for name, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if name != now:
+                    system, place = FileSystem.from_uri(_uri(name))
+                    now, file = name, system.open_input_file(place)
+                data = file.read_at(step, block * step)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "data"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 view = memoryview(data.as_buffer())
                 for i, a in enumerate(range(0, max(len(view), 1), step)):
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int64()), pa.array([bytes(view[a : a + step])], pa.binary())], names=["file", "block", "data"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(tidy(run), "file string, block long, data binary")
+    schema = "file string, block long, data binary"
+    if some is not None and not _openable(some["path"]):
+        return files.select("path", "content").mapInArrow(tidy(whole), schema)
+    last = F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / step)
+    blocks = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    dealt = blocks.repartition("path", F.floor(F.col("block") / max(1, SPLIT // step))).sortWithinPartitions("path", "block")
+    return dealt.mapInArrow(tidy(ranges), schema)
 
 
 def separators(blocks: DataFrame, end: int = END, dtype: str = DTYPE) -> DataFrame:
@@ -108,7 +147,8 @@ def count_tokens(blocks: DataFrame, end: int = END, dtype: str = DTYPE) -> DataF
 
 def flat_stream(docs: DataFrame, text: str = "text", block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """Texts as flat token blocks (file, block, data), a file per task, and the order they were written in (file, ordinal,
-    doc_id). A token is a word; its id a hash of it below END. Both come from one pass that is materialised."""
+    doc_id). A token is a word; its id a hash of it below END. Both come from one pass that is materialised. Null texts are
+    empty documents; an empty table makes no file."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +186,11 @@ def flat_stream(docs: DataFrame, text: str = "text", block_tokens: int = BLOCK_T
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
-    """doc_id and n_tokens of every document, by writing the texts as a flat token stream and scanning it."""
+    """doc_id and n_tokens of every document, by writing the texts as a flat token stream and scanning it.
+
+    A null or empty text has no tokens; a null doc_id stays null; repeated rows are documents of their own; an empty table
+    gives no rows. Only doc_id and text are read.
+    """
     blocks, order = flat_stream(docs)
     return count_tokens(blocks).join(order, ["file", "ordinal"]).select("doc_id", "n_tokens")
 

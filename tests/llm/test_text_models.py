@@ -63,9 +63,12 @@ def test_token_counts(spark, documents):
     assert token_scan.count_tokens(blocks.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [1, 3, 7, 1000])
-def test_separator_scan(spark, tmp_path, block, monkeypatch):
+@pytest.mark.parametrize(("block", "openable"), [(1, True), (3, True), (7, False), (1000, True)])
+def test_separator_scan(spark, tmp_path, block, openable, monkeypatch):
     monkeypatch.setattr(token_scan, "SUPER", 4)
+    monkeypatch.setattr(token_scan, "SPLIT", 16)  # so that several tasks read ranges of one file
+    if not openable:
+        monkeypatch.setattr(token_scan, "_openable", lambda path: False)
     r = random.Random(block)
     want = {}
     for f in range(4):
