@@ -99,7 +99,7 @@ def verdict_maps(verdicts: DataFrame) -> DataFrame:
 
 def resolve(observations: DataFrame, contexts: DataFrame, ruleset: RuleSet, verdicts: DataFrame | None = None, keep: bool = False) -> Resolved:
     """The whole plan. observations and contexts as in schemas; verdicts only of the questions that the rules ask now. keep
-    materialises the deduped readings, for callers that use several results."""
+    materialises the deduped readings and the provenance, for callers that use several results."""
     tagged = flagged(observations, contexts, ruleset)
     kept = tagged.where(~F.col("low") & ~F.col("suppressed")).drop("low", "suppressed")
     unique = drop_seam_copies(kept, ruleset.norm(F.col("text")))
@@ -118,6 +118,8 @@ def resolve(observations: DataFrame, contexts: DataFrame, ruleset: RuleSet, verd
     provenance = values.groupBy("page", "category", "value").agg(F.min(first).alias("f")).select(
         "page", "category", "value", "f.bbox", "f.text", "f.symbol", "f.confidence", "f.tile_id", "f.rule", "f.ord"
     )
+    if keep:
+        provenance = cut(provenance)
     pid = contexts.where(F.coalesce(F.col("sheet_id"), F.lit("")) != "").select("page", F.lit("pid").alias("category"), ruleset.norm(F.col("sheet_id")).alias("value"))
     answers = provenance.select("page", "category", "value").unionByName(pid)
     unclaimed = unique.where((F.size("applied") == 0) & (F.trim(F.coalesce(F.col("text"), F.lit(""))) != "")).select(

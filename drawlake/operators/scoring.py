@@ -21,23 +21,20 @@ def score_categories(answers: DataFrame, answer_key: DataFrame, pages: DataFrame
     pages: page, document_id. Values compare by capitals and digits; cleanup_only lists matches that hold only so. Of a
     category that the key lacks, everything is extra and recall is null.
     """
-    expected = pages.join(answer_key, "document_id").groupBy("page", "category").agg(F.array_sort(F.collect_list("value")).alias("expected"))
-    got = answers.join(pages.select("page"), "page", "left_semi").groupBy("page", "category").agg(F.array_sort(F.collect_list("value")).alias("got"))
+    given = answers.join(pages.select("page"), "page", "left_semi").select("page", "category", "value", F.lit(False).alias("keyed"))
+    rows = pages.join(answer_key, "document_id").select("page", "category", "value", F.lit(True).alias("keyed")).unionByName(given)
+    side = lambda c: F.collect_list(F.when(c, F.col("value")))
+    # Values that compare equal meet in one small group; what is found, missed or extra is decided there.
+    met = rows.groupBy("page", "category", norm(F.col("value")).alias("k")).agg(side(F.col("keyed")).alias("e"), side(~F.col("keyed")).alias("g"))
     none = F.array().cast("array<string>")
-    both = expected.withColumn("in_key", F.lit(True)).join(got, ["page", "category"], "full").select(
-        "page", "category", F.coalesce("in_key", F.lit(False)).alias("in_key"), F.coalesce("expected", none).alias("expected"), F.coalesce("got", none).alias("got")
-    )
-    keys = lambda c: F.transform(c, lambda v: norm(v))
-    sets = both.withColumn("gk", keys("got")).withColumn("ek", keys("expected")).withColumn("raw", F.transform("got", lambda v: F.trim(v)))
-    has = lambda c: (lambda v: F.array_contains(c, norm(v)))
-    sets = sets.withColumn("found", F.filter("expected", has("gk")))
-    return sets.select(
-        "page", "category", "in_key", "expected", "got", "found",
-        F.filter("expected", lambda v: ~F.array_contains("gk", norm(v))).alias("missed"),
-        F.filter("got", lambda v: ~F.array_contains("ek", norm(v))).alias("extra"),
-        F.filter("found", lambda v: ~F.array_contains("raw", F.trim(v))).alias("cleanup_only"),
-        F.try_divide(F.size("found"), F.size("expected")).alias("recall"),
-    )
+    met = met.withColumn("found", F.when(F.size("g") > 0, F.col("e")).otherwise(none)).withColumn("raw", F.transform("g", lambda v: F.trim(v)))
+    parts = {
+        "expected": F.col("e"), "got": F.col("g"), "found": F.col("found"), "missed": F.when(F.size("g") == 0, F.col("e")).otherwise(none),
+        "extra": F.when(F.size("e") == 0, F.col("g")).otherwise(none), "cleanup_only": F.filter("found", lambda v: ~F.array_contains("raw", F.trim(v))),
+    }
+    whole = met.select("page", "category", *[c.alias(n) for n, c in parts.items()]).groupBy("page", "category")
+    sets = whole.agg(*[F.array_sort(F.flatten(F.collect_list(n))).alias(n) for n in parts])
+    return sets.select("page", "category", (F.size("expected") > 0).alias("in_key"), *parts, F.try_divide(F.size("found"), F.size("expected")).alias("recall"))
 
 
 def totals(categories: DataFrame, by: list[str] | None = None) -> DataFrame:
