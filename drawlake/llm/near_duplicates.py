@@ -141,19 +141,34 @@ def sketch(df: DataFrame, text: str = "text", shingle: int = SHINGLE, trees: int
     )
 
 
-def dealt(rows: DataFrame, group: list[str], blocks: str, then: Column | str = "node") -> DataFrame:
-    """rows once per pair of blocks of its group that it belongs to: plus columns blk, p, q (p <= q); sorted by unit and `then`."""
+def units(blocks: str) -> Column:
+    """Pairs of blocks, those of a block with itself included."""
+    return F.col(blocks) * (F.col(blocks) + 1) / 2
+
+
+def dealt(rows: DataFrame, group: list[str], blocks: str, heavy: int, then: Column | str = "node") -> DataFrame:
+    """rows once per pair of blocks of its group that it belongs to: plus columns blk, p, q (p <= q); sorted by unit and `then`.
+
+    heavy: the units of groups of several blocks. Those of one group go to partitions one after the other, so that no task
+    gets many of them; where there are none, partitions are by hash and adaptive execution joins small ones.
+    """
     n = F.col(blocks)
     blk = F.pmod(F.xxhash64("node"), n).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(F.col("blk"), j).alias("p"), F.greatest(F.col("blk"), j).alias("q")))
-    return (
+    spread = (
         rows.withColumn("blk", F.when(n > 1, blk).otherwise(F.lit(0)))
         .withColumn("pq", F.explode(F.when(n > 1, pairs).otherwise(F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q"))))))
         .select("*", "pq.p", "pq.q")
         .drop("pq")
-        .repartition(*group, "p", "q")
-        .sortWithinPartitions(*group, "p", "q", then)
     )
+    if heavy:
+        session = rows.sparkSession
+        parts = min(int(session.conf.get("spark.sql.shuffle.partitions")), max(heavy, session.sparkContext.defaultParallelism))
+        at = F.pmod(F.xxhash64(*group) + F.floor(units("q")) + F.col("p"), F.lit(parts)).cast("int")
+        placed = spread.repartitionById(parts, at)
+    else:
+        placed = spread.repartition(*group, "p", "q")
+    return placed.sortWithinPartitions(*group, "p", "q", then)
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 20_000) -> Iterator[pa.Table]:
@@ -269,11 +284,13 @@ def candidate_links(classes: DataFrame, similarity: float, trees: int, depth: in
     met = prefixes.drop("reach").join(crowded, ["tree", "prefix"])
     members = cut(met.withColumn("blocks", F.ceil(F.col("members") / NODE_BLOCK).cast("int")).select("tree", "prefix", "node", "blocks"))
     labelled = members.join(reaching, "node")
+    crowds = crowded.select(F.ceil(F.col("members") / NODE_BLOCK).alias("blocks")).where("blocks > 1")
+    heavy = int(crowds.agg(F.sum(units("blocks"))).first()[0] or 0)
     # Sorted by key inside of a unit: one node of the trie at the shortest prefix, or a pair of blocks of it.
     group = ["tree", "prefix", "p", "q"]
     key = F.element_at("keys", F.col("tree") + 1)
     sort_key = F.struct(key < 0, key)  # bytes are compared, so the sign bit is the greatest
-    work = dealt(labelled, ["tree", "prefix"], "blocks", sort_key).select(*group, "blk", "node", "reach", "keys")
+    work = dealt(labelled, ["tree", "prefix"], "blocks", heavy, sort_key).select(*group, "blk", "node", "reach", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, group):
@@ -345,7 +362,8 @@ def verified_links(docs: DataFrame, members: DataFrame, similarity: float, shing
     sized = cut(members.join(cut(size), "comp").withColumn("blocks", F.ceil(F.greatest(F.col("members") / TEXT_BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")))
     texts = docs.join(sized, docs["doc_id"] == sized["rep"]).select("comp", "blocks", "node", "copies", "text")
     group = ["comp", "p", "q"]
-    work = dealt(texts, ["comp"], "blocks").select(*group, "blk", "node", "copies", "text")
+    heavy = int(sized.select("comp", "blocks").distinct().where("blocks > 1").agg(F.sum(units("blocks"))).first()[0] or 0)
+    work = dealt(texts, ["comp"], "blocks", heavy).select(*group, "blk", "node", "copies", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, group, 512):
