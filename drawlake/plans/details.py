@@ -135,19 +135,21 @@ def keyed_sheets(spark, sf_dir):
     return readers.keyed_sheets(contexts(spark, sf_dir), key, frame(spark, sf_dir, "obs"))
 
 
-@query("obs", f"select page, string_agg(distinct {NORM}, '|' order by {NORM}) as filters, concat('PID-1-SS-', cast(page as varchar)) document_id from obs where regexp_matches(text, '^F-[0-9]+$') group by page")
+@query("obs zones", f"""+ {UNIQUE}, {emitted_sql('unique_')}, a as (select distinct page, category, value from emitted union select distinct page, 'pid', concat('PID-1-SS-', cast(page as varchar)) from zones)
+select page, string_agg(value, '|' order by value) filter (where category = 'filters') filters, count(distinct category) categories, concat('PID-1-SS-', cast(page as varchar)) document_id from a group by page""")
 def answer_documents(spark, sf_dir):
-    found = frame(spark, sf_dir, "obs").where(X.searches(F.col("text"), r"^F-\d+$")).select("page", F.lit("filters").alias("category"), X.normalise(F.col("text")).alias("value"))
-    return writers.answer_documents(found, contexts(spark, sf_dir)).select("page", F.array_join(F.col("answers")["filters"], "|").alias("filters"), "document_id")
+    """One document of answers per page."""
+    out = writers.answer_documents(resolved(spark, sf_dir).answers, contexts(spark, sf_dir))
+    return out.select("page", F.array_join(F.try_element_at("answers", F.lit("filters")), "|").alias("filters"), F.size("answers").cast("long").alias("categories"), "document_id")
 
 
-@query("runs", """+ a as (select page, run_no % 3 k, max(run_no) v from runs where run_no % 2 = 0 group by 1, 2), b as (select page, run_no % 3 k, max(run_no) v from runs where run_no % 5 = 0 group by 1, 2)
+@query("runs", """+ a as (select page, run_no % 3 k, max(run_no) v from runs group by 1, 2), b as (select page, run_no % 2 k, max(run_no) v from runs group by 1, 2)
 select page, k, v from b union all select page, k, v from a where not exists (select 1 from b where b.page = a.page and b.k = a.k)""")
 def merged_results(spark, sf_dir):
     """Old results that new ones don't replace, and the new ones."""
-    runs = frame(spark, sf_dir, "runs").withColumn("k", F.col("run_no") % 3)
-    part = lambda c: runs.where(c).groupBy("page", "k").agg(F.max("run_no").alias("v"))
-    return benchmarks.merged_results(part("run_no % 2 = 0"), part("run_no % 5 = 0"), ["page", "k"])
+    runs = frame(spark, sf_dir, "runs")
+    kept = lambda n: runs.withColumn("k", F.col("run_no") % n).groupBy("page", "k").agg(F.max("run_no").alias("v"))
+    return benchmarks.merged_results(kept(3), kept(2), ["page", "k"])
 
 
 @query("models", "select provider, string_agg(distinct model, ',' order by model) configs, count(*) filter (where tier = 'light') light from models group by provider")
@@ -178,13 +180,13 @@ def cached_costs(spark, sf_dir):
 
 
 @query("obs", rf"""+ c as (select page, ord c_ord, regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') k, x0, y0, x1, y1 from obs where kind = 'continuation_connection'),
-v as (select distinct page, 'coolant' category, cast(20000 + pk % 20 as varchar) as value from obs where kind = 'continuation_connection' and pk % 2 = 0)
+v as (select distinct page, 'coolant' category, cast(20000 + pk % 20 as varchar) as value from obs where kind = 'continuation_connection')
 select v.page, v.value, case when cast(v.value as int) % 3 = 0 then concat('K', v.value) else v.value end as renamed from v""")
 def flag_letters(spark, sf_dir):
     """Bare connector numbers that get the letter read off the drawing."""
     rs = resolve.RuleSet([{"category": "coolant", "when": {"kind": "x"}, "read_flag_letter": True}])
     o = frame(spark, sf_dir, "obs")
-    bare = o.where("kind = 'continuation_connection' and pk % 2 = 0").select("page", F.lit("coolant").alias("category"), (F.lit(20000) + F.col("pk") % 20).cast("string").alias("value"), "bbox", "ord")
+    bare = o.where("kind = 'continuation_connection'").select("page", F.lit("coolant").alias("category"), (F.lit(20000) + F.col("pk") % 20).cast("string").alias("value"), "bbox", "ord")
     prov = verify.best_of(bare, ["page", "category", "value"], "ord").drop("ord")
     jobs = verify.flag_jobs(prov, o.withColumn("text", F.regexp_extract("text", r"(\d{5})", 1)), rs)
     flags = jobs.where(F.col("value").cast("int") % 3 == 0).select("page", "key", F.lit(" k").alias("letter"))

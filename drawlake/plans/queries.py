@@ -233,7 +233,7 @@ def region_sizes(spark, sf_dir):
 
 
 def _compared(spark, sf_dir):
-    first, second = cut(observations(spark, sf_dir).where("twin = 0")), cut(frame(spark, sf_dir, "second"))  # read twice
+    first, second = cut(observations(spark, sf_dir)), cut(frame(spark, sf_dir, "second"))  # read twice
     names = ["page", "ord", "text", "kind", "symbol", "attached_to", "bbox", "confidence", "tile_id"]
     a = first.select(*names, F.lit("first").alias("model"))
     b = second.select(*names, F.lit("second").alias("model"))
@@ -249,7 +249,7 @@ def _rulings(items):
 
 
 # matched: the greedy fold over readings of the first reader, each with its possible partners, best first.
-MATCHED = f"""+ a_ as materialized (select * from obs where twin = 0),
+MATCHED = f"""+ a_ as materialized (select * from obs),
 pairs as (select a.page, a.ord a_ord, b.ord b_ord, {IOU.format(a="a", b="b")} iou from a_ a join second b on a.page = b.page and least(a.x1, b.x1) > greatest(a.x0, b.x0) and least(a.y1, b.y1) > greatest(a.y0, b.y0)),
 cand as materialized (select page, a_ord, list(b_ord order by iou desc, b_ord) bs, row_number() over (partition by page order by a_ord) rn, count(*) over (partition by page) n from pairs where iou >= 0.2 group by page, a_ord),
 fold as (select distinct page, cast(0 as bigint) rn, cast([] as bigint[]) used, cast([] as bigint[]) takers from cand union all
@@ -262,7 +262,7 @@ WORTH = f"(length(o.text) <= 40 and regexp_matches(o.text, '[A-Za-z0-9]') and no
 
 @query("obs second", MATCHED + " select page, a_ord, b_ord from matched")
 def reader_matches(spark, sf_dir):
-    first, second = observations(spark, sf_dir).where("twin = 0"), frame(spark, sf_dir, "second")
+    first, second = observations(spark, sf_dir), frame(spark, sf_dir, "second")
     return spatial.greedy_match(first, second).select("page", "a_ord", "b_ord")
 
 
