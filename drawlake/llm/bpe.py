@@ -363,13 +363,39 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
     return source.mapInArrow(tidy(run), schema).toDF(*rest, text)
 
 
+def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns `keep`) plus ids and decoded, as decode(encode(df)) has them, in one pass and one worker a task.
+
+    Two passes in one stage would hold two workers with the vocabulary for each task. Odd rows as in encode() and decode().
+    """
+    spark = df.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(Vocabulary.load(vocabulary))
+    rest = [c for c in (df.columns if keep is None else keep) if c.lower() not in (ids.lower(), decoded.lower())]
+    names = [f"c{i}" for i in range(len(rest))]
+    source = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(rest, names, strict=True)], F.col(f"`{text}`").cast("string").alias("text"))
+    fields = [*[source.schema[n] for n in names], T.StructField("ids", T.ArrayType(T.IntegerType(), False), True), T.StructField("decoded", T.StringType(), True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(shared.value), Decoder(shared.value.token_bytes)
+        for batch in batches:
+            texts = batch.column(len(rest)).to_pylist()
+            for a, b in _slices((len(t or "") for t in texts), 1 << 20):
+                flat, ends = encoder.encode_flat(texts[a:b])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+                back = pa.array(decoder.decode_flat(flat, ends), pa.string())
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in range(len(rest))], lists, back], names=[*names, "ids", "decoded"])
+
+    return source.mapInArrow(tidy(run), T.StructType(fields)).toDF(*rest, ids, decoded)
+
+
 def digests(df: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of a table of documents, by encoding and decoding it.
 
     Null texts are empty and have no ids; a null doc_id stays null; repeated rows give repeated results; an empty table
     none. Only doc_id and text are read.
     """
-    coded = decode(encode(df, vocabulary, keep=["doc_id"]), vocabulary)
+    coded = round_trip(df, vocabulary, keep=["doc_id"])
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

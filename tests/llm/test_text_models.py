@@ -28,6 +28,8 @@ def test_bpe_equals_the_tokenizers_library(documents, vocabulary):
     for x in got:
         ids = t.encode(x["text"] or "", add_special_tokens=False).ids
         assert x["ids"] == ids and x["decoded"] == t.decode(ids, skip_special_tokens=False) and x["score"] == "s"
+    one = bpe.round_trip(documents(rows), vocabulary).select("doc_id", "text", "ids", "decoded", "score").collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, got))
     assert bpe.digests(documents([]), vocabulary).count() == 0
 
 
