@@ -294,7 +294,9 @@ disputes as materialized (select *, row_number() over (partition by page order b
 @query("obs second zones", DISPUTES + """, n as (select *, row_number() over (partition by page, tile_id order by gi) - 1 n from disputes where w)
 select page, gi, kind, tile_id, n // 30 chunk, cast(n % 30 as int) id, ta claim_a, tb claim_b from n""")
 def dispute_chunks(spark, sf_dir):
-    items = cascade.disputes(_compared(spark, sf_dir), contexts(spark, sf_dir))
+    names = ["page", "ord", "text", "bbox", "tile_id"]  # all that is asked of the readings
+    both = cascade.compare(observations(spark, sf_dir).select(*names), frame(spark, sf_dir, "second").select(*names), keep=False)  # read once
+    items = cascade.disputes(both, contexts(spark, sf_dir))
     return cascade.chunks(items).select("page", "gi", "kind", "tile_id", "chunk", "id", "claim_a", "claim_b")
 
 
