@@ -44,3 +44,11 @@ def test_caches_of_pages_are_blocks(spark, tmp_path):
     writers.drop_pages(spark, path, [*range(512, 600), 2, -1, 9999, 700])
     want = [(p, "a") for p in range(512) if p not in (1, 2)] + [(1, "b"), (1, "c"), (None, "b")]
     assert read() == sorted(want, key=repr) and not [d for d in os.listdir(path) if d.startswith("_new")]
+
+
+def test_verdict_counts_makes_no_folder_for_each_page(spark, sf):
+    top = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(top))
+    assert QUERIES["verdict_counts"](spark, sf).count()
+    made = [x for d in set(os.listdir(top)) - before for x in os.listdir(f"{top}/{d}") if "=" in x]
+    assert made == ["block=0"]
