@@ -13,7 +13,7 @@ from drawlake.operators import assistant, benchmarks, cascade, review, scoring,
 from drawlake.operators.resolve import Resolved, flagged, resolve, unclaimed_sample, unclassified
 from drawlake.operators.rules import applied
 from drawlake.plans.proxies import contexts, frame, observations, rules, table_reads, with_relations
-from drawlake.sources.scratch import cut
+from drawlake.sources.scratch import cut, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -411,9 +411,11 @@ def extra_values(spark, sf_dir):
 
 
 def _reviewed(spark, sf_dir) -> tuple[Resolved, DataFrame]:
-    """What the rules make of the readings, and the readings, which every branch of the queue reads once more."""
-    o = cut(observations(spark, sf_dir))
-    return resolve(o, contexts(spark, sf_dir), rules(), keep=True), o
+    """What the rules make of the readings, and the readings, which every branch of the queue reads once more: from the lines,
+    since a copy of them is many times the input."""
+    o = observations(spark, sf_dir)
+    needed = o.select("page", "ord", "text", "kind", "symbol", "attached_to", "bbox", "confidence", "tile_id")
+    return resolve(needed, contexts(spark, sf_dir), rules(), keep=True, keep_unique=False), o
 
 
 def _queue(spark, sf_dir, r: Resolved, o: DataFrame):
@@ -477,7 +479,7 @@ def _decisions(items):
 
 
 def _decided(spark, sf_dir, r: Resolved, o: DataFrame):
-    items = cut(_queue(spark, sf_dir, r, o).drop("decision"))
+    items = stored(_queue(spark, sf_dir, r, o).drop("decision"))
     return items.join(review.latest(_decisions(items)), ["page", "id"], "left")
 
 
