@@ -52,3 +52,10 @@ def test_verdict_counts_makes_no_folder_for_each_page(spark, sf):
     assert QUERIES["verdict_counts"](spark, sf).count()
     made = [x for d in set(os.listdir(top)) - before for x in os.listdir(f"{top}/{d}") if "=" in x]
     assert made == ["block=0"]
+
+
+def test_apply_decisions_checkpoints_no_readings(spark, sf):
+    top = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(top))
+    assert QUERIES["apply_decisions"](spark, sf).columns == ["page", "category", "value"]
+    assert not [d for d in set(os.listdir(top)) - before if d.startswith("rdd-")]
