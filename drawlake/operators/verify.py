@@ -47,8 +47,8 @@ def todo(asked: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def verdict_counts(verdicts: DataFrame, asked: DataFrame) -> DataFrame:
-    """page, yes, no, missing."""
-    joined = asked.join(verdicts.select("page", "tag_key", "question_hash", "answer"), ["page", "tag_key", "question_hash"], "left")
+    """page, yes, no, missing. Both sides grow with the pages; a cache's compressed size says little about its rows, so it isn't broadcast."""
+    joined = asked.join(verdicts.select("page", "tag_key", "question_hash", "answer").hint("merge"), ["page", "tag_key", "question_hash"], "left")
     yes = F.coalesce(F.col("answer") == "yes", F.lit(False))
     return joined.groupBy("page").agg(F.count_if(yes).alias("yes"), F.count_if(F.col("answer").isNotNull() & ~yes).alias("no"), F.count_if(F.col("answer").isNull()).alias("missing"))
 

@@ -54,6 +54,16 @@ def test_verdict_counts_makes_no_folder_for_each_page(spark, sf):
     assert made == ["block=0"]
 
 
+def test_verdict_counts_reads_the_lines_once(spark, sf):
+    df = QUERIES["verdict_counts"](spark, sf)
+    assert df.count() and not [f for f in df.inputFiles() if "lineitem" in f]  # they are read where what is asked is stored, not once more
+
+
+def test_verdict_counts_broadcasts_no_cache(spark, sf):
+    plan = QUERIES["verdict_counts"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan  # small on disk is not small in memory
+
+
 def test_apply_decisions_checkpoints_no_readings(spark, sf):
     top = shared_folder(spark).removeprefix("file:")
     before = set(os.listdir(top))
